@@ -20,7 +20,7 @@ MOST_FREQUENT = 1_000_000
 #: Documents below which a count isn't worth telling.
 LEAST_DF = 8
 #: Prefix entries that one reducer takes, on average.
-RANGE_POSTINGS = 5_000_000
+RANGE_POSTINGS = 1_500_000
 #: The most bits of the filter that says which groups have candidates.
 BLOOM_BITS = 1 << 28
 
@@ -165,7 +165,7 @@ def _frequencies(texts: DataFrame, n: int, ranges: int) -> tuple[Frequencies, in
     return Frequencies(keys[order], df[order]), total
 
 
-def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of groups that share a token and whose sizes allow Jaccard ``t``; ``tok`` ascends, sizes ascend within a token.
 
     The partner of an entry lies further on in the run of its token and isn't larger than its size / t, so
@@ -283,7 +283,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
         for left, right in _token_pairs(tok, g, size_of[g], t) if len(tok) else ():
             waiting.append(np.minimum(left, right) * len(groups) + np.maximum(left, right))
             held += len(left)
-            if held > 6_000_000:
+            if held > 2_000_000:
                 fold()
         if held:
             fold()
