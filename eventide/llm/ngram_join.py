@@ -21,6 +21,8 @@ MOST_FREQUENT = 1_000_000
 LEAST_DF = 8
 #: Prefix entries that one reducer takes, on average.
 RANGE_POSTINGS = 1_500_000
+#: The most groups with candidates whose blocks are told to every task (16 bytes each); beyond, sets are joined to them.
+MOST_TOLD = 4_000_000
 #: The most bits of the filter that says which groups have candidates.
 BLOOM_BITS = 1 << 28
 
@@ -242,7 +244,8 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
         if held:
             yield emit()
 
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("sa", pa.int32()), ("sb", pa.int32())])
+    blocks = max(1, min(ranges, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = pa.schema([("k", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
     def meet(group: pa.Table) -> pa.Table:
         toks, idx, names, base = [], [], [], 0
@@ -287,21 +290,55 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                 fold()
         if held:
             fold()
-        a, b = pairs // len(groups), pairs % len(groups)
-        everything = size_of[np.searchsorted(groups, several)]
-        return pa.table(
-            {
-                "a": np.concatenate([groups[a], several]), "b": np.concatenate([groups[b], several]),
-                "c": np.concatenate([counts, everything]).astype(np.int32), "sa": np.concatenate([size_of[a], everything]).astype(np.int32), "sb": np.concatenate([size_of[b], everything]).astype(np.int32),
-            }, schema=out,
-        )
-
-    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").groupBy("r").applyInArrow(meet, "a long, b long, c int, sa int, sb int")
-    found = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
-    # what isn't common within both prefixes is common after the prefix that ends first
-    rest = lambda s: F.ceil(F.lit(t) * F.col(s) - 1e-9) - 1
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("sa") + F.col("sb")) - 1e-9)
-    return found.where((F.col("a") == F.col("b")) | (F.col("c") + F.greatest(rest("sa"), rest("sb")) >= need)).select("a", "b")
+        own = np.searchsorted(groups, several)
+        a, b = np.concatenate([pairs // len(groups), own]), np.concatenate([pairs % len(groups), own])
+        counts = np.concatenate([counts, size_of[own]]).astype(np.uint32)
+        block = (groups.view(np.uint64) % np.uint64(blocks)).astype(np.int64)[a]
+        order = np.lexsort((b, a, block))
+        a, b, counts, block = a[order], b[order], counts[order], block[order]
+        rows: dict[str, list] = {f.name: [] for f in met}
+        for k, i, j, c in zip(*(np.split(x, np.flatnonzero(np.diff(block)) + 1) for x in (block, a, b, counts))):
+            if len(k):
+                used, local = np.unique(np.concatenate([i, j]), return_inverse=True)
+                small = local.astype(np.uint32)
+                for f, v in zip(rows, (int(k[0]), groups[used].tobytes(), size_of[used].astype(np.uint32).tobytes(), _shrink(small[: len(i)]), _shrink(small[len(i) :]), _shrink(c))):
+                    rows[f].append(v)
+        return pa.table(rows, schema=met)
+
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tally(group: pa.Table) -> pa.Table:
+        names, sizes, a, b, c, base = [], [], [], [], [], 0
+        for n_, s_, a_, b_, c_ in zip(*(group.column(x).to_pylist() for x in ("names", "sizes", "a", "b", "c"))):
+            names.append(np.frombuffer(n_, dtype=np.int64))
+            sizes.append(np.frombuffer(s_, dtype=np.uint32).astype(np.int64))
+            a.append(_grow(a_) + base)
+            b.append(_grow(b_) + base)
+            c.append(_grow(c_))
+            base += len(names[-1])
+        who, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        size = np.concatenate(sizes)[first]
+        number = number.ravel()
+        pair, inverse = np.unique(number[np.concatenate(a)] * len(who) + number[np.concatenate(b)], return_inverse=True)
+        common = np.bincount(inverse.ravel(), weights=np.concatenate(c), minlength=len(pair))
+        i, j = pair // len(who), pair % len(who)
+        # what isn't common within both prefixes is common after the prefix that ends first
+        rest = np.ceil(t * np.maximum(size[i], size[j]) - 1e-9) - 1
+        on = (i == j) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
+        return pa.table({"a": who[i[on]], "b": who[j[on]]}, schema=out)
+
+    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").groupBy("r").applyInArrow(meet, "k int, names binary, sizes binary, a binary, b binary, c binary")
+    return found.groupBy("k").applyInArrow(tally, "a long, b long")
+
+
+def _shrink(x: np.ndarray) -> bytes:
+    """An array of uint32, compressed byte by byte."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _grow(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(b), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 def _bloom(keys: DataFrame, n: int) -> np.ndarray:
@@ -329,65 +366,109 @@ def _bloom_bits(g: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (x % np.uint64(bits)).astype(np.int64)
 
 
-def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The distinct n-gram sets with their documents, and the pairs of sets of Jaccard ``t`` or more.
+class Places:
+    """The blocks in which groups have pairs to verify."""
+
+    def __init__(self, g: np.ndarray, block: np.ndarray) -> None:
+        order = np.lexsort((block, g))
+        self.g, self.block = g[order], block[order]
+
+    def of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the blocks of each group begin and end in ``block``."""
+        return np.searchsorted(self.g, g), np.searchsorted(self.g, g, side="right")
+
 
-    Returns (sets: s, ids) and (pairs: a, b, ids_a, ids_b, jaccard), where s, a and b are hashes of sets.
+def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id", most_told: int = MOST_TOLD) -> DataFrame:
+    """Documents of equal and of similar n-gram sets: (ids_a, ids_b, jaccard), ids in ascending order.
+
+    ids_b is null in a row that holds the documents of one set, where there are two or more.
     """
     if not 0 < t <= 1 or n < 1:
         raise ValueError("the threshold must lie in (0, 1], and n be at least 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where(F.col("d").isNotNull())
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found, elements = _frequencies(rows.select("t"), n, ranges)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found, elements = _frequencies(rows.select("t"), n, partitions)
     freq = spark.sparkContext.broadcast(found)
     pairs = cut(_candidates(rows.select("t"), n, t, freq, elements))
+    # pairs that hang together meet in one block, so that each set is sent about once
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o")), F.struct(F.col("b").alias("g"), F.col("a").alias("o")))).alias("x")).select("x.*")
     root = ends.groupBy("g").agg(F.min("o").alias("o")).select("g", F.least("g", "o").alias("root"))
-    root = cut(root)
-    n_groups = root.count()
-    bloom = spark.sparkContext.broadcast(_bloom(root.select("g"), n_groups))
-    schema = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("x", pa.binary())])
+    ra, rb = root.select(F.col("g").alias("a"), F.col("root").alias("ra")), root.select(F.col("g").alias("b"), F.col("root").alias("rb"))
+    blocks = max(partitions, elements // RANGE_POSTINGS)
+    keyed = cut(pairs.join(ra, "a").join(rb, "b").select("a", "b", F.pmod(F.xxhash64(F.least("ra", "rb")), F.lit(blocks)).cast("int").alias("k")))
+    where = cut(keyed.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("g")).distinct())
+    n_places = where.count()
+    told = n_places <= most_told
+    if told:
+        got = where.toPandas()
+        places = spark.sparkContext.broadcast(Places(got["g"].to_numpy(dtype=np.int64), got["block"].to_numpy(dtype=np.int64)))
+    else:
+        places = spark.sparkContext.broadcast(_bloom(where.select("g"), n_places))
+    schema = pa.schema([("block", pa.int32()), ("home", pa.bool_()), ("g", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("x", pa.binary())])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, on = freq.value, np.unpackbits(bloom.value)
+        order = freq.value
+        on = None if told else np.unpackbits(places.value)
         for batch in batches:
             ids = batch.column("d").to_pylist()
+            given: set[int] = set()
             for start, part in pieces(batch, "t"):
                 sets = gram_sets(part, n)
                 full = [k for k, x in enumerate(sets) if len(x)]
                 if not full:
                     continue
                 g = np.array([_set_hash(order.prefix(sets[k], t), len(sets[k])) for k in full], dtype=np.int64)
-                hit = np.ones(len(g), dtype=bool)
-                for at in _bloom_bits(g, len(on)):
-                    hit &= on[at] > 0
-                given: set[int] = set()
-                s, x = [], []
-                for k, h in zip(full, hit):
-                    s.append(_set_hash(sets[k], 0))
-                    x.append(sets[k].tobytes() if h and s[-1] not in given else None)
-                    given.add(s[-1])
-                yield _rows(schema, g=g.tolist(), s=s, d=[ids[start + k] for k in full], x=x)
-
-    got = rows.mapInArrow(members, "g long, s long, d long, x binary")
-    sets = cut(got.groupBy("s").agg(F.first("g").alias("g"), F.sort_array(F.collect_set("d")).alias("ids"), F.first("x", ignorenulls=True).alias("x")))
-    # pairs that hang together meet in one block, so that each set is sent about once
-    ra, rb = root.select(F.col("g").alias("a"), F.col("root").alias("ra")), root.select(F.col("g").alias("b"), F.col("root").alias("rb"))
-    blocks = max(1, min(n_groups // 1000 + 1, 100_000))
-    keyed = cut(pairs.join(ra, "a").join(rb, "b").select("a", "b", F.pmod(F.xxhash64(F.least("ra", "rb")), F.lit(blocks)).cast("int").alias("k")))
-    where = keyed.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("g")).distinct()
-    sent = where.join(sets.where(F.col("x").isNotNull()), "g").select("block", "g", "s", "ids", "x")
-    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ids_a", pa.list_(pa.int64())), ("ids_b", pa.list_(pa.int64())), ("jaccard", pa.float64())])
+                out: dict[str, list] = {f.name: [] for f in schema}
+                if told:
+                    first, last = places.value.of(g)
+                else:
+                    hit = np.ones(len(g), dtype=bool)
+                    for at in _bloom_bits(g, len(on)):
+                        hit &= on[at] > 0
+                for i, k in enumerate(full):
+                    s = _set_hash(sets[k], 0)
+                    new = s not in given
+                    given.add(s)
+                    if told:
+                        mine = places.value.block[first[i] : last[i]].tolist()
+                        x = sets[k].tobytes() if mine and new else None
+                    else:
+                        mine, x = [], sets[k].tobytes() if hit[i] and new else None
+                    for m, block in enumerate(mine or [s % blocks]):
+                        for c, v in zip(out, (block, m == 0, int(g[i]), s, ids[start + k], x)):
+                            out[c].append(v)
+                yield _rows(schema, **out)
+
+    sent = rows.mapInArrow(members, "block int, home boolean, g long, s long, d long, x binary")
+    if not told:
+        sent = cut(sent)
+        placed = where.withColumnRenamed("block", "to").join(sent.select("g", "s", "d", "x"), "g")
+        placed = placed.select(F.col("to").alias("block"), F.lit(False).alias("home"), "g", "s", "d", "x")
+        sent = placed.unionByName(sent.select("block", "home", "g", "s", "d", F.lit(None).cast("binary").alias("x")))
+    result = pa.schema([("ids_a", pa.list_(pa.int64())), ("ids_b", pa.list_(pa.int64())), ("jaccard", pa.float64())])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_group: dict[int, list[tuple[int, list[int], np.ndarray]]] = {}
-        for g, s, ids, x in zip(*(right.column(c).to_pylist() for c in ("g", "s", "ids", "x"))):
-            by_group.setdefault(g, []).append((s, ids, np.frombuffer(x, dtype=np.uint64)))
+        ids: dict[int, set[int]] = {}
+        at_home: set[int] = set()
+        of: dict[int, dict[int, np.ndarray]] = {}
+        for home, g, s, d, x in zip(*(right.column(c) for c in ("home", "g", "s", "d", "x"))):
+            s = s.as_py()
+            ids.setdefault(s, set()).add(d.as_py())
+            if home.as_py():
+                at_home.add(s)
+            if x.is_valid and s not in of.setdefault(g.as_py(), {}):
+                of[g.as_py()][s] = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+        ordered = {s: sorted(v) for s, v in ids.items()}
         out: dict[str, list] = {f.name: [] for f in result}
+        for s in sorted(at_home):
+            if len(ordered[s]) > 1:
+                for c, v in zip(out, (ordered[s], None, 1.0)):
+                    out[c].append(v)
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            for i, (sa, ids_a, x) in enumerate(by_group.get(a, ())):
-                for sb, ids_b, y in by_group[a][i + 1 :] if a == b else by_group.get(b, ()):
+            mine = list(of.get(a, {}).items())
+            for i, (sa, x) in enumerate(mine):
+                for sb, y in mine[i + 1 :] if a == b else of.get(b, {}).items():
                     if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
                         continue
                     z = np.concatenate([x, y])
@@ -395,12 +476,11 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
                     common = int((z[1:] == z[:-1]).sum())
                     j = common / (len(z) - common)
                     if j >= t - 1e-12:
-                        for c, v in zip(out, (sa, sb, ids_a, ids_b, j)):
+                        for c, v in zip(out, (ordered[sa], ordered[sb], j)):
                             out[c].append(v)
         return pa.table(out, schema=result)
 
-    verified = keyed.groupBy("k").cogroup(sent.groupBy("block")).applyInArrow(verify, "a long, b long, ids_a array<long>, ids_b array<long>, jaccard double")
-    return sets.select("s", "ids"), verified
+    return keyed.groupBy("k").cogroup(sent.groupBy("block")).applyInArrow(verify, "ids_a array<long>, ids_b array<long>, jaccard double")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -417,27 +497,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str =
 
     A text of fewer than ``n`` words has one n-gram, of all its words. Null, empty or wordless text: in no
     pair. Null doc_id: in no pair. Rows that repeat an id with one text count once; an id with several
-    texts is paired by the most similar of them, never with itself. Empty table: empty result. Other
-    columns are ignored.
+    texts is paired by each of them, never with itself. Empty table: empty result. Other columns are
+    ignored.
     """
-    sets, verified = similar_sets(docs, n, t, text, doc_id)
-    near = verified.select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
-    same = sets.where(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("at", "x"))
-    same = same.select("x", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    both = near.unionByName(same).where(F.col("x") != F.col("y"))
-    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    found = similar_sets(docs, n, t, text, doc_id)
+    pairs = found.select(F.posexplode("ids_a").alias("at", "x"), F.col("ids_a").alias("own"), "ids_b", "jaccard")
+    others = F.coalesce("ids_b", F.expr("slice(own, at + 2, size(own))"))
+    pairs = pairs.select("x", F.explode(others).alias("y"), F.round("jaccard", 6).alias("jaccard")).where(F.col("x") != F.col("y"))
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Connected documents of the join: (doc_id, keeper), for documents of groups of two and more.
+    """Connected documents of the join: (doc_id, keeper), for all of a group but its keeper.
 
     The keeper is the group's smallest id. Rows of a set of copies hang on its first id, so that the
     edges are as many as documents and similar sets. Cases as for ``ngram_jaccard_join``.
     """
-    sets, verified = similar_sets(docs, n, t, text, doc_id)
-    same = sets.where(F.size("ids") > 1).select(F.col("ids")[0].alias("x"), F.explode(F.expr("slice(ids, 2, size(ids))")).alias("y"))
-    near = verified.select(F.col("ids_a")[0].alias("x"), F.col("ids_b")[0].alias("y"))
-    edges = cut(same.unionByName(near).where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+    found = similar_sets(docs, n, t, text, doc_id)
+    edges = found.select(F.col("ids_a")[0].alias("x"), F.explode(F.coalesce(F.slice("ids_b", 1, 1), F.expr("slice(ids_a, 2, size(ids_a))"))).alias("y"))
+    edges = cut(edges.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
     return components(edges)
 
 
