@@ -19,8 +19,10 @@ from eventide.llm.common import WORD, cut, mix, pieces
 MOST_FREQUENT = 1_000_000
 #: Documents below which a count isn't worth telling.
 LEAST_DF = 8
+#: Low bits of hashes that are left out where sets are compared: 48 bits tell the n-grams of two documents apart.
+SENT = np.uint64(16)
 #: Prefix entries that one reducer takes, on average.
-RANGE_POSTINGS = 1_500_000
+RANGE_POSTINGS = 2_000_000
 #: The most groups with candidates whose blocks are told to every task (16 bytes each); beyond, sets are joined to them.
 MOST_TOLD = 4_000_000
 #: The most bits of the filter that says which groups have candidates.
@@ -410,9 +412,9 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = freq.value
         on = None if told else np.unpackbits(places.value)
+        given: set[int] = set()
         for batch in batches:
             ids = batch.column("d").to_pylist()
-            given: set[int] = set()
             for start, part in pieces(batch, "t"):
                 sets = gram_sets(part, n)
                 full = [k for k, x in enumerate(sets) if len(x)]
@@ -432,9 +434,9 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
                     given.add(s)
                     if told:
                         mine = places.value.block[first[i] : last[i]].tolist()
-                        x = sets[k].tobytes() if mine and new else None
+                        x = _pack(sets[k] >> SENT) if mine and new else None
                     else:
-                        mine, x = [], sets[k].tobytes() if hit[i] and new else None
+                        mine, x = [], _pack(sets[k] >> SENT) if hit[i] and new else None
                     for m, block in enumerate(mine or [s % blocks]):
                         for c, v in zip(out, (block, m == 0, int(g[i]), s, ids[start + k], x)):
                             out[c].append(v)
@@ -458,7 +460,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
             if home.as_py():
                 at_home.add(s)
             if x.is_valid and s not in of.setdefault(g.as_py(), {}):
-                of[g.as_py()][s] = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                of[g.as_py()][s] = _unpack(x.as_py())
         ordered = {s: sorted(v) for s, v in ids.items()}
         out: dict[str, list] = {f.name: [] for f in result}
         for s in sorted(at_home):
@@ -487,7 +489,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str =
     """All pairs of documents whose sets of word ``n``-grams have Jaccard ``t`` or more: (doc_a, doc_b, jaccard).
 
     Words are runs of letters, digits and underscores in lower case; doc_a < doc_b. The join is exact, up
-    to collisions of 64-bit hashes. N-grams are ordered by their number of documents, the rare ones first;
+    to collisions of 48-bit hashes within two documents. N-grams are ordered by their number of documents, the rare ones first;
     documents of one set size and one prefix form a group. Groups that share a prefix element, are of fit
     sizes and have enough elements in common are candidates, and the sets of their members are compared.
     No posting list, group or partner list is capped.
