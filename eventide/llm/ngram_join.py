@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import WORD, cut, mix, pieces
+from eventide.llm.common import WORD, cut, fresh, mix, pieces
 
 #: The most n-grams whose frequency is told to every task (12 bytes each). It orders prefixes; results don't depend on it.
 MOST_FREQUENT = 1_000_000
@@ -543,15 +543,16 @@ def keep_one(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", do
     drop are broadcast while there are at most ``broadcast_ids`` of them, else joined by shuffle. Columns
     stay as they are, whatever their names.
     """
-    key = docs[doc_id]
-    drop = cut(near_duplicate_groups(docs, n, t, text, doc_id).select(F.col("doc_id").alias("dropped_id")))
-    twice = cut(docs.where(key.isNotNull()).groupBy(key.cast("long").alias("repeated_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("repeated_id"))
+    key, gone, again = docs[doc_id], fresh(docs, "dropped_id"), fresh(docs, "repeated_id")
+    drop = cut(near_duplicate_groups(docs, n, t, text, doc_id).select(F.col("doc_id").alias(gone)))
+    rows = docs.select(key.cast("long").alias(again)).where(F.col(again).isNotNull())
+    twice = cut(rows.groupBy(again).agg(F.count("*").alias("rows")).where("rows > 1").select(again))
     small = lambda x: F.broadcast(x) if x.count() <= broadcast_ids else x
-    left = docs.join(small(drop), key.cast("long") == F.col("dropped_id"), "left_anti")
+    left = docs.join(small(drop), key.cast("long") == F.col(gone), "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(small(twice), left[doc_id].cast("long") == F.col("repeated_id"), "left_anti")
-    more = left.join(small(twice), left[doc_id].cast("long") == F.col("repeated_id"), "left_semi")
+    once = left.join(small(twice), left[doc_id].cast("long") == F.col(again), "left_anti")
+    more = left.join(small(twice), left[doc_id].cast("long") == F.col(again), "left_semi")
     return once.unionByName(more.dropDuplicates([doc_id, text]))
 
 

@@ -18,7 +18,7 @@ def lpt_runs(sizes: list[tuple[int, int]], n_shards: int) -> tuple[dict[int, tup
     """Schedule a histogram of (size, number of groups) exactly as group-by-group LPT would.
 
     Groups go largest first to the least-loaded shard, the lowest number on ties. Once all loads lie
-    within one size of each other, further groups of that size visit the shards in a cycle, so each size
+    closer than one size to each other, further groups of that size visit the shards in a cycle, so each size
     gets an explicit head and a cycle that repeats; the work follows the distinct sizes, not the groups.
     Returns for each size (head, cycle), and the loads.
     """
@@ -27,9 +27,7 @@ def lpt_runs(sizes: list[tuple[int, int]], n_shards: int) -> tuple[dict[int, tup
     for size, count in sorted(sizes, reverse=True):
         head: list[int] = []
         top = max(x for x, _ in heap)
-        while count and (size == 0 or top - heap[0][0] > size):
-            if size == 0:
-                break
+        while count and size and top - heap[0][0] >= size:
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
             top = max(top, load + size)
