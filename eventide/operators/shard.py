@@ -38,25 +38,28 @@ class Ring:
         return self.points[i % len(self.points)][1]
 
     def column(self, key: Column) -> Column:
-        """The shard of a key column. A few hundred points are compared by halves, not one after the other."""
+        """The shard of a key column.
+
+        The ring is cut into cells by the hash's leading bits, about four for each point, so that a key is
+        compared with the points of its own cell only.
+        """
+        points, n = [p for p, _ in self.points], len(self.points)
+        bits = min(16, max(1, (4 * n - 1).bit_length()))
+        starts = [bisect.bisect_left(points, c << (32 - bits)) for c in range((1 << bits) + 1)]
+        # one string literal each, which Catalyst folds into an array
+        numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
         h = scalar.ring_hash(key)
-        ends = [p for p, _ in self.points]
-
-        def node(low: int, high: int) -> Column:
-            # the first point at or behind h is one of low..high; len(ends) stands for the wrap to the first
-            if low == high:
-                return F.lit(self.points[low % len(ends)][1])
-            middle = (low + high) // 2
-            return F.when(h <= ends[middle], node(low, middle)).otherwise(node(middle + 1, high))
-
-        return node(0, len(ends))
+        cell = F.shiftright(h, 32 - bits).cast("int")
+        first, last = (F.element_at(numbers(starts), cell + k).cast("int") for k in (1, 2))
+        below = F.size(F.filter(F.slice(numbers(points), first + 1, last - first), lambda p: p < h))
+        owners = numbers([self.shards.index(s) for _, s in self.points])
+        names = F.array(*[F.lit(s) for s in self.shards])
+        owner = F.element_at(owners, F.pmod(first + below, F.lit(n)) + 1)
+        return F.element_at(names, (owner + 1).cast("int"))
 
     def lookup(self, df: DataFrame, key: Column, name: str = "shard") -> DataFrame:
-        """``df`` with the shard of each key, found in a literal array of the points by its place."""
-        ends = F.array(*[F.lit(p) for p, _ in self.points])
-        owners = F.array(*[F.lit(s) for _, s in self.points])
-        place = F.size(F.filter(ends, lambda p: p < F.col("ring_hash_")))
-        return df.withColumn("ring_hash_", scalar.ring_hash(key)).withColumn(name, F.element_at(owners, (F.pmod(place, F.lit(len(self.points))) + 1).cast("int"))).drop("ring_hash_")
+        """``df`` with the shard of each key."""
+        return df.withColumn(name, self.column(key))
 
     def with_shard(self, shard: str) -> Ring:
         return Ring((*self.shards, shard), self.virtual_nodes)
