@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.functions import scalar
@@ -130,3 +130,43 @@ def migration_progress(log: DataFrame) -> DataFrame:
 def migrating_query(old: DataFrame, new: DataFrame, f: EventFilter, **options) -> DataFrame:
     """A query while events move: both places are asked, ids come once."""
     return scatter_gather([old, new], f, **options)
+
+
+class ShardedTable:
+    """Events on disk by shard: a folder partitioned by the shard of the author."""
+
+    def __init__(self, spark: SparkSession, path: str, ring: Ring, key: Column | None = None) -> None:
+        self.spark, self.path, self.ring, self.key = spark, path.rstrip("/"), ring, key
+
+    @property
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def append(self, events: DataFrame) -> None:
+        out = assign(events, self.ring, self.key)
+        out.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
+
+    def query(self, f: EventFilter, **options) -> DataFrame:
+        """Only the shards of the filter's authors are read."""
+        return routed_query(self.events, self.ring, f, **options)
+
+    def count(self, f: EventFilter) -> int:
+        own = shards_for(self.ring, f.authors)
+        return retrieve.count(self.events.where(F.col("shard").isin(own)), f).first()["n"]
+
+    def distribution(self) -> DataFrame:
+        return self.events.groupBy("shard").agg(F.count("*").alias("n"))
+
+    def rebalance(self, new: Ring, path: str, dry_run: bool = False) -> int:
+        """Write the events under another ring to another folder and use that; the number that change shards.
+
+        A job that dies leaves the old folder in use; with ``dry_run`` only the number is found.
+        """
+        events = self.events
+        key = author_key(F.col("pubkey")) if self.key is None else self.key
+        n = events.where(new.column(key) != F.col("shard")).count()
+        if not dry_run:
+            out = new.lookup(events.drop("shard"), key)
+            out.repartition("shard").write.partitionBy("shard").parquet(path)
+            self.path, self.ring = path.rstrip("/"), new
+        return n

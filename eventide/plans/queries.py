@@ -84,7 +84,7 @@ _SEARCH = "(contains(lower(content), '{0}') OR len(list_filter(tags, lambda t: l
 _filter_query("q_search_tags", EventFilter(search="Purch", limit=70), _SEARCH.format("purch"), 70)
 _filter_query("q_kind_search", EventFilter(kinds=(1, 7), search="VIEW 2", limit=None), f"kind IN (1, 7) AND {_SEARCH.format('view 2')}", None)
 _filter_query("q_author_tag_search", EventFilter(authors=tuple(range(40)), tags={"p": ("3", "8")}, search="click", limit=None), f"pubkey < 40 AND kind IN ({_KINDS}) AND {_tag('p', '3', '8')} AND {_SEARCH.format('click')}", None)
-_filter_query("q_many_authors_joined", EventFilter(authors=tuple(range(0, 4002, 2)), kinds=(1,)), "pubkey % 2 = 0 AND pubkey < 4002 AND kind = 1")
+_filter_query("q_many_authors_joined", EventFilter(authors=tuple(range(10, 4010)), kinds=(1,)), "pubkey BETWEEN 10 AND 4009 AND kind = 1")
 
 
 @register("q_search_content", f", n AS (SELECT max(doc_id) + 1 AS n FROM documents), e AS (SELECT ev.* EXCLUDE (content), d.text AS content FROM ev, n, documents d WHERE d.doc_id = ev.id % n.n) SELECT id, pubkey, created_at, kind FROM e WHERE NOT deleted AND {_SEARCH.format('license')} ORDER BY created_at DESC, id LIMIT 100")
@@ -155,30 +155,31 @@ def q_live_excludes_replaced(spark, sf_dir):
     return lifecycle.live(activity_events(spark, sf_dir)).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@register("q_delete_batch", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE id % 13 <> 0")
+@register("q_delete_batch", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE kind <> 7")
 def q_delete_batch(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
-    return lifecycle.delete(ev, ev.where("id % 13 = 0").select("id").unionByName(spark.range(-5, 0))).select(*_COLUMNS)
+    return lifecycle.delete(ev, ev.where("kind = 7").select("id").unionByName(spark.range(-5, 0))).select(*_COLUMNS)
 
 
-@register("q_delete_by_author", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE pubkey % 10 <> 4")
+@register("q_delete_by_author", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE pubkey NOT IN (SELECT pubkey FROM ev WHERE kind = 0 GROUP BY pubkey HAVING count(*) > 12)")
 def q_delete_by_author(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
-    return lifecycle.delete_by_author(ev, ev.where("pubkey % 10 = 4").select("pubkey").distinct()).select(*_COLUMNS)
+    often = ev.where("kind = 0").groupBy("pubkey").count().where("count > 12")
+    return lifecycle.delete_by_author(ev, often).select(*_COLUMNS)
 
 
-@register("q_mark_flags", "SELECT id, deleted OR id % 5 = 0 AS deleted, replaced OR id % 7 = 0 AS replaced FROM ev")
+@register("q_mark_flags", "SELECT id, deleted OR kind = 7 AS deleted, replaced OR kind = 0 AS replaced FROM ev")
 def q_mark_flags(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
-    flags = ev.where("id % 5 = 0 OR id % 7 = 0").select("id", (F.col("id") % 5 == 0).alias("deleted"), (F.col("id") % 7 == 0).alias("replaced"))
+    flags = ev.where("kind IN (0, 7)").select("id", (F.col("kind") == 7).alias("deleted"), (F.col("kind") == 0).alias("replaced"))
     return lifecycle.mark(ev, flags).select("id", "deleted", "replaced")
 
 
-@register("q_dedup_ingest", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE id % 3 = 0")
+@register("q_dedup_ingest", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE created_at >= {UNTIL}")
 def q_dedup_ingest(spark, sf_dir):
-    """Two of three events are stored; all come again, twice."""
+    """Events up to a time are stored; all come again, twice."""
     ev = activity_events(spark, sf_dir).select(*_COLUMNS)
-    return lifecycle.new_events(ev.unionByName(ev), ev.where("id % 3 <> 0"))
+    return lifecycle.new_events(ev.unionByName(ev), ev.where(F.col("created_at") < UNTIL))
 
 
 @register("q_union_distinct", f"SELECT DISTINCT {', '.join(_COLUMNS)} FROM ev WHERE kind = 1 OR pubkey = 8 OR {_tag('p', '3')}")
@@ -210,7 +211,7 @@ def q_replaced_ids(spark, sf_dir):
 @register("q_replace_events", f"SELECT {', '.join(_COLUMNS)} FROM ev WHERE kind NOT IN (0, 30023) OR id IN (SELECT id FROM ev WHERE kind IN (0, 30023) QUALIFY row_number() OVER (PARTITION BY pubkey, kind, CASE WHEN kind = 30023 THEN {_D} ELSE '' END ORDER BY created_at DESC, id) = 1)")
 def q_replace_events(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
-    return lifecycle.replace(ev.where("id % 2 = 0"), ev).select(*_COLUMNS)
+    return lifecycle.replace(ev.where(F.col("created_at") < SINCE), ev).select(*_COLUMNS)
 
 
 @register("q_kind_class_counts", "SELECT CASE WHEN kind BETWEEN 30000 AND 39999 THEN 'parameterized' WHEN kind IN (0, 3) OR kind BETWEEN 10000 AND 19999 THEN 'replaceable' ELSE 'regular' END AS class, count(*) AS n FROM ev GROUP BY 1")
@@ -316,10 +317,10 @@ def q_shard_scatter_gather(spark, sf_dir):
     return shard.scatter_gather([ev.where(F.col("shard") == s) for s in RING.shards], EventFilter(kinds=(1, 6), since=SINCE, until=UNTIL, limit=150)).select(*_COLUMNS)
 
 
-@register("q_shard_duplicates", "SELECT id, 2::BIGINT AS shards FROM ev WHERE id % 50 = 0")
+@register("q_shard_duplicates", "SELECT id, 2::BIGINT AS shards FROM ev WHERE kind = 0")
 def q_shard_duplicates(spark, sf_dir):
     ev = shard.assign(activity_events(spark, sf_dir), RING)
-    return shard.duplicates(ev.unionByName(ev.where("id % 50 = 0").withColumn("shard", F.lit("shard-x"))))
+    return shard.duplicates(ev.unionByName(ev.where("kind = 0").withColumn("shard", F.lit("shard-x"))))
 
 
 @register("q_rebalance_moves", f", {_ring_sql(RING)}, {_ring_sql(WIDER, 'wider')}, a AS (SELECT DISTINCT pubkey, {_HASHED.format('pubkey')} AS h FROM ev), o AS (SELECT pubkey, {_owner('h')} AS from_shard, {_owner('h', 'wider')} AS to_shard FROM a) SELECT id, pubkey, from_shard, to_shard FROM ev JOIN o USING (pubkey) WHERE from_shard <> to_shard")
@@ -329,15 +330,15 @@ def q_rebalance_moves(spark, sf_dir):
 
 @register("q_migrating_query", _found(f"kind = 1 AND {_T}", 120))
 def q_migrating_query(spark, sf_dir):
-    """Half of the events have moved already, some lie in both places."""
+    """Events of the later time have moved already, some lie in both places."""
     ev = activity_events(spark, sf_dir)
-    return shard.migrating_query(ev.where("id % 2 = 0 OR id % 3 = 0"), ev.where("id % 2 = 1"), EventFilter(kinds=(1,), since=SINCE, until=UNTIL, limit=120)).select(*_COLUMNS)
+    return shard.migrating_query(ev.where(F.col("created_at") < (SINCE + 2 * UNTIL) / 3), ev.where(F.col("created_at") >= (SINCE + UNTIL) / 2), EventFilter(kinds=(1,), since=SINCE, until=UNTIL, limit=120)).select(*_COLUMNS)
 
 
-@register("q_migration_progress", "SELECT count(*) FILTER (id % 10 < 7) AS migrated, count(*) FILTER (id % 10 = 7) AS failed, count(*) FILTER (id % 10 = 8) AS skipped, count(*) FILTER (id % 10 = 9) AS pending, round(count(*) FILTER (id % 10 < 7) / count(*) FILTER (id % 10 < 9), 6) AS progress FROM ev")
+@register("q_migration_progress", "SELECT count(*) FILTER (kind IN (0, 1)) AS migrated, count(*) FILTER (kind = 6) AS failed, count(*) FILTER (kind = 7) AS skipped, count(*) FILTER (kind = 30023) AS pending, round(count(*) FILTER (kind IN (0, 1)) / count(*) FILTER (kind < 8), 6) AS progress FROM ev")
 def q_migration_progress(spark, sf_dir):
-    m = F.col("id") % 10
-    log = activity_events(spark, sf_dir).select(F.when(m < 7, "migrated").when(m == 7, "failed").when(m == 8, "skipped").otherwise("pending").alias("state"))
+    kind = F.col("kind")
+    log = activity_events(spark, sf_dir).select(F.when(kind < 6, "migrated").when(kind == 6, "failed").when(kind == 7, "skipped").otherwise("pending").alias("state"))
     return shard.migration_progress(log).withColumn("progress", F.round("progress", 6))
 
 
@@ -348,12 +349,12 @@ def q_latency_percentiles(spark, sf_dir):
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean")])
 
 
-_LOG = ", l AS (SELECT CASE WHEN id % 20 = 0 THEN 4 WHEN id % 5 = 0 THEN 2 WHEN id % 7 = 0 THEN 3 ELSE 1 END AS op, id + 1 AS lsn, pubkey, id * 64 AS location FROM ev) "
+_LOG = ", l AS (SELECT CASE kind WHEN 0 THEN 4 WHEN 6 THEN 2 WHEN 7 THEN 3 ELSE 1 END AS op, id + 1 AS lsn, pubkey, id * 64 AS location FROM ev) "
 
 
 def _log(spark, sf_dir):
-    i = F.col("id")
-    op = F.when(i % 20 == 0, 4).when(i % 5 == 0, 2).when(i % 7 == 0, 3).otherwise(1)
+    i, kind = F.col("id"), F.col("kind")
+    op = F.when(kind == 0, 4).when(kind == 6, 2).when(kind == 7, 3).otherwise(1)
     return activity_events(spark, sf_dir).select(op.alias("op"), (i + 1).alias("lsn"), "pubkey", (i * 64).alias("location"))
 
 
@@ -374,10 +375,10 @@ def q_recovery_last_location(spark, sf_dir):
     return lifecycle.last_locations(_log(spark, sf_dir).where("op = 1"), "pubkey")
 
 
-@register("q_resolve_inserts", "SELECT id + 1 AS lsn, id, id % 3 <> 0 AS stored FROM ev")
+@register("q_resolve_inserts", "SELECT id + 1 AS lsn, id, kind <> 7 AS stored FROM ev")
 def q_resolve_inserts(spark, sf_dir):
     ev = activity_events(spark, sf_dir)
-    return lifecycle.resolve_inserts(ev.select((F.col("id") + 1).alias("lsn"), "id"), ev.where("id % 3 <> 0"))
+    return lifecycle.resolve_inserts(ev.select((F.col("id") + 1).alias("lsn"), "id"), ev.where("kind <> 7"))
 
 
 @register("q_integrity", "SELECT created_at // 86400 AS segment, count(*) AS records, 0::BIGINT AS corrupt, 0::BIGINT AS duplicates FROM ev GROUP BY 1")

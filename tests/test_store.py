@@ -171,3 +171,22 @@ def test_metrics():
     assert "eventide_hit_rate 75.0" in m.prometheus()
     m.reset()
     assert m.snapshot()["hit_rate"] == 0.0
+
+
+def test_sharded_table(spark, tmp_path):
+    from eventide.operators.shard import Ring, ShardedTable
+
+    rows = [(k, k % 40, 1000 + k, 1, [], "x", False) for k in range(400)]
+    events = spark.createDataFrame(rows, "id long, pubkey long, created_at long, kind int, tags array<array<string>>, content string, deleted boolean")
+    t = ShardedTable(spark, f"{tmp_path}/a", Ring(["a", "b", "c"], 60))
+    t.append(events)
+    f = EventFilter(authors=(3, 5), kinds=(1,), limit=None)
+    want = [r[0] for r in rows[::-1] if r[1] in (3, 5)]
+    assert [r["id"] for r in t.query(f).collect()] == want and t.count(f) == 20
+    assert "PartitionFilters: [shard" in t.query(f)._jdf.queryExecution().executedPlan().toString()
+    wider = t.ring.with_shard("d")
+    moved = [k for k in range(40) if t.ring.shard_of(str(k)) != wider.shard_of(str(k))]
+    assert t.rebalance(wider, f"{tmp_path}/b", dry_run=True) == 10 * len(moved) and t.path.endswith("a")
+    assert t.rebalance(wider, f"{tmp_path}/b") == 10 * len(moved) and t.path.endswith("b")
+    assert [r["id"] for r in t.query(f).collect()] == want and sum(r["n"] for r in t.distribution().collect()) == 400
+    assert all(wider.shard_of(str(r["pubkey"])) == r["shard"] for r in t.events.collect())
