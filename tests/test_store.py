@@ -190,3 +190,33 @@ def test_sharded_table(spark, tmp_path):
     assert t.rebalance(wider, f"{tmp_path}/b") == 10 * len(moved) and t.path.endswith("b")
     assert [r["id"] for r in t.query(f).collect()] == want and sum(r["n"] for r in t.distribution().collect()) == 400
     assert all(wider.shard_of(str(r["pubkey"])) == r["shard"] for r in t.events.collect())
+
+
+def test_records_round_trip_and_damage(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from eventide.sources import records
+
+    event = st.fixed_dictionaries(
+        {
+            "id": st.binary(min_size=32, max_size=32), "pubkey": st.binary(max_size=32), "created_at": st.integers(0, 2**32 - 1), "kind": st.integers(0, 65535),
+            "tags": st.lists(st.lists(st.text(st.characters(codec="utf-8"), max_size=9), max_size=4), max_size=4), "content": st.text(st.characters(codec="utf-8"), max_size=300), "sig": st.binary(max_size=64), "deleted": st.booleans(), "replaced": st.booleans(),
+        }
+    )
+
+    @settings(max_examples=150, deadline=None)
+    @given(event, st.integers(0, 10**6), st.integers(1, 255))
+    def check(e, at, change):
+        r = records.encode(e)
+        assert records.decode(r) == e
+        bad = bytearray(r)
+        bad[at % len(r)] ^= change
+        assert records.decode(bytes(bad)) is None and records.decode(r[: at % len(r)]) is None
+
+    check()
+    events = frame(spark, [row(k, tags=[("e", "x" * 5000), ()], content="é" * 9000) for k in range(5)])
+    got = records.to_records(events)
+    assert sorted(map(tuple, records.from_records(got).collect())) == sorted(map(tuple, events.collect()))
+    damaged = got.unionByName(spark.createDataFrame([(b"nonsense",), (b"",), (None,)], "record binary"))
+    assert records.scan_records(damaged).where("corrupt").count() == 3 and records.from_records(damaged).count() == 5
