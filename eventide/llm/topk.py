@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from eventide.llm.common import cut
 
 #: Vectors in a bucket, and queries in a block.
-BUCKET, BLOCK = 4096, 1024
+BUCKET, BLOCK = 4096, 4096
 #: Coordinates that coordinate pruning looks at.
 FOCUS = 4
 #: Local thresholds up to this prune nothing by coordinates.
@@ -107,11 +107,6 @@ def search_block(bucket: Bucket, ids: np.ndarray, queries: np.ndarray, least: np
     return np.concatenate(rows), np.concatenate(places), np.concatenate(products)
 
 
-def _stack(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
 def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """The ``k`` largest inner products of every query: (query_id, neighbor_id, rank, product).
 
@@ -167,22 +162,25 @@ def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None =
     table = F.create_map(*[F.lit(v) for lv, (a, p) in first.items() for v in (lv, a)])
     parts = F.create_map(*[F.lit(v) for lv, (a, p) in first.items() for v in (lv, p)])
     placed = base.withColumn("b", (table[F.col("level")] + F.floor(h * parts[F.col("level")])).cast("int"))
-    bucket_schema = pa.schema([("b", pa.int32()), ("most", pa.float64()), ("ids", pa.list_(pa.int64())), ("xs", pa.list_(pa.float64()))])
+    # values travel as bytes, in the width that they came in
+    kinds = [df.schema[embedding].dataType.elementType.typeName() for df in (vectors, queries) if df is not None]
+    width = np.dtype(np.float32 if set(kinds) == {"float"} else np.float64)
+    bucket_schema = pa.schema([("b", pa.int32()), ("most", pa.float64()), ("ids", pa.list_(pa.int64())), ("xs", pa.binary())])
 
     def gather(group: pa.Table) -> pa.Table:
         own = group.sort_by("id")
         norms = own.column("norm").to_numpy()
-        ids, xs = own.column("id").combine_chunks(), own.column("x").combine_chunks().flatten()
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (ids, xs)]
-        return pa.table({"b": pa.array([group.column("b")[0].as_py()], pa.int32()), "most": [float(norms.max())], "ids": lists[0], "xs": lists[1]}, schema=bucket_schema)
+        ids, xs = own.column("id").combine_chunks(), own.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.table({"b": pa.array([group.column("b")[0].as_py()], pa.int32()), "most": [float(norms.max())], "ids": held, "xs": [xs.astype(width).tobytes()]}, schema=bucket_schema)
 
-    buckets = cut(placed.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs array<double>"))
+    buckets = cut(placed.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs binary"))
     asked = base if queries is None else clean(queries).where(F.size("x") == dim).withColumn("norm", norm)
     n_asked = n if queries is None else asked.count()
     n_blocks = max(1, -(-n_asked // block))
     # blocks of like directions and lengths would prune more; by hash they are alike in size
     blocks = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).cast("int"))
-    blocks = cut(blocks.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs array<double>"))
+    blocks = cut(blocks.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs binary"))
     include_self = queries is not None
     hit_schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("product", pa.float64())])
     q_side = blocks.select(F.col("b").alias("qb"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
@@ -192,16 +190,17 @@ def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None =
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
-                ids, xs, p_ids = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q_ids", "q_xs", "p_ids"))
-                p = Bucket(p_ids, _stack(one.column("p_xs"), dim))
+                ids, p_ids = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q_ids", "p_ids"))
+                xs, p_xs = (np.frombuffer(one.column(c)[0].as_py(), dtype=width).astype(np.float64).reshape(-1, dim) for c in ("q_xs", "p_xs"))
+                p = Bucket(p_ids, p_xs)
                 least = one.column("least").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                row, place, product = search_block(p, ids, xs.reshape(-1, dim), least, k, include_self)
+                row, place, product = search_block(p, ids, xs, least, k, include_self)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(p.ids[place]), pa.array(product)], schema=hit_schema)
 
     def join(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(p_side, "pb").join(q_side, "qb").select("p_ids", "p_xs", "q_ids", "q_xs", "least")
-        return both.repartition(max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks * at))).mapInArrow(meet, "query_id long, neighbor_id long, product double")
+        # rows of the second join go to Python one by one as they come, so a task holds one pair of arrays
+        return pairs.join(p_side, "pb").join(q_side, "qb").select("p_ids", "p_xs", "q_ids", "q_xs", "least").mapInArrow(meet, "query_id long, neighbor_id long, product double")
 
     # each block starts with one of the buckets that make up the longest vectors
     head = max(1, min(at, first[min(first)][1]))
