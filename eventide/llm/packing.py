@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventide.llm.common import cut
+
 SLICES = 256
 COLUMNS = "doc_id long, part long, start long, length long, pack_id long, slot long"
 
@@ -149,7 +151,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, bins: int = 128, most:
     if length is None:
         words = F.regexp_count(F.col(text), F.lit(r"\S+"))
         length = F.when(words > 0, words + 1)
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), length.cast("long").alias("n")).where(F.col("n") >= 1)
+    # texts are read once: ids and lengths are all that is needed of them
+    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), length.cast("long").alias("n"))).where(F.col("n") >= 1)
     parts = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("part"))
     parts = parts.select("doc_id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("long").alias("length"))
     parts = parts.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SLICES)).cast("int"))
