@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import WORD, cut, fresh, mix, pieces
+from eventide.llm.common import cut, fresh, mix, pieces
 
 #: The most n-grams whose frequency is told to every task (12 bytes each). It orders prefixes; results don't depend on it.
 MOST_FREQUENT = 1_000_000
@@ -25,23 +24,48 @@ SENT = np.uint64(16)
 RANGE_POSTINGS = 2_000_000
 #: The most groups with candidates whose blocks are told to every task (16 bytes each); beyond, sets are joined to them.
 MOST_TOLD = 4_000_000
+#: Characters whose words are hashed at once.
+CHARS = 1_000_000
 #: The most bits of the filter that says which groups have candidates.
 BLOOM_BITS = 1 << 28
 
 
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Whether each code point belongs to words, as WORD has it."""
+    return np.array([c == 95 or chr(c).isalnum() for c in range(0x110000)], dtype=bool)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of all words of the texts, in lower case and in a row, and the number of words of each text.
+
+    Works on arrays of code points, so that no string is made of a word.
+    """
+    low = [t.lower() for t in texts]
+    chars = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = _word_characters()[chars]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), [0] * len(texts)
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    size = np.diff(np.append(first, len(at)))
+    place = (np.arange(len(at)) - np.repeat(first, size)).astype(np.uint64)
+    h = mix(np.add.reduceat(mix(chars[at] + (place << np.uint64(32)) + np.uint64(0x9E37)), first))
+    ends = np.cumsum([len(t) + 1 for t in low])
+    return h, np.diff(np.searchsorted(at[first], ends), prepend=0).tolist()
+
+
 def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams; a text of fewer words has one, of all of them."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    lengths = [len(w) for w in words]
-    flat = np.array(list(chain.from_iterable(words)) or [""], dtype=object)
-    h = pd.util.hash_array(flat, categorize=False)
+    h, lengths = word_hashes(texts)
     grams = np.full(max(len(h) - n + 1, 0), n * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
     for k in range(n):
         grams = mix(grams * np.uint64(3) + h[k : k + len(grams)])
     out, at = [], 0
     for m in lengths:
         if m >= n:
-            out.append(np.unique(grams[at : at + m - n + 1]))
+            x = np.sort(grams[at : at + m - n + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif m:
             x = np.array([m * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64)
             for k in range(m):
@@ -111,7 +135,7 @@ def _frequencies(texts: DataFrame, n: int, ranges: int) -> tuple[Frequencies, in
             return _rows(schema, r=[k for k, _, _ in parts], keys=[_pack(a.astype(np.uint64)) for _, a, _ in parts], counts=small, total=[int(c.sum()) for _, _, c in parts])
 
         for batch in batches:
-            for _, part in pieces(batch, "t"):
+            for _, part in pieces(batch, "t", CHARS):
                 for x in gram_sets(part, n):
                     if len(x):
                         have.append((x >> np.uint64(32)).astype(np.uint32))
@@ -230,7 +254,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
 
         held = 0
         for batch in batches:
-            for _, part in pieces(batch, "t"):
+            for _, part in pieces(batch, "t", CHARS):
                 for x in gram_sets(part, n):
                     if len(x):
                         p = order.prefix(x, t)
@@ -415,7 +439,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
         given: set[int] = set()
         for batch in batches:
             ids = batch.column("d").to_pylist()
-            for start, part in pieces(batch, "t"):
+            for start, part in pieces(batch, "t", CHARS):
                 sets = gram_sets(part, n)
                 full = [k for k, x in enumerate(sets) if len(x)]
                 if not full:
