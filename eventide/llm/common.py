@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent a temporary folder is made, which only a local master may do.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
