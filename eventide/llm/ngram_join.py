@@ -502,7 +502,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
                     common = int((z[1:] == z[:-1]).sum())
                     j = common / (len(z) - common)
                     if j >= t - 1e-12:
-                        for c, v in zip(out, (ordered[sa], ordered[sb], j)):
+                        for c, v in zip(out, (*sorted((ordered[sa], ordered[sb])), j)):
                             out[c].append(v)
         return pa.table(out, schema=result)
 
