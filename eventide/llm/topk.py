@@ -199,8 +199,8 @@ def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None =
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(p.ids[place]), pa.array(product)], schema=hit_schema)
 
     def join(pairs: DataFrame) -> DataFrame:
-        # rows of the second join go to Python one by one as they come, so a task holds one pair of arrays
-        return pairs.join(p_side, "pb").join(q_side, "qb").select("p_ids", "p_xs", "q_ids", "q_xs", "least").mapInArrow(meet, "query_id long, neighbor_id long, product double")
+        # hash joins hold a partition's share of buckets or blocks and stream the pairs, which needn't be sorted
+        return pairs.join(p_side.hint("shuffle_hash"), "pb").join(q_side.hint("shuffle_hash"), "qb").select("p_ids", "p_xs", "q_ids", "q_xs", "least").mapInArrow(meet, "query_id long, neighbor_id long, product double")
 
     # each block starts with one of the buckets that make up the longest vectors
     head = max(1, min(at, first[min(first)][1]))
