@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventide.llm.common import WORD, mix, pieces
+from eventide.llm.common import WORD, cut, mix, pieces
 
 #: The most labelled documents of each language, and words of each, that the model is fitted on.
 DOCS_PER_LANG, WORDS_PER_DOC = 150, 400
+#: Up to so many chosen ids, over all languages, are broadcast.
+BROADCAST_IDS = 1_000_000
 BUCKETS = 1 << 16
-#: Weights that a word has besides those of its character n-grams: whole word, affixes, lexicon.
-AFFIXES = 3
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +168,11 @@ class Crf:
 
 def training_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = DOCS_PER_LANG, per_doc: int = WORDS_PER_DOC) -> list[tuple[str, list[str]]]:
     """(language, words) of at most ``per_lang`` labelled documents each, by md5 of the id; of each a run of words from a hashed start."""
-    rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("m", "t"))
-    chosen = rows.select("l", F.coalesce(F.md5("d"), F.lit("")).alias("m"), "t").withColumn("k", rank).where(F.col("k") <= per_lang)
+    rows = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("d IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL")
+    # ids are ranked, and texts then fetched for those chosen
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("m", "d"))
+    ids = cut(rows.select("d", "l", F.md5("d").alias("m")).withColumn("k", rank).where(F.col("k") <= per_lang).select("d", "l", "m").distinct())
+    chosen = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["d", "l"]).dropDuplicates(["d", "l"])
     words = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     start = F.lit(1) + F.pmod(F.xxhash64("m"), F.greatest(F.size("w") - per_doc, F.lit(1)))
     got = chosen.select("l", "m", words.alias("w")).where(F.size("w") > 0).select("l", "m", F.slice("w", start.cast("int"), per_doc).alias("w"))
