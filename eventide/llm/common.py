@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: One word: a run of letters, digits or underscores.
 WORD = re.compile(r"\w+")
@@ -71,8 +70,3 @@ def mix(x: np.ndarray) -> np.ndarray:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def unit_hash(*columns) -> F.Column:
-    """A spread value in 0..255 from md5, the same in any SQL engine: the first two hex digits."""
-    return F.substring(F.md5(F.concat_ws("|", *columns)), 1, 2)

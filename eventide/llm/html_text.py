@@ -30,9 +30,8 @@ _IMPLIED = {
     **{x: (_CELL | _ROW | _PART, _TABLE) for x in ("thead", "tbody", "tfoot", "colgroup")},
     "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
-#: Inline elements that end with the block around them.
+#: Comments, declarations, end tags, start tags.
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
-_HIDING = re.compile(r"(?i)(?:^|[\s\"'/])(hidden|style|aria-hidden|type|open)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/\"']|$)")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MOST_DEPTH = 512
@@ -115,7 +114,7 @@ def parse(page: str) -> Node:
                 del stack[1:]
             node = Node(tag, m[3])
             stack[-1].children.append(node)
-            if tag in RAW and tag != "iframe" or tag == "iframe":
+            if tag in RAW:
                 end = re.compile(rf"(?i)</{tag}(?=[\s/>]|\Z)").search(page, at)
                 stop = end.start() if end else n
                 body = page[at:stop]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -188,16 +187,3 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, bins: int = 128, most:
 
     inside = F.row_number().over(Window.partitionBy("bin", "slice").orderBy("doc_id", "part")).cast("long") - 1
     return parts.withColumn("inside", inside).select("doc_id", "part", "start", "length", "bin", "slice", "inside").mapInArrow(place, COLUMNS)
-
-
-def all_combinations(sizes: list[int], capacity: int) -> int:
-    """Fewest packs for a handful of sizes, by trying everything; for tests."""
-    best = len(sizes)
-    for order in itertools.permutations(sizes):
-        room, n = 0, 0
-        for x in order:
-            if x > room:
-                n, room = n + 1, capacity
-            room -= x
-        best = min(best, n)
-    return best
