@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from eventide.llm.common import cut
 
 #: Vectors in a bucket, and queries in a block.
-BUCKET, BLOCK = 4096, 4096
+BUCKET, BLOCK = 4096, 2048
 #: Coordinates that coordinate pruning looks at.
 FOCUS = 4
 #: Local thresholds up to this prune nothing by coordinates.
