@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements that are never shown.
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base svg math object audio video canvas select option datalist dialog".split())
+#: Elements that are never shown; choices of a form count as controls, not as text.
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base object audio video canvas select option datalist".split())
+#: Parts of drawings and formulas that are not shown.
+_FOREIGN_HIDDEN = {"svg": frozenset("defs symbol metadata desc clippath mask pattern marker filter".split()), "text": frozenset(["desc"]), "math": frozenset(["annotation", "annotation-xml"])}
+#: Inside drawings and formulas: elements that hold HTML again, and start tags that end the drawing or formula.
+_HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "text": frozenset(["desc", "title"]), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+_BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of formulas whose children stand apart.
+_APART = frozenset(["mtable", "mtr", "mfrac"])
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li listing main menu nav ol optgroup option p pre search section summary ul table caption thead tbody tfoot tr td th hr".split()
 )
@@ -23,11 +32,16 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr
 _CLOSES_P = BLOCK - frozenset("body html dd dt li option optgroup legend caption thead tbody tfoot tr td th summary".split()) | frozenset(["li", "dd", "dt"])
 #: By a start tag: the open elements that it ends, and those at which the search stops.
 _CELL, _ROW, _PART = frozenset(["td", "th"]), frozenset(["tr"]), frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"])
-_TABLE, _LISTS = frozenset(["table", "html"]), frozenset(["ul", "ol", "menu", "dir", "table", "html"])
+_TABLE, _LISTS = frozenset(["table", "template", "html"]), frozenset(["ul", "ol", "menu", "dir", "table", "template", "html"])
+_HEADS = frozenset(["caption", "colgroup"])
+#: Where only parts of a table may stand, all that is such a part, and what may stand there besides.
+_FRAME = frozenset(["table", "thead", "tbody", "tfoot", "tr"])
+_PARTS = _CELL | _ROW | _PART | frozenset(["col"])
+_NEUTRAL = frozenset(["script", "style", "template"])
 _IMPLIED = {
     "li": (frozenset(["li"]), _LISTS), "dt": (frozenset(["dt", "dd"]), frozenset(["dl", "table", "html"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl", "table", "html"])),
-    "td": (_CELL, _TABLE | _ROW), "th": (_CELL, _TABLE | _ROW), "tr": (_CELL | _ROW, _TABLE | frozenset(["thead", "tbody", "tfoot"])),
-    **{x: (_CELL | _ROW | _PART, _TABLE) for x in ("thead", "tbody", "tfoot", "colgroup")},
+    "td": (_CELL | _HEADS, _TABLE | _ROW), "th": (_CELL | _HEADS, _TABLE | _ROW), "tr": (_CELL | _ROW | _HEADS, _TABLE | frozenset(["thead", "tbody", "tfoot"])),
+    **{x: (_CELL | _ROW | _PART, _TABLE) for x in ("thead", "tbody", "tfoot", "colgroup", "caption")},
     "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
 #: Comments, declarations, end tags, start tags.
@@ -38,11 +52,18 @@ MOST_DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "children", "attributes", "hidden")
+    __slots__ = ("tag", "children", "attributes", "hidden", "inside")
 
-    def __init__(self, tag: str, attributes: str = "") -> None:
+    def __init__(self, tag: str, attributes: str = "", around: str = "") -> None:
+        """``inside`` is what the children are in: '' (HTML), svg, text (of svg) or math; ``around`` the same of the parent."""
         self.tag, self.attributes, self.children = tag, attributes, []
-        self.hidden = tag in HIDDEN or bool(attributes) and _hides(tag, attributes)
+        self.hidden = tag in HIDDEN or bool(attributes) and _hides(tag, attributes) or tag == "dialog" and "open" not in _attributes(attributes)
+        self.inside = around
+        if tag in ("svg", "math"):
+            self.inside = tag
+        elif around:
+            self.hidden = self.hidden or tag in _FOREIGN_HIDDEN[around] or around != "math" and _not_drawn(attributes)
+            self.inside = "" if tag in _HOLDS_HTML[around] else "text" if around == "svg" and tag == "text" else around
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -64,6 +85,13 @@ def _hides(tag: str, raw: str) -> bool:
     )
 
 
+def _not_drawn(raw: str) -> bool:
+    if "display" not in raw and "visibility" not in raw:
+        return False
+    a = _attributes(raw)
+    return a.get("display", "").strip() == "none" or a.get("visibility", "").strip() in ("hidden", "collapse")
+
+
 def parse(page: str) -> Node:
     """The element tree of a page, with the tags that HTML lets authors leave out put in their places.
 
@@ -71,6 +99,10 @@ def parse(page: str) -> Node:
     gets one; an end tag ends all that is open inside of its element, and is passed over if there is no
     such element (up to the nearest cell or table). Anything still open ends with the page. Beyond
     ``MOST_DEPTH`` levels, elements become siblings.
+
+    Text and elements that stand between the parts of a table come before the table; a part of a table ends
+    whatever else is open there, and a form there holds nothing. In drawings and formulas, tags may end
+    themselves, text counts in text elements, and HTML's own elements end the drawing.
     """
     root = Node("html")
     stack = [root]
@@ -87,21 +119,78 @@ def parse(page: str) -> Node:
         if last:
             del stack[last:]
 
+    def put(x: Node | str) -> None:
+        # what isn't part of a table goes before it, in the table's parent
+        if stack[-1].tag in _FRAME and not stack[-1].inside:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "table":
+                    above = stack[k - 1].children
+                    above.insert(len(above) - 1, x)
+                    return
+                if stack[k].tag not in _FRAME:
+                    break
+        stack[-1].children.append(x)
+
+    def put_text(text: str) -> None:
+        top = stack[-1]
+        if top.inside == "svg":
+            return
+        if text.isspace():
+            top.children.append(text)
+            return
+        if top.tag == "colgroup":
+            stack.pop()
+        put(html.unescape(text) if "&" in text else text)
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            put_text(page[at:])
             break
         if m.start() > at:
-            text = page[at : m.start()]
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            put_text(page[at : m.start()])
         at = m.end()
         if m[2]:
             tag = m[2].lower()
+            if stack[-1].inside and (tag in _BREAKS_OUT or tag == "font" and re.search(r"(?i)\b(?:color|face|size)\b", m[3])):
+                while stack[-1].inside:
+                    stack.pop()
+            around = stack[-1].inside
+            if around or tag in ("svg", "math"):
+                node = Node(tag, m[3], around)
+                if not around and stack[-1].tag == "colgroup":
+                    stack.pop()
+                put(node)
+                if m[3].endswith("/") and _ATTRIBUTE.sub("", m[3]).endswith("/"):
+                    continue
+                if tag in ("script", "style"):
+                    end = re.compile(rf"(?i)</{tag}(?=[\s/>]|\Z)").search(page, at)
+                    at = end.start() if end else n
+                if len(stack) < MOST_DEPTH:
+                    stack.append(node)
+                continue
+            if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+                stack.pop()
             if tag in _CLOSES_P:
                 close(frozenset(["p"]), _TABLE | _CELL | frozenset(["caption", "button"]))
             if tag in _IMPLIED:
                 close(*_IMPLIED[tag])
+            if tag in _PARTS or tag == "table":
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in _FRAME:
+                        del stack[k + 1 :]
+                        break
+                    if stack[k].tag in _CELL or stack[k].tag in _HEADS or stack[k].tag == "template":
+                        break
+            if tag == "table" and stack[-1].tag in _FRAME:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "table":
+                        del stack[k:]
+                        break
+                    if stack[k].tag not in _FRAME:
+                        break
+            if tag == "form" and stack[-1].tag in _FRAME:
+                continue
             if tag in _CELL and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
@@ -113,7 +202,10 @@ def parse(page: str) -> Node:
             elif len(stack) > 1 and stack[1].tag == "head" and tag in BLOCK:
                 del stack[1:]
             node = Node(tag, m[3])
-            stack[-1].children.append(node)
+            if tag in _PARTS or tag in _NEUTRAL:
+                stack[-1].children.append(node)
+            else:
+                put(node)
             if tag in RAW:
                 end = re.compile(rf"(?i)</{tag}(?=[\s/>]|\Z)").search(page, at)
                 stop = end.start() if end else n
@@ -130,9 +222,11 @@ def parse(page: str) -> Node:
         elif m[1]:
             tag = m[1].lower()
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                while stack[-1].inside:
+                    stack.pop()
+                put(Node("br"))
                 continue
-            fence = _TABLE if tag in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else _TABLE | _CELL
+            fence = _TABLE if tag in ("template", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else _TABLE | _CELL
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -141,7 +235,9 @@ def parse(page: str) -> Node:
                     break
             else:
                 if tag == "p":
-                    stack[-1].children.append(Node("p"))
+                    put(Node("p"))
+        elif stack[-1].inside in ("text", "math") and m[0].startswith("<![CDATA["):
+            put(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
     return root
 
 
@@ -286,6 +382,10 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
             if within and children and isinstance(children[0], str):
                 children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
             inner = [("in", c, pre or within, "list" if tag == "li" else None) for c in children]
+            if x.inside and tag in _APART:
+                inner = [y for one in inner for y in (("in", " ", False, None), one)]
+            elif x.inside == "text" and tag == "text":
+                inner = [("in", " ", False, None), *inner, ("in", " ", False, None)]
         todo += after[::-1]
         todo += inner[::-1]
 
@@ -298,6 +398,7 @@ def _rows(table: Node) -> Iterator[Node]:
             if c.tag == "tr":
                 parts["tbody"].append(c)
             elif c.tag in parts:
+                # the parser leaves nothing else to be shown there
                 parts[c.tag] += [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden]
     return iter(parts["thead"] + parts["tbody"] + parts["tfoot"])
 
@@ -364,8 +465,9 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", m
     """Render pages: (page_id, url, text, n_lines).
 
     A tree is built with the tags that HTML implies. What is hidden by element (head, script, template
-    ...), by attribute (hidden, aria-hidden) or by style (display:none, visibility:hidden) is left out, with all inside; the rest
-    is all put out, navigation and footers too. White space collapses except in pre; blocks start lines,
+    ...), by attribute (hidden, aria-hidden) or by style (display:none, visibility:hidden) is left out, with all inside,
+    and so are closed dialogs, choices of forms (select, datalist), fallbacks of media and objects, and what a drawing only defines; the rest
+    is all put out, navigation and footers, formulas and the text of drawings too. What stands between the parts of a table comes before it, as browsers show it. White space collapses except in pre; blocks start lines,
     paragraphs, headings, lists and tables have an empty line around them; list items have marks or numbers
     and are indented; cells stand in aligned columns, across spans, with a nested table inside its cell.
 

@@ -28,6 +28,25 @@ def test_layout(page, text):
     assert H.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tbody><form><tr><td>A</td></tr></form></tbody></table>z", "A\n\nz"), ("<table><tr><form><td>A<td>B</form></table>", "A  B"), ("<table><form><tr><td>A<td>B</form><tr><td>C<td>D</table>", "A  B\nC  D"),
+        ("<table><tbody><a name=x><tr><td>A</td></tr></tbody></table>", "A"), ("<table><tr><a name=x><td>A<td>B</table>", "A  B"), ("<table><tbody><div>s</div><tr><td>A</table>", "s\n\nA"),
+        ("<table><tbody>stray<tr><td>A</table>z", "stray\n\nA\n\nz"), ("<table><tbody><div>s<tr><td>A</td></tr></div></table>", "s\n\nA"), ("<table><tfoot><b>s</b><tr><td>A</table>", "s\n\nA"),
+        ("<table><tr style='display:none'>s<td>A</table>", "s"), ("<table><colgroup><col><tr><td>A</table>", "A"), ("<table><colgroup><col><td>A</table>", "A"), ("<table><colgroup><col>s<tr><td>A</table>", "s\n\nA"),
+        ("<table><caption>C<tr><td>A</table>", "C\nA"), ("<table><colgroup><col><caption>C</caption><tbody><tr><td>A</table>", "C\nA"), ("<table><tbody><table><tr><td>A</table>", "A"),
+        ("<table><tr><td><template><tr><td>n</template>A</table>z", "A\n\nz"), ("<table><tbody><template><tr><td>n</template><tr><td>A</table>", "A"),
+        ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>n</annotation></math> b", "a x= 1 2 b"), ("<math><mi>x</mi><p>y", "x\n\ny"),
+        ("<svg><title>n</title><defs><text>n</text></defs>n<path d='M0'/><g><text>one</text><text>two <tspan>t</tspan></text></g></svg> z", "one two t z"),
+        ("<svg/>a<svg><path><p>b", "a\n\nb"), ("<svg><g display=none><text>n</text></g><foreignObject><div>f</div></foreignObject></svg>", "f"), ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"), ("<svg><style>t{}</style><text>y</svg>z", "y z"),
+        ("<dialog>n</dialog><dialog open>y</dialog>", "y"), ("<table><tr><td><svg><path></td><td>B</table>", "  B"),
+    ],
+)
+def test_all_that_browsers_show(page, text):
+    assert H.visible_text(page) == text
+
+
 class Plain(HTMLParser):
     """Visible words by the library's tokenizer, by a count of open hidden elements."""
 
