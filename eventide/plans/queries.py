@@ -370,6 +370,14 @@ def q_wal_from_lsn(spark, sf_dir):
     return log.crossJoin(F.broadcast(last)).where("lsn > last - 40 AND lsn < last").select("op", "lsn", "pubkey")
 
 
+@register("q_wal_to_end", _LOG + "SELECT op, lsn, pubkey FROM l WHERE lsn > (SELECT min(lsn) FROM l WHERE op = 4)")
+def q_wal_to_end(spark, sf_dir):
+    """All entries behind the first checkpoint, to the end of the log."""
+    log = _log(spark, sf_dir)
+    first = log.where("op = 4").agg(F.min("lsn").alias("first"))
+    return log.crossJoin(F.broadcast(first)).where("lsn > first").select("op", "lsn", "pubkey")
+
+
 @register("q_recovery_last_location", _LOG + "SELECT pubkey, arg_max(location, lsn) AS location, max(lsn) AS lsn FROM l WHERE op = 1 GROUP BY 1")
 def q_recovery_last_location(spark, sf_dir):
     return lifecycle.last_locations(_log(spark, sf_dir).where("op = 1"), "pubkey")
