@@ -9,6 +9,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,9 +180,10 @@ def _with_features(rows: DataFrame, model: CoTrained) -> DataFrame:
     return rows.mapInArrow(run, "d long, y int, part int, blank boolean, tx array<float>, mx array<float>")
 
 
-def _handed(features: DataFrame, model: CoTrained, number: int, sure: float) -> list:
-    """The surest ``number`` unlabelled documents of each view and class, over the whole table."""
+def _handed(features: DataFrame, model: CoTrained, number: int, sure: float, before: tuple[list[int], list[int]] = ([], [])) -> list:
+    """The surest ``number`` unlabelled documents of each view and class, over the whole table, without the ids that the view handed ``before``."""
     shared = features.sparkSession.sparkContext.broadcast(model)
+    gone = [pa.array(x, pa.int64()) for x in before]
     schema = "view int, cls int, p double, d long, tx array<float>, mx array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +192,9 @@ def _handed(features: DataFrame, model: CoTrained, number: int, sure: float) ->
                 continue
             t, m, _ = shared.value.score(_matrix(batch.column("tx"), TEXT_DIM), _matrix(batch.column("mx"), META_DIM))
             for view, p in enumerate((t, m)):
+                new = ~pc.is_in(batch.column("d"), value_set=gone[view]).to_numpy(zero_copy_only=False)
                 for cls, s in ((1, p), (0, 1 - p)):
-                    at = np.flatnonzero(s >= sure)
+                    at = np.flatnonzero((s >= sure) & new)
                     if len(at):
                         taken = batch.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), cls, np.int32)), pa.array(s[at]), taken.column("d"), taken.column("tx"), taken.column("mx")], names=["view", "cls", "p", "d", "tx", "mx"])
@@ -205,7 +208,7 @@ def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     """Fit the two views; returns the model and the table of features of all documents.
 
     Each view is a logistic regression over its own features. In each of ``rounds`` rounds, both score every unlabelled
-    document and hand their ``handed`` surest ones of either class (at least ``sure``), as pseudo-labels
+    document that they didn't hand before and hand their ``handed`` surest ones of either class (at least ``sure``), as pseudo-labels
     of half weight, to the other view, which is fitted anew and calibrated on labelled documents kept
     apart for that.
     """
@@ -235,7 +238,8 @@ def co_train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
     refit()
     for _ in range(rounds):
-        for r in _handed(features, model, handed, sure):
+        before = tuple([d for d, _ in extra[1 - view] if d is not None] for view in (0, 1))
+        for r in _handed(features, model, handed, sure, before):
             extra[1 - r["view"]][(r["d"], r["cls"])] = (np.array(r["mx"] if r["view"] == 0 else r["tx"]), r["cls"])
         refit()
     return model, features

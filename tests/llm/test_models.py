@@ -84,6 +84,14 @@ def test_quality_held_out(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in got.where("keep").collect()}
 
 
+def test_no_view_hands_a_document_twice(spark, monkeypatch):
+    rounds, real = [], Q._handed
+    monkeypatch.setattr(Q, "_handed", lambda *a, **k: rounds.append(real(*a, **k)) or rounds[-1])
+    Q.co_train(table(spark, SF, "documents"), table(spark, SF, "labels"), handed=5, sure=0.6)
+    first, second = ({(r["view"], r["d"]) for r in x} for x in rounds)
+    assert first and second and not first & second
+
+
 def test_logistic_and_platt():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
