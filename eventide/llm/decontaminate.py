@@ -25,9 +25,12 @@ _SPLIT = re.compile(r"(?s)^(.*[.?!])\s+(\S.*)$")
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """An item's last sentence is its answer, what precedes is the question; a lone sentence is both."""
+    """An item's last sentence with words is its answer, what precedes is the question; a lone one is both."""
     m = _SPLIT.match(text.strip())
-    return (m[1], m[2]) if m else (text, text)
+    while m and not WORD.search(m[2]):
+        text = m[1]
+        m = _SPLIT.match(text.strip())
+    return (m[1], m[2]) if m and WORD.search(m[1]) else (text, text)
 
 
 def bigrams(words: list[str]) -> set[tuple[str, ...]]:
@@ -165,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
     tested for all passages of a batch at once; only passages that pass one go through the lists.
 
     Words are runs of letters, digits and underscores in lower case. The answer is the item's last
-    sentence, the question all before; a lone sentence is both. The index is broadcast, ``index_items``
+    sentence that has words, the question all before; a lone one is both. The index is broadcast, ``index_items``
     items at a time; documents aren't shuffled.
 
     Null or wordless text, of documents or items: no result. Null ids are kept. Repeated rows are reported

@@ -67,6 +67,15 @@ def test_contamination_brute_force(spark, seed, most):
     assert sorted(map(tuple, left.collect())) == sorted(d for d in docs if d[0] not in {r["doc_id"] for r in got})
 
 
+def test_sentences_without_words(spark):
+    """Found as the SQL doesn't: there, a side without words is met by nothing."""
+    items = ["Which one of the two is it? Paris is. ***", "?! Paris lies on the river Seine", "*** ... !", "One lone sentence of words. - ?"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(items)], DOCS)
+    got = D.find_contamination(docs, spark.createDataFrame([(k, t) for k, t in enumerate(items)], ITEMS)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in got) == [(k, k, 1.0, 1.0) for k in (0, 1, 3)]
+    assert D.question_answer(items[0]) == ("Which one of the two is it?", "Paris is.")
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_wand_finds_all(seed):
     rng = random.Random(seed)
