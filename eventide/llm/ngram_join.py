@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.llm.common import cut, fresh, mix, pieces
 
@@ -20,10 +21,16 @@ MOST_FREQUENT = 1_000_000
 LEAST_DF = 8
 #: Low bits of hashes that are left out where sets are compared: 48 bits tell the n-grams of two documents apart.
 SENT = np.uint64(16)
+#: The second half of a set's hash.
+SALT = 0x5851F42D4C957F2D
+#: Bits that are left of the elements of prefixes, at least.
+TOKEN_BITS = 32
 #: Prefix entries that one reducer takes, on average.
 RANGE_POSTINGS = 2_000_000
-#: The most groups with candidates whose blocks are told to every task (16 bytes each); beyond, sets are joined to them.
-MOST_TOLD = 4_000_000
+#: Up to so many rows, small tables of the join are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Sets that one cell of a large cluster takes, on average.
+CELL_SETS = 4096
 #: Characters whose words are hashed at once.
 CHARS = 1_000_000
 #: The most bits of the filter that says which groups have candidates.
@@ -82,6 +89,22 @@ def prefix_length(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1
 
 
+def _cut_tokens(x: np.ndarray, drop: np.uint64) -> tuple[np.ndarray, int]:
+    """Prefix elements cut to their leading bits, each once, and how many fell together."""
+    short = np.unique(x >> drop)
+    return short, len(x) - len(short)
+
+
+def _by_two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the distinct rows of two columns, and which of them each row is."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.empty(0, dtype=bool)
+    number = np.empty(len(a), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _set_hash(x: np.ndarray, salt: int) -> int:
     total = mix(x + np.uint64(salt)).sum(dtype=np.uint64)
     return int(mix(np.array([total + np.uint64(len(x))], dtype=np.uint64)).view(np.int64)[0])
@@ -221,17 +244,23 @@ def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float
 
 
 def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> DataFrame:
-    """(a, b): pairs of prefix groups, a = b for one of several sets, whose common prefix elements allow Jaccard ``t``."""
+    """(a, b): pairs of prefix groups, a = b for one of several sets, whose common prefix elements allow Jaccard ``t``.
+
+    Postings hold groups, not documents: a task posts a group's prefix once for all its sets. Elements are cut to 32 bits or more;
+    how many of a prefix fall together so is added to the bound, so that none is lost.
+    """
     postings = max(1, int(elements * (1 - t)) + 1)
     ranges = max(1, math.ceil(postings / RANGE_POSTINGS))
-    drop = np.uint64(64 - min(64, max(32, postings.bit_length() + 8)))
+    blocks = max(1, min(ranges, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    drop = np.uint64(64 - min(64, max(TOKEN_BITS, postings.bit_length() + TOKEN_BITS // 4)))
+    # r: a range of elements; from ``ranges`` on, a part of the groups with their least and greatest set
     schema = pa.schema([("r", pa.int32()), ("tok", pa.binary()), ("idx", pa.binary()), ("names", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = freq.value
         have: list[np.ndarray] = []
         names: dict[tuple[int, int], int] = {}
-        sizes: list[int] = []
+        who: list[tuple[int, int, int, int, int]] = []
 
         def emit() -> pa.RecordBatch:
             tok = np.concatenate(have)
@@ -239,17 +268,18 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
             o = np.argsort(tok)
             tok, idx = tok[o], idx[o]
             edge = np.searchsorted(tok, np.array([((k << (64 - int(drop))) + ranges - 1) // ranges for k in range(1, ranges)], dtype=np.uint64))
-            who = np.array([(g, s) for g, s in names], dtype=np.int64).reshape(-1, 2)
-            who = np.column_stack([who, np.array(sizes, dtype=np.int64)])
+            table = np.array(who, dtype=np.int64).reshape(-1, 5)
             rows: dict[str, list] = {"r": [], "tok": [], "idx": [], "names": []}
             for k, (x, i) in enumerate(zip(np.split(tok, edge), np.split(idx, edge))):
                 if len(x):
                     used, local = np.unique(i, return_inverse=True)
                     small = local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)
-                    rows["r"].append(k)
-                    rows["tok"].append(_pack(x))
-                    rows["idx"].append(small.tobytes())
-                    rows["names"].append(who[used].tobytes())
+                    for c, v in zip(rows, (k, _pack(x), small.tobytes(), np.ascontiguousarray(table[used, :3]).tobytes())):
+                        rows[c].append(v)
+            part = (table[:, 0].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            for k in np.unique(part):
+                for c, v in zip(rows, (ranges + int(k), None, None, np.ascontiguousarray(table[part == k]).tobytes())):
+                    rows[c].append(v)
             return _rows(schema, **rows)
 
         held = 0
@@ -258,22 +288,48 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                 for x in gram_sets(part, n):
                     if len(x):
                         p = order.prefix(x, t)
-                        name = (_set_hash(p, len(x)), _set_hash(x, 0))
-                        if name not in names:
-                            names[name] = len(names)
-                            sizes.append(len(x))
-                            have.append(p >> drop)
-                            held += len(p)
+                        g, s = _set_hash(p, len(x)), _set_hash(x, 0)
+                        at = names.setdefault((g, len(x)), len(names))
+                        if at == len(who):
+                            short, lost = _cut_tokens(p, drop)
+                            who.append((g, len(x), lost, s, s))
+                            have.append(short)
+                            held += len(short)
+                        else:
+                            old = who[at]
+                            who[at] = (*old[:3], min(old[3], s), max(old[4], s))
                 if held > 3_000_000:
                     yield emit()
-                    have, names, sizes, held = [], {}, [], 0
+                    have, names, who, held = [], {}, [], 0
         if held:
             yield emit()
 
-    blocks = max(1, min(ranges, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    met = pa.schema([("k", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    met = pa.schema([("k", pa.int32()), ("names", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+
+    def packed(a: np.ndarray, b: np.ndarray, counts: np.ndarray, groups: np.ndarray) -> pa.Table:
+        """Pairs of rows of ``groups`` (hash, size, lost) and the counts of their common elements, by the block of the first."""
+        block = (np.ascontiguousarray(groups[:, 0]).view(np.uint64) % np.uint64(blocks)).astype(np.int64)[a]
+        order = np.lexsort((b, a, block))
+        a, b, counts, block = a[order], b[order], counts[order].astype(np.uint32), block[order]
+        rows: dict[str, list] = {f.name: [] for f in met}
+        for k, i, j, c in zip(*(np.split(x, np.flatnonzero(np.diff(block)) + 1) for x in (block, a, b, counts))):
+            if len(k):
+                used, local = np.unique(np.concatenate([i, j]), return_inverse=True)
+                small = local.astype(np.uint32)
+                for f, v in zip(rows, (int(k[0]), groups[used].tobytes(), _shrink(small[: len(i)]), _shrink(small[len(i) :]), _shrink(c))):
+                    rows[f].append(v)
+        return pa.table(rows, schema=met)
 
     def meet(group: pa.Table) -> pa.Table:
+        if group.column("r")[0].as_py() >= ranges:
+            who = np.concatenate([np.frombuffer(w.as_py(), dtype=np.int64).reshape(-1, 5) for w in group.column("names")])
+            order = np.argsort(who[:, 0], kind="stable")
+            who = who[order]
+            first = np.flatnonzero(np.concatenate([[True], who[1:, 0] != who[:-1, 0]]))
+            # a group has several sets if the least isn't the greatest; groups of one hash count as one
+            many = first[np.minimum.reduceat(who[:, 3], first) != np.maximum.reduceat(who[:, 4], first)]
+            own = np.arange(len(many))
+            return packed(own, own, who[many, 1], np.ascontiguousarray(who[many, :3]))
         toks, idx, names, base = [], [], [], 0
         for a, i, w in zip(group.column("tok"), group.column("idx"), group.column("names")):
             x, who = _unpack(a.as_py()), np.frombuffer(w.as_py(), dtype=np.int64).reshape(-1, 3)
@@ -283,13 +339,10 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
             names.append(who)
             base += len(who)
         who = np.concatenate(names)
-        groups, first, inverse = np.unique(who[:, 0], return_index=True, return_inverse=True)
-        size_of = who[first, 2]
-        # groups that hold more than one set
-        sets = np.unique(who[:, :2], axis=0)
-        several, often = np.unique(sets[:, 0], return_counts=True)
-        several = several[often > 1]
-        g = inverse.ravel()[np.concatenate(idx)]
+        first, inverse = _by_two(who[:, 0], who[:, 1])
+        groups = who[first]
+        size_of = groups[:, 1]
+        g = inverse[np.concatenate(idx)]
         tok = np.concatenate(toks)
         o = np.argsort(tok, kind="stable")
         tok, g = tok[o], g[o]
@@ -316,45 +369,33 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                 fold()
         if held:
             fold()
-        own = np.searchsorted(groups, several)
-        a, b = np.concatenate([pairs // len(groups), own]), np.concatenate([pairs % len(groups), own])
-        counts = np.concatenate([counts, size_of[own]]).astype(np.uint32)
-        block = (groups.view(np.uint64) % np.uint64(blocks)).astype(np.int64)[a]
-        order = np.lexsort((b, a, block))
-        a, b, counts, block = a[order], b[order], counts[order], block[order]
-        rows: dict[str, list] = {f.name: [] for f in met}
-        for k, i, j, c in zip(*(np.split(x, np.flatnonzero(np.diff(block)) + 1) for x in (block, a, b, counts))):
-            if len(k):
-                used, local = np.unique(np.concatenate([i, j]), return_inverse=True)
-                small = local.astype(np.uint32)
-                for f, v in zip(rows, (int(k[0]), groups[used].tobytes(), size_of[used].astype(np.uint32).tobytes(), _shrink(small[: len(i)]), _shrink(small[len(i) :]), _shrink(c))):
-                    rows[f].append(v)
-        return pa.table(rows, schema=met)
+        return packed(pairs // max(len(groups), 1), pairs % max(len(groups), 1), counts, groups)
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def tally(group: pa.Table) -> pa.Table:
-        names, sizes, a, b, c, base = [], [], [], [], [], 0
-        for n_, s_, a_, b_, c_ in zip(*(group.column(x).to_pylist() for x in ("names", "sizes", "a", "b", "c"))):
-            names.append(np.frombuffer(n_, dtype=np.int64))
-            sizes.append(np.frombuffer(s_, dtype=np.uint32).astype(np.int64))
+        names, a, b, c, base = [], [], [], [], 0
+        for n_, a_, b_, c_ in zip(*(group.column(x).to_pylist() for x in ("names", "a", "b", "c"))):
+            names.append(np.frombuffer(n_, dtype=np.int64).reshape(-1, 3))
             a.append(_grow(a_) + base)
             b.append(_grow(b_) + base)
             c.append(_grow(c_))
             base += len(names[-1])
-        who, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[first]
-        number = number.ravel()
+        who = np.concatenate(names)
+        first, number = _by_two(who[:, 0], who[:, 1])
+        who = who[first]
+        size, lost = who[:, 1], who[:, 2]
         pair, inverse = np.unique(number[np.concatenate(a)] * len(who) + number[np.concatenate(b)], return_inverse=True)
         common = np.bincount(inverse.ravel(), weights=np.concatenate(c), minlength=len(pair))
         i, j = pair // len(who), pair % len(who)
         # what isn't common within both prefixes is common after the prefix that ends first
-        rest = np.ceil(t * np.maximum(size[i], size[j]) - 1e-9) - 1
-        on = (i == j) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
-        return pa.table({"a": who[i[on]], "b": who[j[on]]}, schema=out)
+        rest = np.ceil(t * np.maximum(size[i], size[j]) - 1e-9) - 1 + np.minimum(lost[i], lost[j])
+        on = (i == j) | (who[i, 0] == who[j, 0]) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
+        return pa.table({"a": who[i[on], 0], "b": who[j[on], 0]}, schema=out)
 
-    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").groupBy("r").applyInArrow(meet, "k int, names binary, sizes binary, a binary, b binary, c binary")
-    return found.groupBy("k").applyInArrow(tally, "a long, b long")
+    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
+    # groups of one hash and other sizes give a pair twice
+    return found.groupBy("k").applyInArrow(tally, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shrink(x: np.ndarray) -> bytes:
@@ -392,22 +433,57 @@ def _bloom_bits(g: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (x % np.uint64(bits)).astype(np.int64)
 
 
-class Places:
-    """The blocks in which groups have pairs to verify."""
-
-    def __init__(self, g: np.ndarray, block: np.ndarray) -> None:
-        order = np.lexsort((block, g))
-        self.g, self.block = g[order], block[order]
-
-    def of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the blocks of each group begin and end in ``block``."""
-        return np.searchsorted(self.g, g), np.searchsorted(self.g, g, side="right")
-
-
-def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id", most_told: int = MOST_TOLD) -> DataFrame:
-    """Documents of equal and of similar n-gram sets: (ids_a, ids_b, jaccard), ids in ascending order.
-
-    ids_b is null in a row that holds the documents of one set, where there are two or more.
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number in each number's connected part, for the edges a-b."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
+def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: float, most: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of a set, numbers of its partners, Jaccard) for those candidate pairs a-b that reach ``t``; partners are looked up many at once."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    fit = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+    order = np.argsort(a[fit], kind="stable")
+    a, b = a[fit][order], b[fit][order]
+    for at, to in zip(*(np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))[k:][: len(a)] for k in (0, 1))):
+        p = int(a[at])
+        x = sets[p]
+        total = np.cumsum(size[b[at:to]])
+        for q in np.split(b[at:to], np.unique(np.searchsorted(total, np.arange(most, total[-1], most)))):
+            if len(q):
+                y = np.concatenate([sets[k] for k in q])
+                hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[q]) - size[q])
+                j = common / (len(x) + size[q] - common)
+                on = j >= t - 1e-12
+                yield p, q[on], j[on]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is written already, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+SET = ["s1", "s2"]
+
+
+def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id", pairs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The join on distinct n-gram sets: members, sets, and links.
+
+    Members are (d, s1, s2): each id once for each of its sets, which go by 128-bit hashes, null for rows without
+    words. Sets are (s1, s2, rep, n): the smallest of their ids and how many they have. Links are
+    (a1, a2, b1, b2, jaccard), one row per similar pair of different sets. Without ``pairs``, they come summed up, by the blocks in which
+    sets were compared: (rep, s1, s2, links, r_rep, r1, r2), the number of ids in similar sets, and a set with which this one hangs together.
+
+    Sets that hang together meet in one block, unless these are many: a cluster of more than ``CELL_SETS`` sets is cut into cells of a grid,
+    each with the sets of two buckets, so that no task holds more of a cluster, however large it or a prefix group is.
     """
     if not 0 < t <= 1 or n < 1:
         raise ValueError("the threshold must lie in (0, 1], and n be at least 1")
@@ -416,107 +492,124 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, elements = _frequencies(rows.select("t"), n, partitions)
     freq = spark.sparkContext.broadcast(found)
-    pairs = cut(_candidates(rows.select("t"), n, t, freq, elements))
-    # pairs that hang together meet in one block, so that each set is sent about once
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o")), F.struct(F.col("b").alias("g"), F.col("a").alias("o")))).alias("x")).select("x.*")
-    root = ends.groupBy("g").agg(F.min("o").alias("o")).select("g", F.least("g", "o").alias("root"))
-    ra, rb = root.select(F.col("g").alias("a"), F.col("root").alias("ra")), root.select(F.col("g").alias("b"), F.col("root").alias("rb"))
-    blocks = max(partitions, elements // RANGE_POSTINGS)
-    keyed = cut(pairs.join(ra, "a").join(rb, "b").select("a", "b", F.pmod(F.xxhash64(F.least("ra", "rb")), F.lit(blocks)).cast("int").alias("k")))
-    where = cut(keyed.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("g")).distinct())
-    n_places = where.count()
-    told = n_places <= most_told
-    if told:
-        got = where.toPandas()
-        places = spark.sparkContext.broadcast(Places(got["g"].to_numpy(dtype=np.int64), got["block"].to_numpy(dtype=np.int64)))
-    else:
-        places = spark.sparkContext.broadcast(_bloom(where.select("g"), n_places))
-    schema = pa.schema([("block", pa.int32()), ("home", pa.bool_()), ("g", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("x", pa.binary())])
+    met = cut(_candidates(rows.select("t"), n, t, freq, elements))
+    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o")), F.struct(F.col("b").alias("g"), F.col("a").alias("o")))).alias("x")).select("x.*")
+    root = cut(ends.groupBy("g").agg(F.min("o").alias("o")).select("g", F.least("g", "o").alias("root")))
+    bloom = spark.sparkContext.broadcast(_bloom(root.select("g"), root.count()))
+    schema = pa.schema([("g", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("d", pa.int64()), ("x", pa.binary())])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = freq.value
-        on = None if told else np.unpackbits(places.value)
-        given: set[int] = set()
+        order, on = freq.value, np.unpackbits(bloom.value)
+        given: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("d").to_pylist()
             for start, part in pieces(batch, "t", CHARS):
                 sets = gram_sets(part, n)
                 full = [k for k, x in enumerate(sets) if len(x)]
-                if not full:
-                    continue
-                g = np.array([_set_hash(order.prefix(sets[k], t), len(sets[k])) for k in full], dtype=np.int64)
+                name = {k: (_set_hash(sets[k], 0), _set_hash(sets[k], SALT)) for k in full}
+                g = {k: _set_hash(order.prefix(sets[k], t), len(sets[k])) for k in full}
+                hit = np.ones(len(full), dtype=bool)
+                for at in _bloom_bits(np.array([g[k] for k in full], dtype=np.int64), len(on)):
+                    hit &= on[at] > 0
+                send = {k for k, h in zip(full, hit.tolist()) if h}
                 out: dict[str, list] = {f.name: [] for f in schema}
-                if told:
-                    first, last = places.value.of(g)
-                else:
-                    hit = np.ones(len(g), dtype=bool)
-                    for at in _bloom_bits(g, len(on)):
-                        hit &= on[at] > 0
-                for i, k in enumerate(full):
-                    s = _set_hash(sets[k], 0)
-                    new = s not in given
-                    given.add(s)
-                    if told:
-                        mine = places.value.block[first[i] : last[i]].tolist()
-                        x = _pack(sets[k] >> SENT) if mine and new else None
-                    else:
-                        mine, x = [], _pack(sets[k] >> SENT) if hit[i] and new else None
-                    for m, block in enumerate(mine or [s % blocks]):
-                        for c, v in zip(out, (block, m == 0, int(g[i]), s, ids[start + k], x)):
-                            out[c].append(v)
+                for k in range(len(sets)):
+                    s = name.get(k, (None, None))
+                    x = None
+                    if k in send and s not in given:
+                        given.add(s)
+                        x = _pack(sets[k] >> SENT)
+                    for c, v in zip(out, (g.get(k), *s, ids[start + k], x)):
+                        out[c].append(v)
                 yield _rows(schema, **out)
 
-    sent = rows.mapInArrow(members, "block int, home boolean, g long, s long, d long, x binary")
-    if not told:
-        sent = cut(sent)
-        placed = where.withColumnRenamed("block", "to").join(sent.select("g", "s", "d", "x"), "g")
-        placed = placed.select(F.col("to").alias("block"), F.lit(False).alias("home"), "g", "s", "d", "x")
-        sent = placed.unionByName(sent.select("block", "home", "g", "s", "d", F.lit(None).cast("binary").alias("x")))
-    result = pa.schema([("ids_a", pa.list_(pa.int64())), ("ids_b", pa.list_(pa.int64())), ("jaccard", pa.float64())])
+    sent = cut(rows.mapInArrow(members, "g long, s1 long, s2 long, d long, x binary"))
+    own = cut(sent.select("d", *SET).distinct())
+    sets = cut(own.where("s1 IS NOT NULL").groupBy(*SET).agg(F.min("d").alias("rep"), F.count("*").alias("n")))
+    held = sent.where("x IS NOT NULL").select("g", *SET, "x")
+    names = cut(held.select("g", *SET).distinct())
+    # a group of many sets comes in slices, a cluster of many sets in buckets of slices
+    of_group = names.groupBy("g").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("m"), F.count("*").alias("w"))
+    info = cut(root.join(of_group, "g"))
+    both = met.join(info.select(F.col("g").alias("a"), F.col("root").alias("ra"), F.col("m").alias("ma"), F.col("w").alias("wa")), "a")
+    both = cut(both.join(info.select(F.col("g").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"), F.col("w").alias("wb")), "b").withColumn("root", F.least("ra", "rb")))
+    weight = both.select("root", F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("wa").alias("w")), F.struct(F.col("b").alias("g"), F.col("wb").alias("w")))).alias("x")).select("root", "x.g", "x.w").distinct()
+    large = cut(weight.groupBy("root").agg(F.ceil(F.sum("w") / CELL_SETS).cast("int").alias("buckets")).where("buckets > 1"))
+    both = both.join(_small(large), "root", "left")
+    slices = both.select("a", "b", "root", "mb", F.coalesce("buckets", F.lit(1)).alias("buckets"), F.explode(F.expr("sequence(0, ma - 1)")).alias("sa"))
+    slices = slices.select("a", "b", "root", "buckets", "sa", F.explode(F.expr("sequence(0, mb - 1)")).alias("sb")).where("a <> b OR sa <= sb")
+    one, two = (F.pmod(F.xxhash64(g, s), F.col("buckets")) for g, s in (("a", "sa"), ("b", "sb")))
+    blocks = max(partitions, elements // RANGE_POSTINGS)
+    keyed = cut(slices.select("a", "sa", "b", "sb", F.pmod(F.xxhash64("root", F.least(one, two), F.greatest(one, two)), F.lit(blocks)).cast("int").alias("k")))
+    where = cut(keyed.select(F.col("k").alias("block"), F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("sa").alias("slice")), F.struct(F.col("b").alias("g"), F.col("sb").alias("slice")))).alias("x")).select("block", "x.*").distinct())
+    several = cut(info.where("m > 1").select("g", "m"))
+    few = _small(where)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        cells = rows.join(_small(several), "g", "left").withColumn("slice", F.pmod(F.xxhash64(*SET), F.coalesce("m", F.lit(1))).cast("int"))
+        return cells.join(few, ["g", "slice"])
+
+    texts = placed(held).select("block", "g", "slice", *SET, F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n"), "x")
+    facts = placed(names.join(sets, SET)).select("block", "g", "slice", *SET, "rep", "n", F.lit(None).cast("binary").alias("x"))
+    if pairs:
+        result = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("jaccard", pa.float64())])
+        ddl = "a1 long, a2 long, b1 long, b2 long, jaccard double"
+    else:
+        result = pa.schema([(c, pa.int64()) for c in ("rep", "s1", "s2", "links", "r_rep", "r1", "r2")])
+        ddl = ", ".join(f"{c} long" for c in result.names)
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids: dict[int, set[int]] = {}
-        at_home: set[int] = set()
-        of: dict[int, dict[int, np.ndarray]] = {}
-        for home, g, s, d, x in zip(*(right.column(c) for c in ("home", "g", "s", "d", "x"))):
-            s = s.as_py()
-            ids.setdefault(s, set()).add(d.as_py())
-            if home.as_py():
-                at_home.add(s)
-            if x.is_valid and s not in of.setdefault(g.as_py(), {}):
-                of[g.as_py()][s] = _unpack(x.as_py())
-        ordered = {s: sorted(v) for s, v in ids.items()}
-        out: dict[str, list] = {f.name: [] for f in result}
-        for s in sorted(at_home):
-            if len(ordered[s]) > 1:
-                for c, v in zip(out, (ordered[s], None, 1.0)):
-                    out[c].append(v)
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            mine = list(of.get(a, {}).items())
-            for i, (sa, x) in enumerate(mine):
-                for sb, y in mine[i + 1 :] if a == b else of.get(b, {}).items():
-                    if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
-                        continue
-                    z = np.concatenate([x, y])
-                    z.sort(kind="stable")
-                    common = int((z[1:] == z[:-1]).sum())
-                    j = common / (len(z) - common)
-                    if j >= t - 1e-12:
-                        for c, v in zip(out, (*sorted((ordered[sa], ordered[sb])), j)):
-                            out[c].append(v)
-        return pa.table(out, schema=result)
-
-    return keyed.groupBy("k").cogroup(sent.groupBy("block")).applyInArrow(verify, "ids_a array<long>, ids_b array<long>, jaccard double")
+        number: dict[tuple[int, int], int] = {}
+        of: dict[tuple[int, int], list[int]] = {}
+        data: list[np.ndarray | None] = []
+        reps, ids = [], []
+        for g, k, s1, s2, rep, m, x in zip(*(right.column(c).to_pylist() for c in ("g", "slice", "s1", "s2", "rep", "n", "x"))):
+            i = number.setdefault((s1, s2), len(number))
+            if i == len(data):
+                of.setdefault((g, k), []).append(i)
+                for c in (data, reps, ids):
+                    c.append(None)
+            if x is None:
+                reps[i], ids[i] = rep, m
+            elif data[i] is None:
+                data[i] = _unpack(x)
+        a, b = [], []
+        for ga, ka, gb, kb in zip(*(left.column(c).to_pylist() for c in ("a", "sa", "b", "sb"))):
+            mine, other = of.get((ga, ka), []), of.get((gb, kb), [])
+            if (ga, ka) == (gb, kb):
+                for i, p in enumerate(mine):
+                    a += [p] * (len(mine) - i - 1)
+                    b += mine[i + 1 :]
+            else:
+                for p in mine:
+                    a += [p] * len(other)
+                    b += other
+        hits = list(_similar(data, np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), t))
+        a = np.repeat(np.array([p for p, _, _ in hits], dtype=np.int64), [len(q) for _, q, _ in hits])
+        b = np.concatenate([q for _, q, _ in hits] or [np.empty(0, dtype=np.int64)])
+        key = np.array(list(number), dtype=np.int64).reshape(-1, 2)
+        if pairs:
+            j = np.concatenate([x for _, _, x in hits] or [np.empty(0)])
+            return pa.table([*map(pa.array, (*key[a].T.copy(), *key[b].T.copy(), j))], schema=result)
+        ids, reps = np.array(ids, dtype=np.int64), np.array(reps, dtype=np.int64)
+        links = np.bincount(a, weights=ids[b], minlength=len(ids)) + np.bincount(b, weights=ids[a], minlength=len(ids))
+        label = _labels(len(ids), a, b)
+        on = np.flatnonzero(links)
+        top = label[on]
+        return pa.table([*map(pa.array, (reps[on], *key[on].T.copy(), links[on].astype(np.int64), reps[top], *key[top].T.copy()))], schema=result)
+
+    return own, sets, keyed.groupBy("k").cogroup(texts.unionByName(facts).groupBy("block")).applyInArrow(verify, ddl)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All pairs of documents whose sets of word ``n``-grams have Jaccard ``t`` or more: (doc_a, doc_b, jaccard).
 
     Words are runs of letters, digits and underscores in lower case; doc_a < doc_b. The join is exact, up
-    to collisions of 48-bit hashes within two documents. N-grams are ordered by their number of documents, the rare ones first;
+    to collisions of 48-bit hashes within two documents and of 128-bit hashes of sets. N-grams are ordered by their number of documents, the rare ones first;
     documents of one set size and one prefix form a group. Groups that share a prefix element, are of fit
     sizes and have enough elements in common are candidates, and the sets of their members are compared.
-    No posting list, group or partner list is capped.
+    No posting list, group or partner list is capped. The pairs of n copies are n * (n - 1) / 2 rows;
+    ``jaccard_classes`` says the same in a row per document.
 
     Frequencies are counted over the whole table; tasks are told the ``MOST_FREQUENT`` most frequent
     n-grams at most, which orders prefixes but has no bearing on results.
@@ -526,23 +619,57 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str =
     texts is paired by each of them, never with itself. Empty table: empty result. Other columns are
     ignored.
     """
-    found = similar_sets(docs, n, t, text, doc_id)
-    pairs = found.select(F.posexplode("ids_a").alias("at", "x"), F.col("ids_a").alias("own"), "ids_b", "jaccard")
-    others = F.coalesce("ids_b", F.expr("slice(own, at + 2, size(own))"))
-    pairs = pairs.select("x", F.explode(others).alias("y"), F.round("jaccard", 6).alias("jaccard")).where(F.col("x") != F.col("y"))
-    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    own, _, links = similar_sets(docs, n, t, text, doc_id)
+    left, right = own.where("s1 IS NOT NULL").selectExpr("d AS x", "s1 AS a1", "s2 AS a2"), own.selectExpr("d AS y", "s1 AS b1", "s2 AS b2")
+    same = left.join(right, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
+    other = links.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where("x <> y").select("x", "y", "jaccard")
+    pairs = same.unionByName(other).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    return pairs.distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Connected documents of the join: (doc_id, keeper), for all of a group but its keeper.
+def _set_classes(own: DataFrame, sets: DataFrame, summary: DataFrame, by_id: bool) -> DataFrame:
+    """(s1, s2, rep, n, links, keeper) of the sets with two ids or more, or with links; keeper is the first set (rep, s1, s2) of those that hang together.
 
-    The keeper is the group's smallest id. Rows of a set of copies hang on its first id, so that the
-    edges are as many as documents and similar sets. Cases as for ``ngram_jaccard_join``.
+    With ``by_id``, the sets of one id hang together too.
+    """
+    node = F.struct("rep", *SET)
+    summary = cut(summary)
+    edges = summary.select(node.alias("u"), F.struct(F.col("r_rep").alias("rep"), F.col("r1").alias("s1"), F.col("r2").alias("s2")).alias("v")).where("u <> v")
+    if by_id:
+        twice = cut(own.where("s1 IS NOT NULL").groupBy("d").agg(F.count("*").alias("sets")).where("sets > 1").select("d"))
+        if not twice.isEmpty():
+            theirs = own.join(_small(twice), "d", "left_semi").join(sets, SET).select("d", node.alias("u"))
+            edges = edges.unionByName(theirs.join(theirs.groupBy("d").agg(F.min("u").alias("v")), "d").select("u", "v").where("u <> v"))
+    joined = components(cut(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()))
+    links = summary.groupBy(*SET).agg(F.sum("links").alias("links"))
+    keeper = joined.select(F.col("doc_id.s1").alias("s1"), F.col("doc_id.s2").alias("s2"), "keeper")
+    out = sets.join(links, SET, "left").join(keeper, SET, "left")
+    out = out.select(*SET, "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("keeper", node).alias("keeper"))
+    return cut(out.where((F.col("n") > 1) | (F.col("links") > 0) | (F.col("keeper") != node)))
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The join of ``ngram_jaccard_join`` in a row per document: (doc_id, class_id, n_links).
+
+    ``n_links`` is the number of documents with which the join pairs this one, and ``class_id`` the smallest id of all documents
+    that hang together by pairs. Copies aren't expanded into pairs, and links between different texts are counted
+    where they are found, so that rows are as many as documents.
+
+    Every id has a row; one with no partner, or null, empty or wordless text, is its own class with 0 links. Null ids: no
+    row. Rows that repeat an id with one text count once. An id with several texts has one row: its class holds the
+    partners of all of them, and the links of its texts are added up, those between them too. Empty table: empty result. Other columns are ignored.
     """
-    found = similar_sets(docs, n, t, text, doc_id)
-    edges = found.select(F.col("ids_a")[0].alias("x"), F.explode(F.coalesce(F.slice("ids_b", 1, 1), F.expr("slice(ids_a, 2, size(ids_a))"))).alias("y"))
-    edges = cut(edges.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
-    return components(edges)
+    own, sets, summary = similar_sets(docs, n, t, text, doc_id, pairs=False)
+    known = _set_classes(own, sets, summary, by_id=True)
+    joined = own.join(_small(known), SET, "left")
+    every = joined.select("d", F.coalesce("keeper.rep", "d").alias("class_id"), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"))
+    return every.groupBy(F.col("d").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+
+
+def near_duplicate_groups(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Connected documents of the join: (doc_id, keeper), for all of a group but its keeper, the smallest id. Cases as for ``jaccard_classes``."""
+    found = jaccard_classes(docs, n, t, text, doc_id)
+    return found.where("class_id <> doc_id").select("doc_id", F.col("class_id").alias("keeper"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -560,32 +687,59 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
+def _with_sets(docs: DataFrame, n: int, text: str, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with the two hashes of each row's set, null without words."""
+    at = [c.lower() for c in docs.columns].index(text.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x for _, part in pieces(batch, at, CHARS) for x in gram_sets(part, n)]
+            more = [pa.array([_set_hash(x, salt) if len(x) else None for x in sets], pa.int64()) for salt in (0, SALT)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
+    return docs.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 4_000_000) -> DataFrame:
-    """``docs`` without near duplicates: of each connected group the smallest id stays.
+    """``docs`` without near duplicates: of all texts that hang together by the join, that of the smallest id stays.
 
-    Rows that repeat an id of one text leave one row. Rows with null id or without words stay. The ids to
+    Rows that repeat an id of one text leave one row. Texts of one id that differ are judged each, so a
+    row goes only if its own text has a copy that stays. Rows with null id or without words stay. The ids to
     drop are broadcast while there are at most ``broadcast_ids`` of them, else joined by shuffle. Columns
-    stay as they are, whatever their names.
+    stay as they are, whatever their names. Empty table: empty result.
     """
-    key, gone, again = docs[doc_id], fresh(docs, "dropped_id"), fresh(docs, "repeated_id")
-    drop = cut(near_duplicate_groups(docs, n, t, text, doc_id).select(F.col("doc_id").alias(gone)))
+    key, again = docs[doc_id], fresh(docs, "repeated_id")
+    gone, g1, g2 = (fresh(docs, c) for c in ("dropped_id", "dropped_s1", "dropped_s2"))
+    own, sets, summary = similar_sets(docs, n, t, text, doc_id, pairs=False)
+    known = _set_classes(own, sets, summary, by_id=False)
+    drop = own.join(_small(known), SET).where((F.col("keeper") != F.struct("rep", *SET)) | (F.col("d") != F.col("rep")))
+    drop = cut(drop.select(F.col("d").alias(gone), F.col("s1").alias(g1), F.col("s2").alias(g2)))
     rows = docs.select(key.cast("long").alias(again)).where(F.col(again).isNotNull())
     twice = cut(rows.groupBy(again).agg(F.count("*").alias("rows")).where("rows > 1").select(again))
     small = lambda x: F.broadcast(x) if x.count() <= broadcast_ids else x
-    left = docs.join(small(drop), key.cast("long") == F.col(gone), "left_anti")
-    if twice.isEmpty():
-        return left
-    once = left.join(small(twice), left[doc_id].cast("long") == F.col(again), "left_anti")
-    more = left.join(small(twice), left[doc_id].cast("long") == F.col(again), "left_semi")
+    drop_ids, many = small(drop), not twice.isEmpty()
+    if not many:
+        return docs.join(drop_ids, key.cast("long") == F.col(gone), "left_anti")
+    twice = small(twice)
+    once = docs.join(twice, key.cast("long") == F.col(again), "left_anti")
+    once = once.join(drop_ids, once[doc_id].cast("long") == F.col(gone), "left_anti")
+    s1, s2 = fresh(docs, "set_s1"), fresh(docs, "set_s2")
+    more = _with_sets(docs.join(twice, key.cast("long") == F.col(again), "left_semi"), n, text, (s1, s2))
+    more = more.join(drop_ids, (more[doc_id].cast("long") == F.col(gone)) & (F.col(s1) == F.col(g1)) & (F.col(s2) == F.col(g2)), "left_anti").drop(s1, s2)
     return once.unionByName(more.dropDuplicates([doc_id, text]))
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(k / (p.n + q.n - k), 6) AS jaccard
-FROM c JOIN s p ON p.doc_id = doc_a JOIN s q ON q.doc_id = doc_b WHERE k / (p.n + q.n - k) >= 0.5 - 1e-12
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT doc_a, doc_b FROM c JOIN s p ON p.doc_id = doc_a JOIN s q ON q.doc_id = doc_b WHERE k / (p.n + q.n - k) >= 0.5 - 1e-12),
+e AS (SELECT doc_a AS a, doc_b AS b FROM l UNION ALL SELECT doc_b, doc_a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
+d AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+m AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM m LEFT JOIN d ON d.a = m.doc_id
 """

@@ -53,7 +53,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    """A row per document, with its class and its number of links."""
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:

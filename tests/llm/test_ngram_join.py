@@ -49,10 +49,66 @@ def test_join_brute_force(spark, monkeypatch, seed, n, t, postings):
     assert {tuple(r) for r in got} == brute(rows, n, t) and len(got) == len({tuple(r)[:2] for r in got})
 
 
-def test_join_with_sets_joined_to_blocks(spark):
-    df = spark.createDataFrame(corpus(7), DOCS)
-    key = lambda r: (r["ids_a"], r["ids_b"] or [])
-    assert sorted(N.similar_sets(df, most_told=0).collect(), key=key) == sorted(N.similar_sets(df).collect(), key=key)
+def brute_classes(rows, n, t):
+    near = brute(rows, n, t)
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    links = {i: 0 for i in root}
+    for a, b, _ in near:
+        links[a] += 1
+        links[b] += 1
+    return {(i, find(i), links[i]) for i in root}
+
+
+@pytest.mark.parametrize(("seed", "cell", "told", "bits"), [(1, 4096, 500_000, 32), (2, 2, 0, 32), (3, 5, 500_000, 6), (6, 1, 0, 4)])
+def test_classes_brute_force(spark, monkeypatch, seed, cell, told, bits):
+    """In one cell or many, with tables joined by broadcast or shuffle, and with elements of prefixes that collide."""
+    for k, v in (("CELL_SETS", cell), ("BROADCAST_ROWS", told), ("TOKEN_BITS", bits), ("RANGE_POSTINGS", 100)):
+        monkeypatch.setattr(N, k, v)
+    rows = [*corpus(seed), *((200 + k, x) for k, (_, x) in enumerate(corpus(seed)[:9])), (300, None), (301, "..."), (None, "w1 w2 w3 w4")]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = N.jaccard_classes(df).collect()
+    assert {tuple(r) for r in got} == brute_classes(rows, 3, 0.5) and len(got) == len({i for i, _ in rows if i is not None})
+    assert {tuple(r) for r in N.ngram_jaccard_join(df).collect()} == brute(rows, 3, 0.5)
+
+
+def test_one_prefix_of_many_sets(spark, monkeypatch):
+    """Sets of one size and one prefix are cut into slices, and still all compared."""
+    monkeypatch.setattr(N, "CELL_SETS", 3)
+    rows = [(k, " ".join([*(f"rare{k % 2}{j}" for j in range(30)), *(f"{'xyz'[(k + j) % 3]}{j}" for j in range(10))])) for k in range(24)]
+    rows += [(100 + k, f"x{k % 10} y{k} z") for k in range(20)]
+    got = N.jaccard_classes(spark.createDataFrame(rows, DOCS)).collect()
+    assert {tuple(r) for r in got} == brute_classes(rows, 3, 0.5)
+
+
+def test_similar_against_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    a, b = (np.array(x) for x in zip(*itertools.combinations(range(40), 2)))
+    for most in (1, 100, 10**6):
+        got = {(p, q): j for p, qs, js in N._similar(sets, a, b, 0.4, most) for q, j in zip(qs.tolist(), js.tolist())}
+        js = {(p, q): len(set(sets[p]) & set(sets[q])) / len(set(sets[p]) | set(sets[q])) for p, q in zip(a.tolist(), b.tolist())}
+        assert got == {k: j for k, j in js.items() if j >= 0.4 - 1e-12}
+    assert N._labels(6, np.array([4, 2, 5]), np.array([2, 1, 3])).tolist() == [0, 1, 1, 3, 1, 3]
+
+
+def test_an_id_with_several_texts(spark):
+    """A text goes for its own copy alone; a class holds what any text of its ids is like."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    rows = [(1, one), (5, one + " more"), (5, two), (6, three), (6, three), (7, two + " end"), (9, "alone")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, N.keep_one(df).collect())) == sorted([(1, one), (5, two), (6, three), (9, "alone")])
+    assert {tuple(r) for r in N.jaccard_classes(df).collect()} == {(1, 1, 1), (5, 1, 2), (7, 1, 1), (6, 6, 0), (9, 9, 0)}
 
 
 def test_many_copies_and_their_groups(spark):
