@@ -21,6 +21,10 @@ FOCUS = 4
 LOW_COSINE = 0.35
 DIGITS = 6
 _SLACK = 10.0**-DIGITS
+#: The most blocks, and buckets, that one task holds.
+CELL = 16
+#: Queries whose products are computed at once.
+AT_ONCE = 128
 
 
 class Bucket:
@@ -80,14 +84,24 @@ def search_block(bucket: Bucket, ids: np.ndarray, queries: np.ndarray, least: np
     """
     rows, places, products = [], [], []
     norms = np.sqrt((queries * queries).sum(axis=1))
+    near = np.empty((0, 0))
     for i in range(len(ids)):
+        if i % AT_ONCE == 0:
+            near = queries[i : i + AT_ONCE] @ bucket.x.T
         c = bucket.candidates(queries[i], float(norms[i]), float(least[i]) - 2 * _SLACK)
-        part = bucket.x[c]
+        place = np.arange(len(bucket.ids))[c]
+        # products of many queries at once are a little off: what may reach the least, and the k-th of the bucket, is computed anew
+        rough = near[i % AT_ONCE][c]
+        off = _SLACK * (1 + norms[i] * bucket.most)
+        lowest = least[i] - off
+        if len(rough) > k + 1:
+            lowest = max(lowest, np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - off)
+        place = place[rough >= lowest]
+        part = bucket.x[place]
         if not len(part):
             continue
         # one sum per vector, so that equal vectors have equal products
         score = np.round(np.einsum("ij,j->i", part, queries[i]), DIGITS) + 0.0
-        place = np.arange(len(bucket.ids))[c]
         ok = score >= least[i] - _SLACK
         if not include_self:
             ok &= bucket.ids[place] != ids[i]
@@ -107,7 +121,7 @@ def search_block(bucket: Bucket, ids: np.ndarray, queries: np.ndarray, least: np
     return np.concatenate(rows), np.concatenate(places), np.concatenate(products)
 
 
-def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", bucket: int = BUCKET, block: int = BLOCK, asked: F.Column | None = None) -> DataFrame:
     """The ``k`` largest inner products of every query: (query_id, neighbor_id, rank, product).
 
     Exact search after norm buckets: vectors are ordered by length and cut into buckets of about
@@ -115,11 +129,12 @@ def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None =
     which gives every query a threshold, the least product it still needs. Then it meets those buckets
     alone whose longest vector can reach one of its thresholds; in a bucket, a query prunes by length or by
     coordinates, as its local cosine threshold says, and products of what is left are computed. Products
-    are rounded to 6 digits, ties go to the smaller id. Without ``queries``, every vector is a query, and
-    none is its own neighbour.
+    are rounded to 6 digits, ties go to the smaller id. Queries are ``queries``, or those vectors whose id
+    satisfies ``asked`` (a condition on the column id), or all vectors; a vector is never its own neighbour.
 
-    Pairs of a block and a bucket are spread over the cluster; nothing is broadcast, and a task holds one
-    bucket and one block at a time.
+    Blocks and buckets form a grid, of which a task gets a cell of up to ``CELL`` blocks and ``CELL`` buckets, so that each travels once for
+    ``CELL`` of the others. Buckets are numbered by length, so those that a block can reach are the first ones up to
+    some number. Nothing is broadcast.
 
     Null or empty embeddings, those with a null or a value that isn't finite, those of another length
     than most, and null ids take no part. The zero vector has product 0 with all. An id that
@@ -175,50 +190,66 @@ def top_k_products(vectors: DataFrame, k: int = 10, queries: DataFrame | None =
         return pa.table({"b": pa.array([group.column("b")[0].as_py()], pa.int32()), "most": [float(norms.max())], "ids": held, "xs": [xs.astype(width).tobytes()]}, schema=bucket_schema)
 
     buckets = cut(placed.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs binary"))
-    asked = base if queries is None else clean(queries).where(F.size("x") == dim).withColumn("norm", norm)
-    n_asked = n if queries is None else asked.count()
+    rows = base if asked is None else base.where(asked)
+    rows = rows if queries is None else clean(queries).where(F.size("x") == dim).withColumn("norm", norm)
+    n_asked = n if queries is None and asked is None else rows.count()
     n_blocks = max(1, -(-n_asked // block))
-    # blocks of like directions and lengths would prune more; by hash they are alike in size
-    blocks = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).cast("int"))
+    blocks = rows.withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).cast("int"))
     blocks = cut(blocks.select("b", "id", "x", "norm").groupBy("b").applyInArrow(gather, "b int, most double, ids array<long>, xs binary"))
     include_self = queries is not None
     hit_schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("product", pa.float64())])
-    q_side = blocks.select(F.col("b").alias("qb"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
-    p_side = buckets.select(F.col("b").alias("pb"), F.col("most").alias("p_most"), F.col("ids").alias("p_ids"), F.col("xs").alias("p_xs"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                ids, p_ids = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q_ids", "p_ids"))
-                xs, p_xs = (np.frombuffer(one.column(c)[0].as_py(), dtype=width).astype(np.float64).reshape(-1, dim) for c in ("q_xs", "p_xs"))
-                p = Bucket(p_ids, p_xs)
-                least = one.column("least").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                row, place, product = search_block(p, ids, xs, least, k, include_self)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(p.ids[place]), pa.array(product)], schema=hit_schema)
-
-    def join(pairs: DataFrame) -> DataFrame:
-        # hash joins hold a partition's share of buckets or blocks and stream the pairs, which needn't be sorted
-        return pairs.join(p_side.hint("shuffle_hash"), "pb").join(q_side.hint("shuffle_hash"), "qb").select("p_ids", "p_xs", "q_ids", "q_xs", "least").mapInArrow(meet, "query_id long, neighbor_id long, product double")
+    # cells hold fewer blocks and buckets where there would be too few of them
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = min(CELL, max(1, at * -(-n_blocks // CELL) // tasks))
+
+    def values(raw) -> np.ndarray:
+        return np.frombuffer(raw.as_py(), dtype=width).astype(np.float64).reshape(-1, dim)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        for p_row in range(right.num_rows):
+            p = Bucket(np.array(right.column("ids")[p_row].as_py(), dtype=np.int64), values(right.column("xs")[p_row]))
+            for q_row in range(left.num_rows):
+                first, until, skip, number = (left.column(c)[q_row].as_py() for c in ("first", "until", "skip", "b"))
+                here = right.column("b")[p_row].as_py()
+                if not first <= here < until or here == skip:
+                    continue
+                ids = np.array(left.column("ids")[q_row].as_py(), dtype=np.int64)
+                least = np.array(left.column("least")[q_row].as_py() or [-math.inf] * len(ids))
+                row, place, product = search_block(p, ids, values(left.column("xs")[q_row]), least, k, include_self)
+                found.append((ids[row], p.ids[place], product))
+        return pa.table([np.concatenate([np.empty(0, dtype=t.type.to_pandas_dtype()), *(x[c] for x in found)]) for c, t in enumerate(hit_schema)], schema=hit_schema)
+
+    def join(asking: DataFrame) -> DataFrame:
+        """What blocks (b, ids, xs, least) find in their buckets from ``first`` on and before ``until``, without ``skip``."""
+        asking = asking.withColumn("row", F.floor(F.col("b") / CELL).cast("int"))
+        of_block = asking.withColumn("col", F.explode(F.sequence(F.floor(F.col("first") / wide).cast("int"), F.floor((F.col("until") - 1) / wide).cast("int"))))
+        cells = of_block.select(F.col("row").alias("its_row"), F.col("col").alias("its_col")).distinct()
+        of_bucket = buckets.join(cells, F.floor(F.col("b") / wide) == F.col("its_col"))
+        return of_block.groupBy("row", "col").cogroup(of_bucket.groupBy("its_row", "its_col")).applyInArrow(meet, "query_id long, neighbor_id long, product double")
 
     # each block starts with one of the buckets that make up the longest vectors
     head = max(1, min(at, first[min(first)][1]))
-    start = q_side.select("qb", F.pmod("qb", F.lit(head)).cast("int").alias("pb"), F.transform("q_ids", lambda _: F.lit(float("-inf"))).alias("least"))
-    hits = cut(join(start))
+    start = F.pmod("b", F.lit(head)).cast("int")
+    any_least = F.lit(None).cast("array<double>")
+    hits = cut(join(blocks.select("b", "ids", "xs", any_least.alias("least"), start.alias("first"), (start + 1).alias("until"), F.lit(-1).alias("skip"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("product"), "neighbor_id"))
     kth = hits.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("product").alias("kth"))
-    flat = q_side.select("qb", "q_most", F.posexplode("q_ids").alias("pos", "id")).join(kth, "id", "left").select("qb", "pos", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    least = cut(flat.groupBy("qb").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kth"))), lambda x: x["kth"]).alias("least"), F.min("kth").alias("lowest")))
-    reach = q_side.select("qb", "q_most").join(least, "qb").crossJoin(p_side.select("pb", "p_most"))
-    rest = reach.where((F.col("pb") != F.pmod("qb", F.lit(head))) & (F.col("q_most") * F.col("p_most") >= F.col("lowest") - 3 * _SLACK)).select("qb", "pb", "least")
+    flat = blocks.select("b", F.posexplode("ids").alias("pos", "id")).join(kth, "id", "left").select("b", "pos", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    least = flat.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kth"))), lambda x: x["kth"]).alias("least"), F.min("kth").alias("lowest"))
+    # the buckets of a level are in reach if its longest vector is; levels come from the longest to the shortest
+    tops = {r["level"]: r["most"] for r in base.groupBy("level").agg(F.max("norm").alias("most")).collect()}
+    until = F.lit(0)
+    for lv in sorted(first):
+        until = until + F.when(F.col("most") * F.lit(tops[lv]) >= F.col("lowest") - 3 * _SLACK, F.lit(first[lv][1])).otherwise(F.lit(0))
+    rest = blocks.join(least, "b").select("b", "ids", "xs", "least", F.lit(0).alias("first"), until.cast("int").alias("until"), start.alias("skip")).where("until > 0")
     found = hits.unionByName(join(rest))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "product")
 
 
 SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_inner_product(a.x, b.x), 6) AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_inner_product(a.x, b.x), 6) AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)
 SELECT query_id, neighbor_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY product DESC, neighbor_id) AS INTEGER) AS rank, product
 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY product DESC, neighbor_id) <= 10
 """

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventide.llm import topk as K
 
@@ -43,6 +44,18 @@ def test_queries_of_their_own(spark):
     close(K.top_k_products(make(x), 3, make(q), bucket=8, block=4).collect(), brute(range(40), x, 3, (range(9), q)))
 
 
+@pytest.mark.parametrize("norms", ["one", "spread"])
+def test_asked_rows_against_all(spark, norms):
+    """Every fifth vector against all, in many cells of the grid."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 5))
+    x *= (1 if norms == "one" else rng.pareto(1, 400)[:, None]) / np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+    got = K.top_k_products(df, 4, bucket=5, block=3, asked=F.col("id") % 5 == 0).collect()
+    close(got, [r for r in brute(range(400), x, 4) if r[0] % 5 == 0])
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_candidates_miss_nothing(seed):
     rng = np.random.default_rng(seed)
