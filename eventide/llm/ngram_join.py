@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import cut, fresh, mix, pieces
+from eventide.llm.common import cut, fresh, mix, pieces, release
 
 #: The most n-grams whose frequency is told to every task (12 bytes each). It orders prefixes; results don't depend on it.
 MOST_FREQUENT = 1_000_000
@@ -31,6 +31,8 @@ RANGE_POSTINGS = 2_000_000
 BROADCAST_ROWS = 500_000
 #: Sets that one cell of a large cluster takes, on average.
 CELL_SETS = 4096
+#: Characters of texts for each range of hashes that are counted.
+RANGE_CHARS = 20_000_000
 #: Characters whose words are hashed at once.
 CHARS = 1_000_000
 #: The most bits of the filter that says which groups have candidates.
@@ -144,7 +146,11 @@ class Frequencies:
 
 
 def _frequencies(texts: DataFrame, n: int, ranges: int) -> tuple[Frequencies, int]:
-    """Document counts of all n-grams, of which the most frequent are kept; and the number of set elements."""
+    """Document counts of all n-grams, of which the most frequent are kept; and the number of set elements.
+
+    Hashes are counted by ranges of their values, at least ``ranges`` of them, and as many more as the texts are long.
+    """
+    ranges = max(ranges, int(texts.agg(F.sum(F.length("t"))).first()[0] or 0) // RANGE_CHARS)
     schema = pa.schema([("r", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +188,7 @@ def _frequencies(texts: DataFrame, n: int, ranges: int) -> tuple[Frequencies, in
         total = int(counts.sum())
         return pa.table({"total": [total], "keys": [keys[first][much].astype(np.uint32).tobytes()], "df": [df[much].tobytes()]}, schema=out)
 
-    merged = cut(texts.mapInArrow(count, "r int, keys binary, counts binary, total long").groupBy("r").applyInArrow(merge, "total long, keys binary, df binary"))
+    merged = cut(texts.mapInArrow(count, "r int, keys binary, counts binary, total long").repartitionById(ranges, F.col("r")).groupBy("r").applyInArrow(merge, "total long, keys binary, df binary"))
     levels = pa.schema([("level", pa.int32()), ("n", pa.int64())])
 
     def by_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +304,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                         else:
                             old = who[at]
                             who[at] = (*old[:3], min(old[3], s), max(old[4], s))
-                if held > 3_000_000:
+                if held > 2_000_000:
                     yield emit()
                     have, names, who, held = [], {}, [], 0
         if held:
@@ -393,7 +399,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
         on = (i == j) | (who[i, 0] == who[j, 0]) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
         return pa.table({"a": who[i[on], 0], "b": who[j[on], 0]}, schema=out)
 
-    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
+    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").repartitionById(ranges + blocks, F.col("r")).groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
     # groups of one hash and other sizes give a pair twice
     return found.groupBy("k").applyInArrow(tally, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -492,7 +498,9 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, elements = _frequencies(rows.select("t"), n, partitions)
     freq = spark.sparkContext.broadcast(found)
+    release(spark)
     met = cut(_candidates(rows.select("t"), n, t, freq, elements))
+    release(spark)
     ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("o")), F.struct(F.col("b").alias("g"), F.col("a").alias("o")))).alias("x")).select("x.*")
     root = cut(ends.groupBy("g").agg(F.min("o").alias("o")).select("g", F.least("g", "o").alias("root")))
     bloom = spark.sparkContext.broadcast(_bloom(root.select("g"), root.count()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -14,31 +15,79 @@ from pyspark.sql.window import Window
 from eventide.llm.common import cut
 
 
-def lpt_runs(sizes: list[tuple[int, int]], n_shards: int) -> tuple[dict[int, tuple[list[int], list[int]]], list[int]]:
+class Runs:
+    """Shards in turn, in stretches of (first rank, shards that are visited in a cycle)."""
+
+    def __init__(self, stretches: list[tuple[int, list[int]]], count: int) -> None:
+        self.stretches, self.count = stretches, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> int:
+        first, cycle = self.stretches[bisect.bisect_right(self.stretches, k, key=lambda x: x[0]) - 1]
+        return cycle[(k - first) % len(cycle)]
+
+
+def _level(loads: list[int], size: int, count: int) -> tuple[Runs, list[int]]:
+    """Where LPT puts up to ``count`` groups of ``size`` while loads differ by a size or more, and the loads after that.
+
+    Shards are visited in the order of (load, number), and each again a size later. Between the loads of one shard and
+    the next one, those that have joined in take turns in one cycle, so that the stretches are at most as
+    many as shards, however many groups it takes to get level.
+    """
+    order = sorted(range(len(loads)), key=lambda s: (loads[s], s))
+    limits = [*((loads[s], s) for s in order[1:]), (loads[order[-1]] - size + 1, -1)]
+    limits = [min(x, limits[-1]) for x in limits]
+    now, stretches, done = list(loads), [], 0
+    for j, (load, number) in enumerate(limits):
+        if done == count or loads[order[j]] > limits[-1][0]:
+            break
+        cycle = sorted(order[: j + 1], key=lambda s: (now[s], s))
+        total = sum(-(-(load - now[s]) // size) + (s < number and (load - now[s]) % size == 0) for s in cycle if now[s] < load or now[s] == load and s < number)
+        total = min(total, count - done)
+        if total:
+            stretches.append((done, cycle[:total]))
+            whole, rest = divmod(total, len(cycle))
+            for k, s in enumerate(cycle):
+                now[s] += size * (whole + (k < rest))
+            done += total
+    return Runs(stretches, done), now
+
+
+def lpt_runs(sizes: list[tuple[int, int]], n_shards: int) -> tuple[dict[int, tuple[Runs, list[int]]], list[int]]:
     """Schedule a histogram of (size, number of groups) exactly as group-by-group LPT would.
 
-    Groups go largest first to the least-loaded shard, the lowest number on ties. Once all loads lie
-    closer than one size to each other, further groups of that size visit the shards in a cycle, so each size
-    gets an explicit head and a cycle that repeats; the work follows the distinct sizes, not the groups.
+    Groups go largest first to the least-loaded shard, the lowest number on ties. The least-loaded shards take groups of a size
+    until all loads lie closer than that to each other; further ones visit the shards in a cycle. Both are told in
+    stretches, so work and memory follow the distinct sizes and the shards, not the groups.
     Returns for each size (head, cycle), and the loads.
     """
     heap = [(0, s) for s in range(n_shards)]
-    out: dict[int, tuple[list[int], list[int]]] = {}
+    out: dict[int, tuple[Runs, list[int]]] = {}
     for size, count in sorted(sizes, reverse=True):
-        head: list[int] = []
-        top = max(x for x, _ in heap)
-        while count and size and top - heap[0][0] >= size:
-            load, s = heap[0]
-            heapq.heapreplace(heap, (load + size, s))
-            top = max(top, load + size)
-            head.append(s)
-            count -= 1
         if size == 0:
-            out[size] = ([], [heap[0][1]])
+            out[size] = (Runs([], 0), [heap[0][1]])
             continue
-        order = sorted(heap)
-        cycle = [s for _, s in order]
-        if count:
+        head = Runs([], 0)
+        if max(heap)[0] - heap[0][0] >= size:
+            loads = [0] * n_shards
+            for load, s in heap:
+                loads[s] = load
+            head, loads = _level(loads, size, count)
+            heap = [(load, s) for s, load in enumerate(loads)]
+            heapq.heapify(heap)
+            count -= len(head)
+        cycle: list[int] = []
+        if count < n_shards:
+            for _ in range(count):
+                load, s = heap[0]
+                heapq.heapreplace(heap, (load + size, s))
+                cycle.append(s)
+            cycle = cycle or [heap[0][1]]
+        else:
+            order = sorted(heap)
+            cycle = [s for _, s in order]
             whole, rest = divmod(count, n_shards)
             # a cycle of one whole turn keeps the order of (load, shard) as it was
             heap = [(load + size * (whole + (i < rest)), s) for i, (load, s) in enumerate(order)]
@@ -50,13 +99,35 @@ def lpt_runs(sizes: list[tuple[int, int]], n_shards: int) -> tuple[dict[int, tup
     return out, loads
 
 
+class Places:
+    """The shards by size and rank, as arrays."""
+
+    def __init__(self, runs: dict[int, tuple[Runs, list[int]]]) -> None:
+        self.sizes = np.array(sorted(runs), dtype=np.int64)
+        key, first, cycles = [], [], []
+        for i, size in enumerate(self.sizes.tolist()):
+            head, cycle = runs[size]
+            for at, part in [*head.stretches, (len(head), cycle)]:
+                key.append((i << 40) + at)
+                first.append(at)
+                cycles.append(part)
+        self.key, self.first = np.array(key, dtype=np.int64), np.array(first, dtype=np.int64)
+        self.length = np.array([len(c) for c in cycles], dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.shard = np.array([s for c in cycles for s in c], dtype=np.int32)
+
+    def of(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.key, (np.searchsorted(self.sizes, size) << 40) + rank, side="right") - 1
+        return self.shard[self.begin[k] + (rank - self.first[k]) % self.length[k]].astype(np.int64)
+
+
 def shard_groups(docs: DataFrame, group: F.Column, weight: F.Column, n_shards: int = 64, doc_id: str = "doc_id") -> DataFrame:
     """Assign documents to shards: (doc_id, group_key, group_size, shard).
 
     Rows of one ``group`` value stay together. Groups are taken by total ``weight``, largest first, equal
     sizes by md5 of the key and then the key, and each goes to the least-loaded shard (lowest number on
     ties) through a heap. The heap works on the histogram of group sizes, which has at most
-    sqrt(2 * total weight) bars whatever the number of groups; which place a group has among those of its
+    sqrt(2 * total weight) bars whatever the number of groups, of 24 bytes and at most ``n_shards`` numbers each; which place a group has among those of its
     size is found in parallel, by counts over 256 md5 slices.
 
     A null group value means that a row is in no group: it stands alone, under the key 'row:' plus its
@@ -78,18 +149,13 @@ def shard_groups(docs: DataFrame, group: F.Column, weight: F.Column, n_shards: i
     before = F.coalesce(F.sum("n").over(Window.partitionBy("group_size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = slices.select("group_size", "slice", before.alias("before"))
     histogram = groups.groupBy("group_size").agg(F.count("*").alias("n")).toPandas()
-    runs, _ = lpt_runs([(int(s), int(n)) for s, n in zip(histogram["group_size"], histogram["n"])], n_shards)
-    shared = docs.sparkSession.sparkContext.broadcast(runs)
+    runs, _ = lpt_runs(list(zip(histogram["group_size"].tolist(), histogram["n"].tolist())), n_shards)
+    shared = docs.sparkSession.sparkContext.broadcast(Places(runs))
 
     @F.pandas_udf("long")
     def place(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        table = shared.value
         for size, rank in parts:
-            got = []
-            for s, r in zip(size, rank):
-                head, cycle = table[s]
-                got.append(head[r] if r < len(head) else cycle[(r - len(head)) % len(cycle)])
-            yield pd.Series(np.array(got, dtype=np.int64))
+            yield pd.Series(shared.value.of(size.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64)))
 
     inside = F.row_number().over(Window.partitionBy("group_size", "slice").orderBy("h", "group_key")) - 1
     ranked = groups.withColumn("inside", inside).join(slices, ["group_size", "slice"])

@@ -75,6 +75,28 @@ def test_lpt_runs_equal_a_heap_by_groups(seed):
     assert loads == total
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_stretches_equal_a_heap_by_groups(seed):
+    """Few large groups before many small ones, so that it takes long to get level; by arrays as tasks look them up."""
+    rng = random.Random(seed)
+    shards = rng.randint(1, 9)
+    sizes = Counter(rng.choice([1, 2, 3, 5, 40, 41, 300, 1000]) for _ in range(rng.randint(1, 12))) + Counter({rng.choice([1, 2, 3]): rng.randint(0, 900), 7: rng.randint(0, 200)})
+    runs, loads = sharding.lpt_runs(list(sizes.items()), shards)
+    want = lpt([((s, k), s) for s in sorted(sizes, reverse=True) for k in range(sizes[s])], shards)
+    total = [0] * shards
+    for (s, _), x in want.items():
+        total[x] += s
+    assert loads == total
+    keys = list(want)
+    assert sharding.Places(runs).of(np.array([s for s, _ in keys]), np.array([k for _, k in keys])).tolist() == [want[k] for k in keys]
+
+
+def test_a_giant_group_takes_memory_by_shards():
+    runs, _ = sharding.lpt_runs([(10**9, 1), (10, 10**6), (0, 5)], 64)
+    head, cycle = runs[10]
+    assert len(head) == 10**6 and len(head.stretches) <= 64 and sum(len(c) for _, c in head.stretches) <= 64 * 64 and sorted(Counter(map(head.__getitem__, range(10**6))).values())[-1] <= 15_874
+
+
 def test_sharding_odd(spark, odd_docs, odd_rows, no_docs):
     got = sharding.shard_groups(odd_docs, F.col("text"), F.col("n_chars"), 3).collect()
     assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in odd_rows), key=repr)
