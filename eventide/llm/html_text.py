@@ -44,19 +44,23 @@ _IMPLIED = {
     **{x: (_CELL | _ROW | _PART, _TABLE) for x in ("thead", "tbody", "tfoot", "colgroup", "caption")},
     "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
+#: Attributes as browsers read them: quotes count only where a value begins, and one that is never closed runs to the end of the page.
+_WITHIN = r"(?>[\s/]++|(?:[^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]*+))?+)*+"
 #: Comments, declarations, end tags, start tags.
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*+){_WITHIN}(?:>|\Z)|<([a-zA-Z][^\s/>]*+)({_WITHIN})(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+")
+#: Rows that lie further than this from left to right aren't aligned.
+MOST_COLUMNS = 1000
 MOST_DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "children", "attributes", "hidden", "inside")
+    __slots__ = ("tag", "children", "attributes", "hidden", "inside", "unseen")
 
     def __init__(self, tag: str, attributes: str = "", around: str = "") -> None:
         """``inside`` is what the children are in: '' (HTML), svg, text (of svg) or math; ``around`` the same of the parent."""
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.unseen = tag, attributes, [], False
         self.hidden = tag in HIDDEN or bool(attributes) and _hides(tag, attributes) or tag == "dialog" and "open" not in _attributes(attributes)
         self.inside = around
         if tag in ("svg", "math"):
@@ -73,18 +77,133 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of the display and visibility that declarations give; the last one of a name counts, or the last important one."""
+    out: dict[str, tuple[bool, str]] = {}
+    for one in style.lower().split(";"):
+        name, _, value = one.partition(":")
+        name = name.strip()
+        if name in ("display", "visibility"):
+            value, mark, _ = value.partition("!")
+            if bool(mark) >= out.get(name, (False, ""))[0]:
+                out[name] = (bool(mark), value.strip())
+    return out
+
+
 def _hides(tag: str, raw: str) -> bool:
+    """Whether an element's own attributes keep it from being laid out; its visibility is another matter."""
     low = raw.lower()
     if not ("hidden" in low or "style" in low or "type" in low):
         return False
     a = _attributes(raw)
-    style = a.get("style", "").lower().replace(" ", "")
+    display = _declared(a["style"]).get("display", (False, ""))[1] if "style" in a else ""
     return (
-        "hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|;)display:none", style) is not None
-        or re.search(r"(?:^|;)visibility:(?:hidden|collapse)", style) is not None or tag == "input" and a.get("type", "").lower() == "hidden"
+        display == "none" or "hidden" in a and a["hidden"].lower() != "until-found" and not display
+        or a.get("aria-hidden", "").lower() == "true" or tag == "input" and a.get("type", "").lower() == "hidden"
     )
 
 
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+
+
+class Rules:
+    """The rules of a page's style elements that set display or visibility, by what the last part of their selector asks for.
+
+    Selectors are made of tags, classes and ids, one inside or a child of the other; those with anything else are passed over, and
+    so are rules for media other than the screen.
+    """
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.by: dict[str, list[tuple]] = {}
+        self.n = 0
+        for css in sheets:
+            self._read(re.sub(r"(?s)/\*.*?(?:\*/|\Z)|<!--|-->", " ", css))
+
+    def _read(self, css: str) -> None:
+        at = 0
+        while (m := re.compile(r"[{;}]").search(css, at)) is not None:
+            head, at = css[at : m.start()].strip(), m.end()
+            if m[0] != "{":
+                continue
+            depth, start = 1, at
+            while depth and (m := re.compile(r"[{}]").search(css, at)) is not None:
+                depth += 1 if m[0] == "{" else -1
+                at = m.end()
+            body = css[start : at - 1] if not depth else css[start:]
+            at = at if not depth else len(css)
+            if head.startswith("@"):
+                if re.fullmatch(r"(?i)@media\s+(?:only\s+)?(?:all|screen)", head):
+                    self._read(body)
+                continue
+            found = _declared(body) if "display" in body.lower() or "visibility" in body.lower() else {}
+            for selector in head.split(",") if found else ():
+                self._add(selector.strip(), found)
+
+    def _add(self, selector: str, found: dict) -> None:
+        chain, child = [], False
+        for part in re.sub(r"\s*>\s*", " > ", selector).split():
+            if part == ">":
+                child = True
+                continue
+            m = _COMPOUND.fullmatch(part)
+            if m is None:
+                return
+            names = re.findall(r"[.#][\w-]+", m[2])
+            chain.append((child, None if m[1] in (None, "*") else m[1].lower(), frozenset(names)))
+            child = False
+        if not chain or child:
+            return
+        weight = (sum(x[0] == "#" for c in chain for x in c[2]), sum(x[0] == "." for c in chain for x in c[2]), sum(c[1] is not None for c in chain))
+        self.n += 1
+        last = chain[-1]
+        self.by.setdefault(min(last[2], default=last[1] or "*"), []).append((chain, weight, self.n, found))
+
+    @staticmethod
+    def _fits(chain: list, node: tuple[str, frozenset], above: list[tuple[str, frozenset]]) -> bool:
+        child, tag, names = chain[-1]
+        if tag not in (None, node[0]) or not names <= node[1]:
+            return False
+        if len(chain) == 1:
+            return True
+        return any(Rules._fits(chain[:-1], above[k], above[:k]) for k in range(len(above) - 1, len(above) - 2 if child else -1, -1) if k >= 0)
+
+    def of(self, node: tuple[str, frozenset], above: list[tuple[str, frozenset]], style: str) -> dict[str, str]:
+        """What holds for an element, given its names and those above it: the most important, then inline, then the most specific, then the last."""
+        best: dict[str, tuple] = {}
+        for key in (*node[1], node[0], "*"):
+            for chain, weight, order, found in self.by.get(key, ()):
+                if self._fits(chain, node, above):
+                    for name, (important, value) in found.items():
+                        best[name] = max(best.get(name, ((),)), ((important, False, weight, order), value))
+        for name, (important, value) in _declared(style).items() if style else ():
+            best[name] = max(best.get(name, ((),)), ((important, True, (0, 0, 0), 0), value))
+        return {name: x[1] for name, x in best.items()}
+
+
+def _settle(root: Node, rules: Rules) -> None:
+    """Apply style rules, and let visibility pass to what is inside; the text of what isn't visible goes, but not what is visible inside of it."""
+    todo: list[tuple[Node, list, bool]] = [(root, [], False)]
+    while todo:
+        node, above, unseen = todo.pop()
+        a = _attributes(node.attributes) if node.attributes else {}
+        name = (node.tag, frozenset([*("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if a.get("id") else [])]))
+        got = rules.of(name, above, a.get("style", ""))
+        display, seen = got.get("display", ""), got.get("visibility", "")
+        if display == "none":
+            node.hidden = True
+        elif display and node.hidden and not node.inside and not (node.tag in HIDDEN or node.tag in ("dialog", "input") or a.get("aria-hidden", "").lower() == "true"):
+            node.hidden = False
+        if seen in ("hidden", "collapse", "visible"):
+            unseen = seen != "visible"
+            if seen == "collapse" and node.tag in ("tr", "tbody", "thead", "tfoot"):
+                node.hidden = True
+        node.unseen = unseen
+        if unseen:
+            node.children = [c if isinstance(c, Node) else " " for c in node.children]
+        below = [*above, name] if rules.n else above
+        todo += [(c, below, unseen) for c in node.children if isinstance(c, Node) and not (c.hidden and c.tag in HIDDEN)]
+
+
 def _not_drawn(raw: str) -> bool:
     if "display" not in raw and "visibility" not in raw:
         return False
@@ -98,7 +217,8 @@ def parse(page: str) -> Node:
     A start tag ends an open paragraph, list item, term, cell or row as HTML says; a cell outside of a row
     gets one; an end tag ends all that is open inside of its element, and is passed over if there is no
     such element (up to the nearest cell or table). Anything still open ends with the page. Beyond
-    ``MOST_DEPTH`` levels, elements become siblings.
+    ``MOST_DEPTH`` levels, elements become siblings, as in browsers; what is inside of a hidden one there is hidden with it.
+    A tag that the page ends in doesn't count. Style rules and visibility are applied to the tree in the end.
 
     Text and elements that stand between the parts of a table come before the table; a part of a table ends
     whatever else is open there, and a form there holds nothing. In drawings and formulas, tags may end
@@ -107,6 +227,18 @@ def parse(page: str) -> Node:
     root = Node("html")
     stack = [root]
     at, n = 0, len(page)
+    sheets: list[str] = []
+    # open elements that lie deeper than the tree goes, and how many of them are hidden
+    over: list[Node] = []
+    off = 0
+
+    def push(node: Node) -> None:
+        nonlocal off
+        if len(stack) < MOST_DEPTH:
+            stack.append(node)
+        else:
+            over.append(node)
+            off += node.hidden
 
     def close(tags: frozenset[str], stops: frozenset[str]) -> None:
         # ends up to the outermost element of tags that lies above any of stops
@@ -120,6 +252,8 @@ def parse(page: str) -> Node:
             del stack[last:]
 
     def put(x: Node | str) -> None:
+        if off:
+            return
         # what isn't part of a table goes before it, in the table's parent
         if stack[-1].tag in _FRAME and not stack[-1].inside:
             for k in range(len(stack) - 1, 0, -1):
@@ -133,7 +267,7 @@ def parse(page: str) -> Node:
 
     def put_text(text: str) -> None:
         top = stack[-1]
-        if top.inside == "svg":
+        if top.inside == "svg" or off:
             return
         if text.isspace():
             top.children.append(text)
@@ -150,6 +284,10 @@ def parse(page: str) -> Node:
         if m.start() > at:
             put_text(page[at : m.start()])
         at = m.end()
+        if (m[1] or m[2]) and page[at - 1] != ">":
+            break
+        if over and len(stack) < MOST_DEPTH:
+            over, off = [], 0
         if m[2]:
             tag = m[2].lower()
             if stack[-1].inside and (tag in _BREAKS_OUT or tag == "font" and re.search(r"(?i)\b(?:color|face|size)\b", m[3])):
@@ -165,9 +303,10 @@ def parse(page: str) -> Node:
                     continue
                 if tag in ("script", "style"):
                     end = re.compile(rf"(?i)</{tag}(?=[\s/>]|\Z)").search(page, at)
+                    if tag == "style":
+                        sheets.append(page[at : end.start() if end else n])
                     at = end.start() if end else n
-                if len(stack) < MOST_DEPTH:
-                    stack.append(node)
+                push(node)
                 continue
             if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
                 stack.pop()
@@ -202,10 +341,10 @@ def parse(page: str) -> Node:
             elif len(stack) > 1 and stack[1].tag == "head" and tag in BLOCK:
                 del stack[1:]
             node = Node(tag, m[3])
-            if tag in _PARTS or tag in _NEUTRAL:
-                stack[-1].children.append(node)
-            else:
+            if not (tag in _PARTS or tag in _NEUTRAL):
                 put(node)
+            elif not off:
+                stack[-1].children.append(node)
             if tag in RAW:
                 end = re.compile(rf"(?i)</{tag}(?=[\s/>]|\Z)").search(page, at)
                 stop = end.start() if end else n
@@ -213,14 +352,23 @@ def parse(page: str) -> Node:
                 if tag in ("textarea", "title"):
                     body = html.unescape(body)
                 node.children.append(body)
+                if tag == "style" and not any(x.tag == "template" for x in stack):
+                    sheets.append(body)
                 at = page.find(">", stop) + 1 or n if end else n
             elif tag == "plaintext":
                 node.children.append(page[at:])
                 break
-            elif tag not in VOID and len(stack) < MOST_DEPTH:
-                stack.append(node)
+            elif tag not in VOID:
+                push(node)
         elif m[1]:
             tag = m[1].lower()
+            if over and any(x.tag == tag for x in over):
+                while True:
+                    x = over.pop()
+                    off -= x.hidden
+                    if x.tag == tag:
+                        break
+                continue
             if tag == "br":
                 while stack[-1].inside:
                     stack.pop()
@@ -236,8 +384,14 @@ def parse(page: str) -> Node:
             else:
                 if tag == "p":
                     put(Node("p"))
-        elif stack[-1].inside in ("text", "math") and m[0].startswith("<![CDATA["):
-            put(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+        elif m[0].startswith("<![CDATA["):
+            if stack[-1].inside in ("text", "math"):
+                put(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+            elif not stack[-1].inside:  # a comment up to the next sign
+                at = page.find(">", m.start()) + 1 or n
+    rules = Rules(sheets)
+    if rules.n or "visibility" in page.lower():
+        _settle(root, rules)
     return root
 
 
@@ -316,6 +470,8 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
         if x.hidden:
             continue
         tag = x.tag
+        if x.unseen and (tag in ("img", "input", "hr") or tag == "textarea"):
+            continue
         if tag == "br":
             out.line(force=True)
             continue
@@ -356,7 +512,7 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
                 out.line()
                 step = f"{number}. " if kind == "ol" else "- "
                 out.indent += " " * len(step)
-                out.mark = step
+                out.mark = "" if x.unseen else step
             elif tag in ("dd", "blockquote"):
                 step = "    " if tag == "dd" else "> "
                 out.indent += step
@@ -370,11 +526,15 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
         inner = []
         if tag in ("ol", "ul", "menu", "dir"):
             a = _attributes(x.attributes) if tag == "ol" and x.attributes else {}
-            number = int(a["start"]) if re.fullmatch(r"-?\d{1,9}", a.get("start", "")) else 1
+            step = -1 if "reversed" in a else 1
+            number = 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" and not c.hidden for c in children)
+            number = _whole(a.get("start", ""), number)
             for c in children:
                 if isinstance(c, Node) and c.tag == "li" and not c.hidden:
+                    if tag == "ol" and "value" in c.attributes.lower():
+                        number = _whole(_attributes(c.attributes).get("value", ""), number)
                     inner.append(("in", c, pre, ("ol" if tag == "ol" else "ul", number)))
-                    number += 1
+                    number += step
                 else:
                     inner.append(("in", c, pre, None))
         else:
@@ -390,21 +550,78 @@ def _render(node: Node, out: Canvas, pre: bool = False) -> None:
         todo += inner[::-1]
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    """Rows in the order shown: of the head, of the bodies, of the foot."""
-    parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
+def _whole(raw: str, other: int) -> int:
+    """A whole number as attributes have it, or ``other``."""
+    m = re.match(r"\s*([+-]?\d{1,9})(?!\d)", raw)
+    return int(m[1]) if m else other
+
+
+def _rows(table: Node) -> list[list[Node]]:
+    """Rows in the order shown, in groups: of the head, of each body, of the foot."""
+    parts: dict[str, list[list[Node]]] = {"thead": [], "tbody": [], "tfoot": []}
+    loose = False
     for c in table.children:
         if isinstance(c, Node) and not c.hidden:
             if c.tag == "tr":
-                parts["tbody"].append(c)
+                if not loose:
+                    parts["tbody"].append([])
+                loose = True
+                parts["tbody"][-1].append(c)
             elif c.tag in parts:
+                loose = False
                 # the parser leaves nothing else to be shown there
-                parts[c.tag] += [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden]
-    return iter(parts["thead"] + parts["tbody"] + parts["tfoot"])
+                parts[c.tag].append([r for r in c.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden])
+    return parts["thead"] + parts["tbody"] + parts["tfoot"]
+
+
+def _span(a: dict[str, str], name: str, most: int) -> int:
+    """Columns or rows that a cell takes; more than ``most`` count as that."""
+    m = re.match(r"\s*\+?(\d+)", a.get(name, ""))
+    n = (most if len(m[1].lstrip("0")) > 6 else min(int(m[1]), most)) if m else 1
+    return n or (most if name == "rowspan" else 1)
+
+
+def _grid(table: Node) -> list[dict[int, list[str]]]:
+    """The rows' cells by column.
+
+    Of cells that reach down, only the columns and the last row are kept, as intervals, so that spans of any size take no more room
+    than their cells. They end with the group of rows.
+    """
+    grid: list[dict[int, list[str]]] = []
+    for group in _rows(table):
+        taken: list[tuple[int, int, int]] = []  # from, to (exclusive), rows to come; in ascending order
+        for r, row in enumerate(group):
+            cells: dict[int, list[str]] = {}
+            k, at, new = 0, 0, []
+            for c in row.children:
+                if isinstance(c, str) and not c.strip():
+                    continue
+                if isinstance(c, Node) and c.hidden:
+                    continue
+                while at < len(taken) and taken[at][0] <= k:
+                    k = max(k, taken[at][1])
+                    at += 1
+                cell = Canvas()
+                _render(c, cell) if isinstance(c, Node) else cell.text(c)
+                cells[k] = cell.done()
+                a = _attributes(c.attributes) if isinstance(c, Node) and c.attributes else {}
+                across, down = _span(a, "colspan", 1000), min(_span(a, "rowspan", 65_534), len(group) - r)
+                if down > 1:
+                    if new and new[-1][1] == k and new[-1][2] == down:
+                        new[-1] = (new[-1][0], k + across, down)
+                    else:
+                        new.append((k, k + across, down))
+                k += across
+            taken = sorted((x, y, left - 1) for x, y, left in [*taken, *new] if left > 1)
+            grid.append(cells)
+    return grid
 
 
 def _table(table: Node) -> list[str]:
-    """A table's lines: its caption, then cells in columns as wide as their widest line, two spaces apart."""
+    """A table's lines: its caption, then cells in columns as wide as their widest line, two spaces apart.
+
+    Columns in which no cell begins take no room. With more than ``MOST_COLUMNS`` others, cells are two spaces apart and not aligned.
+    """
     lines: list[str] = []
     loose = Canvas()
     for c in table.children:
@@ -414,42 +631,28 @@ def _table(table: Node) -> list[str]:
             _render(c, loose)
             loose.line()
     lines += loose.done()
-    grid: list[list[list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(_rows(table)):
-        cells: dict[int, list[str]] = {}
-        k = 0
-        for c in row.children:
-            if isinstance(c, str) and not c.strip():
-                continue
-            if isinstance(c, Node) and c.hidden:
-                continue
-            while taken.get((r, k)):
-                k += 1
-            cell = Canvas()
-            _render(c, cell) if isinstance(c, Node) else cell.text(c)
-            cells[k] = cell.done()
-            a = _attributes(c.attributes) if isinstance(c, Node) and c.attributes else {}
-            across, down = (min(int(a[x]), 1000) if re.fullmatch(r"\d{1,4}", a.get(x, "")) and int(a[x]) else 1 for x in ("colspan", "rowspan"))
-            for i in range(down):
-                for j in range(across):
-                    if i or j:
-                        taken[(r + i, k + j)] = True
-            k += across
-        grid.append([cells.get(j, []) for j in range(max(cells, default=-1) + 1)])
-    widths: list[int] = []
-    for row in grid:
-        if len(row) > 1:
-            for j, cell in enumerate(row):
-                if j == len(widths):
-                    widths.append(0)
-                widths[j] = max([widths[j], *map(width, cell)])
+    grid = _grid(table)
+    used = sorted({k for row in grid for k in row})
+    if len(used) > MOST_COLUMNS:
+        number = {k: i for i, k in enumerate(used)}
+        grid = [{i: cell for i, (_, cell) in enumerate(sorted(row.items()))} for row in grid]
+        widths = [0] * len(number)
+    else:
+        number = {k: i for i, k in enumerate(used)}
+        grid = [{number[k]: cell for k, cell in row.items()} for row in grid]
+        widths = [0] * len(used)
+        for row in grid:
+            if max(row, default=0) > 0:
+                for j, cell in row.items():
+                    widths[j] = max([widths[j], *map(width, cell)])
     for row in grid:
-        for i in range(max(map(len, row), default=0)):
+        last = max(row, default=-1)
+        for i in range(max(map(len, row.values()), default=0)):
             line = ""
-            for j, cell in enumerate(row):
+            for j in range(last + 1):
+                cell = row.get(j, [])
                 s = cell[i] if i < len(cell) else ""
-                line += s if j == len(row) - 1 else s + " " * (widths[j] - width(s) + 2)
+                line += s if j == last else s + " " * (max(widths[j] - width(s), 0) + 2)
             lines.append(line.rstrip(" "))
     return lines
 
@@ -465,14 +668,14 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", m
     """Render pages: (page_id, url, text, n_lines).
 
     A tree is built with the tags that HTML implies. What is hidden by element (head, script, template
-    ...), by attribute (hidden, aria-hidden) or by style (display:none, visibility:hidden) is left out, with all inside,
-    and so are closed dialogs, choices of forms (select, datalist), fallbacks of media and objects, and what a drawing only defines; the rest
+    ...), by attribute (hidden, aria-hidden) or by display:none is left out, with all inside; of what has visibility:hidden, all but what is visible again inside. Both
+    may come from style attributes or from the page's own style elements, by selectors of tags, classes and ids. Left out, too, are closed dialogs, choices of forms (select, datalist), fallbacks of media and objects, and what a drawing only defines; the rest
     is all put out, navigation and footers, formulas and the text of drawings too. What stands between the parts of a table comes before it, as browsers show it. White space collapses except in pre; blocks start lines,
     paragraphs, headings, lists and tables have an empty line around them; list items have marks or numbers
     and are indented; cells stand in aligned columns, across spans, with a nested table inside its cell.
 
     Null markup: null text and lines. Empty markup or one with nothing visible: '' and 0 lines. Broken or plain text is rendered as it
-    stands, and nesting beyond 512 levels is flattened. Null ids and urls, and repeated rows, are kept. Empty
+    stands, nesting beyond 512 levels is flattened as browsers do, a tag in which the page ends is no text, and tables of more than 1000 columns aren't aligned. Null ids and urls, and repeated rows, are kept. Empty
     table: empty result. Other columns are ignored. Texts are read whole.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64())])

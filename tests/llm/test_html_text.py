@@ -47,6 +47,92 @@ def test_all_that_browsers_show(page, text):
     assert H.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<!-->visible<!-- x --> after", "visible after"), ("<!--->a<!-- -- b --!>c", "ac"), ("<p class=it's>Hello there. He said 'hi' ok</p>", "Hello there. He said 'hi' ok"), ('<a href=x"y>z</a> "q"', 'z "q"'),
+        ('<p title="unclosed>Hello <b>w</b>', ""), ("a<b", "a"), ("a<img alt='x", "a"), ('<p a="x"b=\'>\'>y', "y"), ("<p/ x = '>' >y</p x='>'>z", "y\n\nz"), ("a<![CDATA[b > c", "a c"),
+        ("<div style='visibility:hidden'>n<b style='visibility:visible'>y</b>n<img alt=n></div>z", "y\nz"), ("<ul style='visibility:hidden'><li>n<li style='visibility:visible'>y</ul>", "- y"),
+        ("<table><tr style='visibility:collapse'><td>n<tr><td>y</table>", "y"), ("<p style='display:none;display:block'>y<p style='display:none!important;display:block'>n", "y"), ("<p hidden style='display:block'>y", "y"),
+        ("<style>.h{display:none} #i, q.x > b { color: red; visibility: hidden }</style><p class='a h'>n</p><p id=i>n<i class=h>n</i><i style='visibility:visible'>y</i></p><q class=x><b>n</b><i><b>z</b></i></q>", "y\n\nz"),
+        ("<p class=h>n<p class='h s'>y<style>/* .s{} */ .h{display:none!important} p.h.s{display:block!important} @media print{p{display:none}} @media screen{.n{display:none}} p:hover{display:none}</style><p class=n>n", "y"),
+        ("<!-- <style>p{display:none}</style> --><p>y", "y"), ("<style>div span{display:none}</style><div><p><span>n</span>y</p></div><span>z</span>", "y\n\nz"), ("<style>*{display:none</style>n", ""),
+        ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"), ("<ol reversed><li>a<li>b<li value=9>c</ol>", "3. a\n2. b\n9. c"), ("<ol reversed start=7><li>a<li>b</ol>", "7. a\n6. b"),
+        ("<table><tr><td colspan=20000>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"), ("<table><tr><td rowspan=99999999>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td rowspan=3>a<td rowspan=2>b<td>c<tr><td>d<tr><td colspan=2>e</table>", "a  b  c\n      d\n   e"),
+    ],
+)
+def test_as_browsers_read_it(page, text):
+    assert H.visible_text(page) == text
+
+
+def test_hidden_at_any_depth():
+    deep = "<div>" * 600
+    assert H.visible_text(f"{deep}<div hidden>n<b>n</b></div>y<i>z</i>") == "yz" and H.visible_text(f"{deep}<p hidden><b>n</p>{'</div>' * 600}y") == "y"
+    assert H.visible_text(f"{deep}<b>a<i hidden>n</i>c</b>{'</div>' * 300}d").split() == ["ac", "d"]
+
+
+def test_spans_take_no_room_of_their_own():
+    import tracemalloc
+
+    page = "<table>" + "<tr>" + "<td colspan=1000 rowspan=1000>x" * 1000 + "<tr><td>y" * 1000 + "</table>"
+    tracemalloc.start()
+    lines = H.visible_text(page).split("\n")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lines) == 1001 and lines[1].strip() == "y" and most < 50_000_000
+
+
+def brute_table(rows):
+    """Cells by an array of taken places, columns by all lines."""
+    taken, put = set(), {}
+    for r, row in enumerate(rows):
+        k = 0
+        for text, across, down in row:
+            while (r, k) in taken:
+                k += 1
+            put[r, k] = text
+            taken |= {(r + i, k + j) for i in range(min(down, len(rows) - r)) for j in range(across)}
+            k += across
+    used = sorted({k for _, k in put})
+    wide = {k: max([len(t) for (r, c), t in put.items() if c == k and max((x for q, x in put if q == r)) > used[0]], default=0) for k in used}
+    out = []
+    for r in range(len(rows)):
+        own = {k: t for (q, k), t in put.items() if q == r}
+        if own:
+            out.append("".join(own.get(k, "").ljust(wide[k] + 2) for k in used if k < max(own)) + own[max(own)])
+    return [x.rstrip() for x in out]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cells_in_order_and_aligned(seed):
+    rng = random.Random(seed)
+    rows = [[("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 4])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 6))]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in rows) + "</table>"
+    assert H.visible_text(page).split("\n") == brute_table(rows)
+
+
+def test_blocks_and_lists_in_order():
+    """Blocks, items and words come in the order of the page, with the spacing of their kind."""
+    for seed in range(40):
+        rng, page, want = random.Random(seed), "", []
+        for k in range(rng.randint(1, 8)):
+            kind = rng.choice(["p", "div", "ul", "ol", "pre"])
+            if kind in ("p", "div"):
+                page += f"<{kind}>w{k} <b>x</b>\n y{k}</{kind}>"
+                block = [f"w{k} x y{k}"]
+            elif kind == "pre":
+                page += f"<pre>\n  a{k}\n\n b</pre>"
+                block = [f"  a{k}", "", " b"]
+            else:
+                n = rng.randint(1, 3)
+                page += f"<{kind}>" + "".join(f"<li>i{k}{j}" for j in range(n)) + f"</{kind}>"
+                block = [f"{'-' if kind == 'ul' else f'{j + 1}.'} i{k}{j}" for j in range(n)]
+            gap = kind != "div" or (want and want[-1][0] != "div")
+            want.append((kind, ([""] if want and gap else []) + block))
+        assert H.visible_text(page).split("\n") == [x for _, b in want for x in b]
+
+
 class Plain(HTMLParser):
     """Visible words by the library's tokenizer, by a count of open hidden elements."""
 
