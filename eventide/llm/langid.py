@@ -15,6 +15,10 @@ from eventide.llm.common import WORD, cut, mix, pieces
 
 #: The most labelled documents of each language, and words of each, that the model is fitted on.
 DOCS_PER_LANG, WORDS_PER_DOC = 150, 400
+#: Code-switched sequences of some 60 words that are made of them.
+SEQUENCES = 800
+#: The most words of the lexicon, which is counted over all labelled documents.
+LEXICON_WORDS = 200_000
 #: Up to so many chosen ids, over all languages, are broadcast.
 BROADCAST_IDS = 1_000_000
 BUCKETS = 1 << 16
@@ -119,6 +123,28 @@ class Crf:
         xi /= xi.sum(axis=(1, 2), keepdims=True)
         return p, xi.sum(axis=0)
 
+    def gradient(self, words: list[str], hit: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log likelihood of the labels ``y`` of sequences in a row, given the lexicon's languages ``hit``."""
+        k, n = len(self.langs), len(lengths)
+        number, first = word_features(words)
+        size = np.diff(np.append(first, len(number)))
+        e = np.add.reduceat(self.weights[number], first, axis=0) / size[:, None] + self.known[hit]
+        p, xi = self._forward_backward(e, lengths, pairs=True)
+        gold = np.zeros_like(p)
+        gold[np.arange(len(y)), y] = 1
+        diff = (gold - p) / n
+        heads = np.cumsum(lengths) - lengths
+        inside = np.ones(len(y), dtype=bool)
+        inside[heads] = False
+        seen = np.zeros((k, k))
+        np.add.at(seen, (y[np.flatnonzero(inside) - 1], y[inside]), 1)
+        spread = np.repeat(diff / size[:, None], size, axis=0)
+        g = {"weights": np.zeros_like(self.weights), "known": np.zeros_like(self.known), "moves": (seen - xi) / n, "start": (gold[heads] - p[heads]).sum(axis=0) / n}
+        for c in range(k):
+            g["weights"][:, c] = np.bincount(number, weights=spread[:, c], minlength=BUCKETS)
+        np.add.at(g["known"], hit, diff)
+        return g
+
     def fit(self, sequences: list[list[tuple[str, int]]], rounds: int = 6, batch: int = 40, rate: float = 0.15, l2: float = 1e-5) -> None:
         """Adam on the likelihood of labelled sequences."""
         rng = np.random.default_rng(7)
@@ -133,28 +159,10 @@ class Crf:
                 words = [w for s in part for w, _ in s]
                 y = np.array([c for s in part for _, c in s])
                 lengths = np.array([len(s) for s in part])
-                number, first = word_features(words)
-                size = np.diff(np.append(first, len(number)))
                 hit = np.array([self.lexicon.get(w, k) for w in words])
                 # a lexicon that knows every training word would be trusted too much: half of it is hidden
                 hit = np.where(rng.random(len(hit)) < 0.5, k, hit)
-                e = np.add.reduceat(self.weights[number], first, axis=0) / size[:, None] + self.known[hit]
-                p, xi = self._forward_backward(e, lengths, pairs=True)
-                gold = np.zeros_like(p)
-                gold[np.arange(len(y)), y] = 1
-                diff = (gold - p) / len(part)
-                heads = np.cumsum(lengths) - lengths
-                inside = np.ones(len(y), dtype=bool)
-                inside[heads] = False
-                seen = np.zeros((k, k))
-                np.add.at(seen, (y[np.flatnonzero(inside) - 1], y[inside]), 1)
-                spread = np.repeat(diff / size[:, None], size, axis=0)
-                g = {c: np.zeros_like(getattr(self, c)) for c in names}
-                for c in range(k):
-                    g["weights"][:, c] = np.bincount(number, weights=spread[:, c], minlength=BUCKETS)
-                np.add.at(g["known"], hit, diff)
-                g["moves"] = (seen - xi) / len(part)
-                g["start"] = (gold[heads] - p[heads]).sum(axis=0) / len(part)
+                g = self.gradient(words, hit, y, lengths)
                 step += 1
                 for c in names:
                     m, v = state[c]
@@ -197,19 +205,36 @@ def switched(data: list[tuple[str, list[str]]], langs: list[str], number: int, r
     return out
 
 
-def train(data: list[tuple[str, list[str]]], sequences: int = 800, seed: int = 3) -> Crf | None:
-    """A CRF fitted on code-switched sequences made of labelled documents; None without any."""
+def corpus_lexicon(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = LEXICON_WORDS) -> dict[str, str]:
+    """The language of each word that is seen three times or more and at least nine times in ten in one language.
+
+    Words are counted over all labelled documents; the ``most`` commonest of those are kept. Counts are added up within
+    tasks before they are shuffled.
+    """
+    rows = docs.select(F.lower(F.col(text)).alias("t"), F.col(lang).cast("string").alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
+    words = rows.select("l", F.explode(F.split("t", r"[^\p{L}\p{N}_]+")).alias("w")).where("w <> ''")
+    by = words.groupBy("w", "l").agg(F.count("*").alias("n")).groupBy("w").agg(F.sum("n").alias("n"), F.max(F.struct("n", "l")).alias("top"))
+    found = by.where("n >= 3 AND top.n >= 0.9 * n").orderBy(F.desc("n"), "w").limit(most).select("w", "top.l").collect()
+    return {r["w"]: r["l"] for r in found}
+
+
+def train(data: list[tuple[str, list[str]]], sequences: int = SEQUENCES, seed: int = 3, lexicon: dict[str, str] | None = None) -> Crf | None:
+    """A CRF fitted on code-switched sequences made of labelled documents; None without any. Without ``lexicon``, that of the same documents is used."""
     langs = sorted({c for c, _ in data})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    counts: dict[str, list[int]] = {}
-    for c, words in data:
-        for w in words:
-            counts.setdefault(w, [0] * len(langs))[langs.index(c)] += 1
-    # a word belongs to a lexicon if it is seen often enough and mostly in one language
-    lexicon = {w: int(np.argmax(n)) for w, n in counts.items() if sum(n) >= 3 and max(n) >= 0.9 * sum(n)}
-    model = Crf(langs, lexicon)
+    if lexicon is None:
+        counts: dict[str, list[int]] = {}
+        for c, words in data:
+            for w in words:
+                counts.setdefault(w, [0] * len(langs))[langs.index(c)] += 1
+        # a word belongs to a lexicon if it is seen often enough and mostly in one language
+        known = {w: int(np.argmax(n)) for w, n in counts.items() if sum(n) >= 3 and max(n) >= 0.9 * sum(n)}
+    else:
+        number = {c: k for k, c in enumerate(langs)}
+        known = {w: number[c] for w, c in lexicon.items() if c in number}
+    model = Crf(langs, known)
     model.fit(switched(data, langs, sequences, rng))
     return model
 
@@ -228,21 +253,25 @@ def label_texts(model: Crf, texts: list[str]) -> list[np.ndarray]:
     return np.split(best, np.cumsum(lengths)[:-1])
 
 
-def label_languages(docs: DataFrame, model: Crf | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def label_languages(
+    docs: DataFrame, model: Crf | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = DOCS_PER_LANG, per_doc: int = WORDS_PER_DOC, sequences: int = SEQUENCES, lexicon_words: int = LEXICON_WORDS
+) -> DataFrame:
     """Label each word's language: (doc_id, n_words, main_lang, main_share, n_switches, spans).
 
     A linear-chain CRF with character n-gram, affix, whole-word and lexicon features and learned
     transitions gives every word of every document the language of highest marginal probability, by
     forward-backward over the whole text. ``spans`` holds (first word, words, language) of each run of one
-    language. Without ``model``, one is fitted on code-switched sequences made of at most
-    ``DOCS_PER_LANG`` documents of each value of the language column.
+    language. Without ``model``, one is fitted on ``sequences`` code-switched sequences of some 60 words, made of at most
+    ``per_lang`` documents of each value of the language column and of a run of at most ``per_doc`` words of each.
+    Its lexicon has the ``lexicon_words`` commonest words that are mostly of one language, counted over all documents that have a language.
 
     Words are runs of letters, digits and underscores in lower case. Null, empty or wordless text: 0 words,
     null main language and share, no spans. Ties of main language go to the first by name. Null ids and
     repeated rows are labelled each. No labelled document to learn from: words are counted, and languages
     null. Empty table: empty result. Other columns are ignored.
     """
-    model = model or train(training_words(docs, text, doc_id, lang))
+    if model is None and (data := training_words(docs, text, doc_id, lang, per_lang, per_doc)):
+        model = train(data, sequences, lexicon=corpus_lexicon(docs, text, lang, lexicon_words))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("main_lang", pa.string()), ("main_share", pa.float64()), ("n_switches", pa.int64()), ("spans", pa.list_(span))])

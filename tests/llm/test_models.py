@@ -40,6 +40,79 @@ def test_gradient_of_the_likelihood():
     assert np.mean(got == np.concatenate([[c for _, c in s] for s in seqs])) > 0.95
 
 
+def test_gradient_by_differences():
+    """The gradient of the likelihood, which is summed over all paths, against small steps of single parameters."""
+    rng = np.random.default_rng(4)
+    m = L.Crf(["a", "b", "c"], {})
+    m.moves, m.start, m.known = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=(4, 3))
+    m.weights = rng.normal(size=m.weights.shape)
+    words, lengths = ["uno", "dos", "due", "tre", "x1", "dos"], np.array([4, 2])
+    hit, y = np.array([0, 3, 1, 2, 3, 0]), np.array([0, 0, 2, 1, 2, 2])
+
+    def likelihood():
+        number, first = L.word_features(words)
+        size = np.diff(np.append(first, len(number)))
+        e = np.add.reduceat(m.weights[number], first, axis=0) / size[:, None] + m.known[hit]
+        total, at = 0.0, 0
+        for n in lengths:
+            score = lambda p: m.start[p[0]] + sum(e[at + k, c] for k, c in enumerate(p)) + sum(m.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += score(tuple(y[at : at + n])) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=int(n))))
+            at += n
+        return total / len(lengths)
+
+    g = m.gradient(words, hit, y, lengths)
+    hot = int(L.word_features(["dos"])[0][0])
+    for name, at in [("moves", (0, 2)), ("moves", (2, 2)), ("start", (1,)), ("known", (3, 2)), ("known", (0, 1)), ("weights", (hot, 0)), ("weights", (hot, 2))]:
+        values, h = getattr(m, name), 1e-5
+        values[at] += h
+        up = likelihood()
+        values[at] -= 2 * h
+        slope = (up - likelihood()) / (2 * h)
+        values[at] += h
+        assert abs(slope - g[name][at]) < 1e-6, (name, at)
+
+
+def brute_labels(model, text):
+    """Each word's likeliest language by sums over the words before and behind it, one word after the other."""
+    words = L.WORD.findall((text or "").lower())
+    if not words:
+        return []
+    e, k = model.emissions(words), len(model.langs)
+    before, behind = [], [np.zeros(k)]
+    for n, x in enumerate(e):
+        from_last = model.start if not n else np.array([np.logaddexp.reduce(before[-1] + model.moves[:, c]) for c in range(k)])
+        before.append(from_last + x)
+    for x in e[:0:-1]:
+        behind.append(np.array([np.logaddexp.reduce(model.moves[c] + x + behind[-1]) for c in range(k)]))
+    return [model.langs[int(np.argmax(a + b))] for a, b in zip(before, behind[::-1])]
+
+
+def test_labels_against_plain_sums(spark):
+    rng = np.random.default_rng(8)
+    pools = {c: [f"{c}{a}{b}" for a in "aeo" for b in ("na", "lu", "r", "st")] for c in ("b", "k", "z")}
+    model = L.train([(c, [str(w) for w in rng.choice(p, 60)]) for c, p in pools.items() for _ in range(4)], sequences=80)
+    rows = [(k, " ".join(str(rng.choice([*pools["bkz"[int(rng.integers(3))]], "xx", "12"])) for _ in range(int(rng.integers(0, 40))))) for k in range(80)] + [(80, None), (81, "...")]
+    got = {r["doc_id"]: r for r in L.label_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for d, t in rows:
+        want, r = brute_labels(model, t), got[d]
+        spans, at = [], 0
+        for c, run in itertools.groupby(want):
+            n = len(list(run))
+            spans.append((at, n, c))
+            at += n
+        tally = sorted(((-want.count(c), c) for c in set(want)))
+        assert [tuple(s) for s in r["spans"]] == spans and r["n_words"] == len(want) and r["n_switches"] == max(len(spans) - 1, 0)
+        assert (r["main_lang"], r["main_share"]) == ((tally[0][1], round(-tally[0][0] / len(want), 6)) if want else (None, None))
+
+
+def test_lexicon_counts_all_documents(spark):
+    rows = [(k, "Uno dos both" if k % 2 else "one both", "es" if k % 2 else "en") for k in range(40)] + [(50, "few few", "en"), (51, "dos", None), (52, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.corpus_lexicon(df) == {"uno": "es", "dos": "es", "one": "en"} and len(L.corpus_lexicon(df, most=2)) == 2 and L.corpus_lexicon(df.limit(0)) == {}
+    few = L.label_languages(df, per_lang=1, per_doc=2, sequences=20).where("doc_id = 1").first()
+    assert few["n_words"] == 3
+
+
 def test_language_labels_held_out(spark):
     docs = table(spark, SF, "documents")
     data = L.training_words(docs)
