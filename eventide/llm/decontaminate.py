@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -19,8 +21,10 @@ from eventide.llm.common import WORD, pieces
 K1, B = 1.2, 0.75
 #: Items in one block of the index, and the most blocks; beyond that blocks get larger.
 BLOCK, MOST_BLOCKS = 2, 128
-#: Items that one broadcast index may hold; more are searched in several passes.
-INDEX_ITEMS = 20_000
+#: Items, and words of them, that one broadcast may hold; more are searched in several passes. A word takes some 30 bytes.
+INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
+#: Items of up to so many words are searched in passages of one length, those of up to WIDER times as many in longer ones, and so on.
+SHORT, WIDER = 64, 4
 _SPLIT = re.compile(r"(?s)^(.*[.?!])\s+(\S.*)$")
 
 
@@ -38,37 +42,85 @@ def bigrams(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(words, words[1:])) if len(words) != 1 else {(words[0],)}
 
 
+class Statistics:
+    """Of all items of a benchmark: how many have each word, and their mean length."""
+
+    def __init__(self, words: list[list[str]]) -> None:
+        self.n, self.mean = len(words), sum(map(len, words)) / max(len(words), 1)
+        self.df = Counter(chain.from_iterable(map(set, words)))
+
+    def idf(self, word: str) -> float:
+        return math.log(1 + (self.n - self.df[word] + 0.5) / (self.df[word] + 0.5))
+
+
+class Lists:
+    """Lists of numbers, one behind the other in one array."""
+
+    def __init__(self, lists: list[list], kind: str) -> None:
+        self.begin = array("q", [0])
+        self.flat = array(kind)
+        for x in lists:
+            self.flat.extend(x)
+            self.begin.append(len(self.flat))
+
+    def __getitem__(self, k: int) -> array:
+        return self.flat[self.begin[k] : self.begin[k + 1]]
+
+
 class Index:
-    """Posting lists of the items with impacts as shares of each item's score for itself."""
+    """Posting lists of the items with impacts as shares of each item's score for itself, and each term's bounds in those blocks where it occurs."""
 
-    def __init__(self, items: list[tuple[int | None, str]], part: slice = slice(None)) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None, window: int = 0) -> None:
         words = [WORD.findall(t.lower()) for _, t in items]
-        df = Counter(chain.from_iterable(map(set, words)))
-        mean = sum(map(len, words)) / max(len(words), 1)
-        idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        self.window = max(map(len, words), default=1)
-        self.ids = [i for i, _ in items[part]]
-        self.sides = [[bigrams(WORD.findall(x.lower())) for x in question_answer(t)] for _, t in items[part]]
+        statistics = statistics or Statistics(words)
+        self.window = window or max(map(len, words), default=1)
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for k, own in enumerate(words[part]):
-            impact = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean)) for w, n in Counter(own).items()}
+        for k, own in enumerate(words):
+            impact = {w: statistics.idf(w) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / statistics.mean)) for w, n in Counter(own).items()}
             total = math.fsum(impact.values())
             for w, x in impact.items():
                 lists[w].append((k, x / total))
         self.block = max(BLOCK, -(-len(self.ids) // MOST_BLOCKS))
+        self.n_blocks = max(1, -(-len(self.ids) // self.block))
         self.vocabulary = {w: k for k, w in enumerate(lists)}
-        self.items = [[i for i, _ in p] for p in lists.values()]
-        self.impacts = [[x for _, x in p] for p in lists.values()]
-        self.bounds = np.zeros((len(lists), -(-len(self.ids) // self.block)))
-        for w, p in enumerate(lists.values()):
+        self.items, self.impacts = Lists([[i for i, _ in p] for p in lists.values()], "i"), Lists([[x for _, x in p] for p in lists.values()], "d")
+        bounds: list[dict[int, float]] = []
+        for p in lists.values():
+            own_bounds: dict[int, float] = {}
             for i, x in p:
-                self.bounds[w, i // self.block] = max(self.bounds[w, i // self.block], x)
-        self.most = self.bounds.max(axis=1, initial=0.0).tolist()
-        self.block_most = self.bounds.tolist()
+                own_bounds[i // self.block] = max(own_bounds.get(i // self.block, 0.0), x)
+            bounds.append(own_bounds)
+        self.blocks, self.bounds = Lists([list(x) for x in bounds], "i"), Lists([list(x.values()) for x in bounds], "d")
+        self.most = array("d", [max(x.values()) for x in bounds])
+
+    def bound(self, term: int, block: int) -> float:
+        """The most that a term adds to an item of a block."""
+        lo, hi = self.blocks.begin[term], self.blocks.begin[term + 1]
+        k = bisect_left(self.blocks.flat, block, lo, hi)
+        return self.bounds.flat[k] if k < hi and self.blocks.flat[k] == block else 0.0
+
+    @functools.cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the terms' blocks begin, the blocks, and the bounds."""
+        return np.frombuffer(self.blocks.begin, dtype=np.int64), np.frombuffer(self.blocks.flat, dtype=np.int32), np.frombuffer(self.bounds.flat, dtype=np.float64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("arrays", "known")}
+
+    def sides(self, item: int) -> list[set[tuple[str, ...]]]:
+        """The word pairs of an item's question and answer, made when an item is first found."""
+        known = self.__dict__.setdefault("known", {})
+        if item not in known:
+            if len(known) >= 4096:
+                known.clear()
+            known[item] = [bigrams(WORD.findall(x.lower())) for x in question_answer(self.texts[item])]
+        return known[item]
 
     def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All items that score ``least`` or more for the distinct ``terms``, by block-max WAND."""
-        at = [(self.items[w][0], 0, w) for w in terms]
+        items, begin = self.items.flat, self.items.begin
+        at = [(items[begin[w]], begin[w], w) for w in terms]
         found, block = [], self.block
         while at:
             at.sort()
@@ -83,14 +135,14 @@ class Index:
             while k + 1 < len(at) and at[k + 1][0] == pivot:
                 k += 1
             b = pivot // block
-            if sum([self.block_most[w][b] for _, _, w in at[: k + 1]]) < least:
+            if sum([self.bound(w, b) for _, _, w in at[: k + 1]]) < least:
                 # nothing in this block can do: go past it, or to the next list that would add to it
                 target = (b + 1) * block
                 if k + 1 < len(at):
                     target = max(min(target, at[k + 1][0]), pivot + 1)
                 upto = k + 1
             elif at[0][0] == pivot:
-                score = math.fsum(self.impacts[w][j] for item, j, w in at[: k + 1])
+                score = math.fsum(self.impacts.flat[j] for _, j, _ in at[: k + 1])
                 if score >= least:
                     found.append((pivot, score))
                 target, upto = pivot + 1, k + 1
@@ -99,37 +151,44 @@ class Index:
             moved = []
             for n, (item, j, w) in enumerate(at):
                 if n < upto and item < target:
-                    own = self.items[w]
-                    j = bisect_left(own, target, j)
-                    if j == len(own):
+                    j = bisect_left(items, target, j, begin[w + 1])
+                    if j == begin[w + 1]:
                         continue
-                    item = own[j]
+                    item = items[j]
                 moved.append((item, j, w))
             at = moved
         return found
 
-    def search(self, texts: list[str], least: float, question: float, answer: float) -> list[dict[int, tuple[int, float, float, float]]]:
-        """For each text its verified items: {item: (passages, best score, question and answer overlap)}."""
-        words = [WORD.findall(t.lower()) for t in texts]
+    def search(self, words: list[list[str]], least: float, question: float, answer: float) -> list[dict[int, tuple[int, float, float, float]]]:
+        """For the words of each text its verified items: {item: (passages, best score, question and answer overlap)}."""
         n, s = [len(w) for w in words], self.window
-        out: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
+        out: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in words]
         if not self.ids or not sum(n):
             return out
         flat = np.fromiter(map(self.vocabulary.get, chain.from_iterable(words), repeat(-1)), dtype=np.int64, count=sum(n))
         halves = [-(-m // s) for m in n]
         first = np.concatenate([[0], np.cumsum(halves)])
         begin = np.concatenate([[0], np.cumsum(n)])
-        text_of = np.repeat(np.arange(len(texts)), n)
+        text_of = np.repeat(np.arange(len(words)), n)
         half = first[text_of] + (np.arange(len(flat)) - begin[text_of]) // s
         on = flat >= 0
         size = len(self.vocabulary)
         pairs = np.unique(half[on] * size + flat[on])
         half, term = pairs // size, pairs % size
-        sums = np.zeros((first[-1] + 1, self.bounds.shape[1]))
         if not len(half):
             return out
-        starts = np.flatnonzero(np.diff(half, prepend=-1))
-        sums[half[starts]] = np.add.reduceat(self.bounds[term], starts, axis=0)
+        begins, blocks, bounds = self.arrays
+        sums = np.zeros((first[-1] + 1, self.n_blocks))
+        many = begins[term + 1] - begins[term]
+        total = np.concatenate([[0], np.cumsum(many)])
+        at = 0
+        while at < len(term):  # some millions of bounds at a time
+            to = max(at + 1, int(np.searchsorted(total, total[at] + 4_000_000, side="right")) - 1)
+            k = np.repeat(begins[term[at:to]] - total[at:to], many[at:to]) + np.arange(total[at], total[to])
+            cell = np.repeat((half[at:to] - half[at]) * self.n_blocks, many[at:to]) + blocks[k]
+            rows = int(half[to - 1] - half[at]) + 1
+            sums[half[at] : half[at] + rows] += np.bincount(cell, weights=bounds[k], minlength=rows * self.n_blocks).reshape(rows, -1)
+            at = to
         # a passage is two neighbouring halves; the bound counts a term of both twice
         hopeful = np.flatnonzero((sums[:-1] + sums[1:]).max(axis=1) >= least - 1e-9)
         owner = np.searchsorted(first, hopeful, side="right") - 1
@@ -143,18 +202,39 @@ class Index:
             if hits:
                 have = bigrams(own) | {(w,) for w in own}
                 for item, score in hits:
-                    q, r = (len(x & have) / max(len(x), 1) for x in self.sides[item])
+                    q, r = (len(x & have) / max(len(x), 1) for x in self.sides(item))
                     if q >= question - 1e-12 and r >= answer - 1e-12:
                         m, best, q0, r0 = out[d].get(item, (0, 0.0, 0.0, 0.0))
                         out[d][item] = (m + 1, max(best, score), max(q, q0), max(r, r0))
         return out
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = INDEX_ITEMS) -> list[Index]:
-    """Indexes of the items that have words; a benchmark is collected, its statistics cover all of it."""
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = INDEX_ITEMS, most_words: int = INDEX_WORDS) -> list[list[Index]]:
+    """Indexes of the items that have words, by classes of length, in groups that are broadcast together; a benchmark is collected, its statistics cover all of it."""
     rows = benchmark.select(F.col(item_id).cast("long"), F.col(text)).where(F.col(text).isNotNull()).collect()
     items = sorted(((i, t) for i, t in rows if WORD.search(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    return [Index(items, slice(k, k + most)) for k in range(0, len(items), most)]
+    lengths = [len(WORD.findall(t.lower())) for _, t in items]
+    statistics = Statistics([WORD.findall(t.lower()) for _, t in items])
+    classes: dict[int, list[int]] = defaultdict(list)
+    for k, n in enumerate(lengths):
+        c = 0
+        while n > SHORT * WIDER**c:
+            c += 1
+        classes[c].append(k)
+    groups: list[list[tuple[list[int], int]]] = []
+    room = room_words = 0
+    for c in sorted(classes):
+        part: list[int] = []
+        window = max(lengths[k] for k in classes[c])
+        for k in classes[c]:
+            if not groups or room < 1 or room_words < lengths[k] and room < most:
+                groups.append([])
+                room, room_words, part = most, most_words, []
+            if not part:
+                groups[-1].append((part, window))
+            part.append(k)
+            room, room_words = room - 1, room_words - lengths[k]
+    return [[Index([items[k] for k in part], statistics, window) for part, window in group] for group in groups]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, question: float = 0.5, answer: float = 0.5, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
@@ -162,14 +242,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
 
     Test items form an inverted index with block maxima. Every passage of every document queries it: with
     m the words of the longest item, passages have 2 m words and start every m, so that each run of m
-    words lies in one. All items with a BM25 score of at least ``least`` times what the item scores for
+    words lies in one. Items of up to 64 words, of up to 256 and so on, four times as many each, have passages of their
+    own, so that a long item doesn't make passages long for short ones. All items with a BM25 score of at least ``least`` times what the item scores for
     itself are retrieved by WAND with block maxima, and verified: the passage must have ``question`` of the
     distinct word pairs of the item's question and ``answer`` of those of its answer. The block bounds are
     tested for all passages of a batch at once; only passages that pass one go through the lists.
 
     Words are runs of letters, digits and underscores in lower case. The answer is the item's last
     sentence that has words, the question all before; a lone one is both. The index is broadcast, ``index_items``
-    items at a time; documents aren't shuffled.
+    items and ``INDEX_WORDS`` words of them at a time, in lists as long as the items; documents aren't shuffled.
 
     Null or wordless text, of documents or items: no result. Null ids are kept. Repeated rows are reported
     each, and so are items of one text. Empty tables: empty result. Other columns are ignored.
@@ -180,15 +261,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     ddl = "doc_id long, item_id long, n_passages long, bm25 double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], ddl)
-    for k, index in enumerate(indexes(benchmark, item_id, item_text, index_items)):
-        shared = spark.sparkContext.broadcast(index)
+    for k, group in enumerate(indexes(benchmark, item_id, item_text, index_items)):
+        shared = spark.sparkContext.broadcast(group)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 ids = batch.column("d").to_pylist()
                 for start, part in pieces(batch, "t"):
-                    found = [(ids[start + i], index.ids[j], m, round(b, 6), round(q, 6), round(r, 6)) for i, hits in enumerate(index.search(part, least, question, answer)) for j, (m, b, q, r) in hits.items()]
+                    words = [WORD.findall(t.lower()) for t in part]
+                    found = [
+                        (ids[start + i], index.ids[j], m, round(b, 6), round(q, 6), round(r, 6))
+                        for index in shared.value for i, hits in enumerate(index.search(words, least, question, answer)) for j, (m, b, q, r) in hits.items()
+                    ]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), types)], names=names)
 
@@ -200,15 +284,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.5
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, question: float = 0.5, answer: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
     """The rows of ``docs`` in which ``find_contamination`` finds no item; all columns stay, nothing is shuffled.
 
-    Rows are judged one by one, so null and repeated ids don't matter; rows without words stay.
+    Rows are judged one by one, so null and repeated ids don't matter; rows without words stay. Empty tables: nothing to
+    judge, or nothing goes. Extra columns pass through, whatever their names.
     """
-    for index in indexes(benchmark, item_id, item_text, index_items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in indexes(benchmark, item_id, item_text, index_items):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
         at = [c.lower() for c in docs.columns].index(text.lower())
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = [bool(h) for _, part in pieces(batch, at) for h in shared.value.search(part, least, question, answer)]
+                hits: list[bool] = []
+                for _, part in pieces(batch, at):
+                    words = [WORD.findall(t.lower()) for t in part]
+                    each = [index.search(words, least, question, answer) for index in shared.value]
+                    hits += [any(h) for h in zip(*each)]
                 yield batch.filter(pa.array([not h for h in hits], type=pa.bool_())) if any(hits) else batch
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -67,6 +67,48 @@ def test_contamination_brute_force(spark, seed, most):
     assert sorted(map(tuple, left.collect())) == sorted(d for d in docs if d[0] not in {r["doc_id"] for r in got})
 
 
+def test_classes_of_length(spark, monkeypatch):
+    """Each class of items is searched as if by itself, with the statistics of all."""
+    monkeypatch.setattr(D, "SHORT", 8)
+    rng = random.Random(6)
+    pool = [f"w{k}" for k in range(80)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(k, f"{text(rng.randint(2, 5))}. {text(rng.randint(1, 2))}") for k in range(12)] + [(20 + k, f"{text(rng.randint(9, 20))}? {text(4)}") for k in range(9)] + [(40, text(90))]
+    docs = []
+    for k in range(60):
+        w = rng.choice(items)[1].split()
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "changed"
+        docs.append((k, " ".join([text(rng.randint(0, 60)), *w, text(rng.randint(0, 40))])))
+    groups = D.indexes(spark.createDataFrame(items, ITEMS), most=10)
+    assert [[len(i.ids) for i in g] for g in groups] == [[10], [2, 8], [1, 1]] and len({i.window for g in groups for i in g}) == 3
+    got = D.find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), index_items=100)
+    want = []
+    for low, high in ((1, 8), (9, 32), (33, 128)):
+        own = [x for x in items if low <= len(split(x[1])) <= high]
+        index = D.Index(own, D.Statistics([split(t) for _, t in items]))
+        for d, t in docs:
+            want += [(d, index.ids[j], m, round(b, 6), round(q, 6), round(r, 6)) for j, (m, b, q, r) in index.search([split(t)], 0.5, 0.5, 0.5)[0].items()]
+            ws, m = split(t), index.window
+            for k, (i, x) in enumerate(own):
+                best = max(sum(index.impacts.flat[index.items.begin[w] + list(index.items[w]).index(k)] for w in {index.vocabulary[y] for y in set(split(x)) & set(ws[s : s + 2 * m])}) for s in range(0, max(len(ws) - m, 1), m))
+                assert best >= 0.5 - 1e-9 or (d, i) not in {r[:2] for r in want}
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    left = D.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {r[0] for r in want}
+
+
+def test_an_index_is_as_large_as_its_items():
+    import pickle
+    import random as r
+
+    r.seed(1)
+    items = [(k, " ".join(f"v{min(r.randrange(60_000), r.randrange(60_000))}" for _ in range(60))) for k in range(20_000)]
+    index = D.Index(items)
+    assert len(pickle.dumps(index)) < 60_000_000
+    assert [index.ids[j] for j in index.search([split(items[77][1])], 0.9, 0.5, 0.5)[0]] == [77]
+
+
 def test_sentences_without_words(spark):
     """Found as the SQL doesn't: there, a side without words is met by nothing."""
     items = ["Which one of the two is it? Paris is. ***", "?! Paris lies on the river Seine", "*** ... !", "One lone sentence of words. - ?"]
