@@ -3,6 +3,10 @@
 Stages run in order over all that the one before kept: the quality classifier drops documents that it
 rejects, line dedup takes each site's boilerplate lines out, of each group of near duplicates one document
 stays, documents that hold a benchmark item go, and what is left is packed into sequences.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and extra
+columns of any name, and does with them what its operator's docstring says: documents without words are rejected by the
+classifier, null ids are kept, and rows that repeat an id with one text leave one row in the third stage.
 """
 
 from __future__ import annotations
@@ -57,10 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table; each result but the last is written to the shared folder and read again."""
+    """Apply all stages to the documents table; each result is written to the shared folder and read again.
+
+    A stage's folder goes when the next one's is written, so that the packed rows alone stay.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
+    for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            old = path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return docs
