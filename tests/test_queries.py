@@ -30,3 +30,19 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_entry_with_what_a_deleted_subpackage_leaves(tmp_path):
+    """Compiled files keep a folder alive, which Python then takes for a package."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "eventide", tmp_path / "eventide", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "eventide" / "llm" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "eventide" / "llm" / "__pycache__" / "queries.cpython-313.pyc").write_bytes(b"x")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(q.startswith('op') for q in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
