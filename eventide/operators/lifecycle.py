@@ -38,21 +38,24 @@ def live(events: DataFrame) -> DataFrame:
     return events.where(~F.col("deleted") & ~F.col("replaced"))
 
 
+def _versions(events: DataFrame) -> DataFrame:
+    """Replaceable events with their place ``newest`` among those of their author, kind and (where parameterised) d tag; the smaller id wins a tie."""
+    d = F.when(is_parameterized_replaceable(F.col("kind")), scalar.replacement_d(F.col("tags"))).otherwise("")
+    w = Window.partitionBy("pubkey", "kind", "replacement_d").orderBy(*newest_first())
+    return events.where(is_replaceable(F.col("kind"))).withColumn("replacement_d", d).withColumn("newest", F.row_number().over(w))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """Replaceable events cut down to the newest per author, kind and (where parameterised) d tag; others stay.
 
-    The smaller id wins a tie. Only replaceable rows are shuffled.
+    Only replaceable rows are shuffled.
     """
-    mine = is_replaceable(F.col("kind"))
-    d = F.when(is_parameterized_replaceable(F.col("kind")), scalar.replacement_d(F.col("tags"))).otherwise("")
-    w = Window.partitionBy("pubkey", "kind", "replacement_d").orderBy(*newest_first())
-    newest = events.where(mine).withColumn("replacement_d", d).withColumn("newest", F.row_number().over(w)).where("newest = 1")
-    return events.where(~mine).unionByName(newest.select(*events.columns))
+    return events.where(~is_replaceable(F.col("kind"))).unionByName(_versions(events).where("newest = 1").select(*events.columns))
 
 
 def replaced_ids(events: DataFrame) -> DataFrame:
     """Ids that ``latest`` leaves out."""
-    return events.select("id").join(latest(events).select("id"), "id", "left_anti")
+    return _versions(events).where("newest > 1").select("id")
 
 
 def replace(events: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterable, Sequence
+import json
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from eventide.errors import EventideError
 from eventide.functions import scalar
 from eventide.operators import retrieve
+from eventide.plans import compile as plan
 from eventide.plans.filter import EventFilter
 
 
@@ -102,6 +107,17 @@ def scatter_gather(shards: Sequence[DataFrame], f: EventFilter, **options) -> Da
     return out if f.limit is None else out.limit(f.limit)
 
 
+def gather(sharded: DataFrame, f: EventFilter, **options) -> DataFrame:
+    """``scatter_gather`` over a table with the column shard, by one scan: the newest of each shard, ids once, one limit over all."""
+    f = f.validate().normalize()
+    found = retrieve.matching(sharded, f, **options)
+    if f.limit is not None:
+        rank = F.row_number().over(Window.partitionBy("shard").orderBy(*retrieve.newest_first()))
+        found = found.withColumn("rank_in_shard", rank).where(F.col("rank_in_shard") <= f.limit).drop("rank_in_shard")
+    out = found.dropDuplicates(["id"]).orderBy(*retrieve.newest_first())
+    return out if f.limit is None else out.limit(f.limit)
+
+
 def union_all(shards: Sequence[DataFrame]) -> DataFrame:
     out = shards[0]
     for s in shards[1:]:
@@ -132,19 +148,105 @@ def migrating_query(old: DataFrame, new: DataFrame, f: EventFilter, **options) -
     return scatter_gather([old, new], f, **options)
 
 
+class MoveStopped(EventideError):
+    """A rebalancing was stopped; the old ring is in use."""
+
+
 class ShardedTable:
-    """Events on disk by shard: a folder partitioned by the shard of the author."""
+    """Events on disk by shard: a folder partitioned by the shard of the author.
+
+    The ring in use lies in ``_ring`` as numbered files, tombstones in ``_deleted``. While events move, those that lie on a shard that isn't
+    theirs by the ring in use don't count, so that changing over is writing one file. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str, ring: Ring, key: Column | None = None) -> None:
-        self.spark, self.path, self.ring, self.key = spark, path.rstrip("/"), ring, key
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jvm_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.ring, self._mixed = ring, False
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Take over the ring that is in use on disk."""
+        stored = self._stored_ring()
+        if stored:
+            self.ring, self._mixed = Ring(stored["shards"], stored["virtual_nodes"]), stored["mixed"]
+
+    def _names(self, part: str) -> list[str]:
+        folder = self._jvm_path(f"{self.path}/{part}")
+        return [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+
+    def _stored_ring(self) -> dict[str, Any] | None:
+        number = max([int(n) for n in self._names("_ring") if n.isdigit()], default=None)
+        if number is None:
+            return None
+        stream = self._fs.open(self._jvm_path(f"{self.path}/_ring/{number}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _use(self, ring: Ring, mixed: bool) -> None:
+        self._fs.mkdirs(self._jvm_path(f"{self.path}/_ring"))
+        number = max([int(n) for n in self._names("_ring") if n.isdigit()], default=0) + 1
+        draft = self._jvm_path(f"{self.path}/_ring/_{number}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({"shards": list(ring.shards), "virtual_nodes": ring.virtual_nodes, "mixed": mixed}).encode()))
+        out.close()
+        if not self._fs.rename(draft, self._jvm_path(f"{self.path}/_ring/{number}")):
+            raise EventideError(f"{self.path}: another writer committed ring {number}")
+        self.ring, self._mixed = ring, mixed
+
+    def _key(self) -> Column:
+        return author_key(F.col("pubkey")) if self.key is None else self.key
 
     @property
-    def events(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """All rows that lie there."""
         return self.spark.read.parquet(self.path)
 
+    @property
+    def events(self) -> DataFrame:
+        """Events on the shard that is theirs, without deleted ones."""
+        self._refresh()
+        out = self.stored
+        if self._mixed:
+            out = out.where(F.col("shard") == self.ring.column(self._key()))
+        if self._names("_deleted"):
+            out = out.join(self.spark.read.parquet(f"{self.path}/_deleted"), "id", "left_anti").select(*out.columns)
+        return out
+
+    def shards(self) -> list[str]:
+        """The shards of the ring in use."""
+        return sorted(self.ring.shards)
+
     def append(self, events: DataFrame) -> None:
-        out = assign(events, self.ring, self.key)
-        out.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        """Add events, each id once, to their shards; ids that are there stay as they are, so that a job that died may run again."""
+        out = assign(events, self.ring, self.key).dropDuplicates(["id"])
+        if any(n.startswith("shard=") for n in self._names("")):
+            own = [c for c in self.stored.columns if c in out.columns]
+            out = out.select(*own).join(self.stored.select("id", "shard").join(out.select("id", "shard"), ["id", "shard"], "left_semi"), ["id", "shard"], "left_anti").select(*own)
+        # as many tasks and files as the data asks for, a shard in several where it is large
+        out.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+
+    def get(self, event: Any):
+        """The event of an id, wherever it lies; None if there is none."""
+        return retrieve.get(self.events, event).first()
+
+    def delete(self, ids: DataFrame) -> int:
+        """Delete events by the column id, on whichever shard they are; the number of them that were there."""
+        own = self.events.select("id").join(ids.select("id").distinct(), "id", "left_semi")
+        return self._delete(own)
+
+    def delete_by_author(self, author: Any) -> int:
+        """Delete an author's events, which lie on one shard."""
+        own = self.events.where(F.col("shard").isin(shards_for(self.ring, [author])) & (F.col("pubkey") == plan.literal(author, self.stored.schema["pubkey"].dataType)))
+        return self._delete(own.select("id"))
+
+    def _delete(self, ids: DataFrame) -> int:
+        before = self.spark.read.parquet(f"{self.path}/_deleted").count() if self._names("_deleted") else 0
+        ids.write.mode("append").parquet(f"{self.path}/_deleted")
+        return self.spark.read.parquet(f"{self.path}/_deleted").count() - before
 
     def query(self, f: EventFilter, **options) -> DataFrame:
         """Only the shards of the filter's authors are read."""
@@ -157,16 +259,66 @@ class ShardedTable:
     def distribution(self) -> DataFrame:
         return self.events.groupBy("shard").agg(F.count("*").alias("n"))
 
-    def rebalance(self, new: Ring, path: str, dry_run: bool = False) -> int:
-        """Write the events under another ring to another folder and use that; the number that change shards.
+    def add_shard(self, shard: str, **options) -> int:
+        """Take a shard into the ring and move what becomes its own."""
+        return self.rebalance(self.ring.with_shard(shard), **options)
+
+    def remove_shard(self, shard: str, **options) -> int:
+        """Take a shard out of the ring and move its events to the others."""
+        return self.rebalance(self.ring.without_shard(shard), **options)
 
-        A job that dies leaves the old folder in use; with ``dry_run`` only the number is found.
+    def rebalance(self, new: Ring, path: str | None = None, dry_run: bool = False, progress: Callable[[int, int], None] | None = None, stop: Callable[[], bool] | None = None) -> int:
+        """Change over to another ring; the number of events that change shards.
+
+        Only events that change shards are written, one old shard after the other, to their new ones; ids that a
+        run which died has put there already aren't written again. Then what lies on the new shards is compared with what should, and
+        only if nothing is missing the new ring comes into use. ``progress`` is told (shards done, all shards); where ``stop`` says so, the
+        rebalancing ends before the next shard and the old ring stays in use. ``clean`` removes what was left behind.
+
+        With ``path``, all events are written to that folder instead. With ``dry_run`` only the number is found.
         """
-        events = self.events
-        key = author_key(F.col("pubkey")) if self.key is None else self.key
-        n = events.where(new.column(key) != F.col("shard")).count()
-        if not dry_run:
+        events, key = self.events, self._key()
+        moving = events.where(new.column(key) != F.col("shard"))
+        n = moving.count()
+        if dry_run:
+            return n
+        if path is not None:
             out = new.lookup(events.drop("shard"), key)
-            out.repartition("shard").write.partitionBy("shard").parquet(path)
-            self.path, self.ring = path.rstrip("/"), new
+            out.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+            self.path = path.rstrip("/")
+            self._use(new, False)
+            return n
+        # from now on, readers leave out what isn't theirs by the old ring
+        self._use(self.ring, True)
+        shards = sorted({*self.ring.shards} | {s.removeprefix("shard=") for s in self._names("") if s.startswith("shard=")})
+        for k, shard in enumerate(shards):
+            if stop is not None and stop():
+                raise MoveStopped(f"{k} of {len(shards)} shards done")
+            own = new.lookup(moving.where(F.col("shard") == shard).drop("shard"), key)
+            there = self.stored.select("id", "shard").where(F.col("shard") != shard)
+            own = own.join(there, ["id", "shard"], "left_anti").select(*self.stored.columns)
+            own.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+            if progress is not None:
+                progress(k + 1, len(shards))
+        wanted = new.lookup(moving.select("id", "pubkey"), key).select("id", "shard")
+        missing = wanted.join(self.stored.select("id", "shard"), ["id", "shard"], "left_anti").count()
+        if missing:
+            raise EventideError(f"{missing} events are missing on their new shards; the old ring is in use")
+        self._use(new, True)
         return n
+
+    def clean(self) -> None:
+        """Write the shards that hold events of others or deleted ones anew, and let others be. Not while the table is read: for a moment, a shard's events are there twice."""
+        live = self.events
+        stale = self.stored.select("id", "shard").join(live.select("id", "shard"), ["id", "shard"], "left_anti")
+        for shard in [r["shard"] for r in stale.select("shard").distinct().collect()]:
+            draft = f"{self.path}/_clean/{uuid.uuid4().hex}"
+            live.where(F.col("shard") == shard).drop("shard").write.parquet(draft)
+            old = self._names(f"shard={shard}")
+            for name in self._names(f"_clean/{draft.rpartition('/')[2]}"):
+                if name.startswith("part-"):
+                    self._fs.rename(self._jvm_path(f"{draft}/{name}"), self._jvm_path(f"{self.path}/shard={shard}/{name}"))
+            for name in old:
+                self._fs.delete(self._jvm_path(f"{self.path}/shard={shard}/{name}"), True)
+        self._fs.delete(self._jvm_path(f"{self.path}/_clean"), True)
+        self._use(self.ring, False)

@@ -314,7 +314,7 @@ def q_shard_routed_query(spark, sf_dir):
 @register("q_shard_scatter_gather", _found(f"kind IN (1, 6) AND {_T}", 150))
 def q_shard_scatter_gather(spark, sf_dir):
     ev = shard.assign(activity_events(spark, sf_dir), RING)
-    return shard.scatter_gather([ev.where(F.col("shard") == s) for s in RING.shards], EventFilter(kinds=(1, 6), since=SINCE, until=UNTIL, limit=150)).select(*_COLUMNS)
+    return shard.gather(ev, EventFilter(kinds=(1, 6), since=SINCE, until=UNTIL, limit=150)).select(*_COLUMNS)
 
 
 @register("q_shard_duplicates", "SELECT id, 2::BIGINT AS shards FROM ev WHERE kind = 0")
@@ -435,8 +435,12 @@ register("q_flagship", _found(f"kind IN (1, 6) AND pubkey IN (8, 46, 7) AND {_T}
 
 
 def queries() -> dict[str, Query]:
+    from eventide.plans import stored_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from eventide.plans import stored_queries  # noqa: F401
+
     return dict(_SQL)

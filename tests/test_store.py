@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.errors import EventAlreadyExists, EventNotFound, ReadOnlyTable
+from eventide.errors import EventAlreadyExists, EventDeleted, EventNotFound, ReadOnlyTable, TableCorrupted
 from eventide.operators import lifecycle, stats
 from eventide.plans.filter import EventFilter
 from eventide.schema import EVENT_SCHEMA
@@ -72,6 +72,94 @@ def test_compaction_and_recovery(spark, table):
     assert table.compact("aggressive") == 1 and table.raw.isEmpty() and table.query_all(EventFilter(limit=5)) == []
 
 
+@pytest.mark.parametrize("step", ["_write_events", "_write_tags", "_commit"])
+def test_a_batch_that_dies_is_added_whole_when_run_again(spark, table, monkeypatch, step):
+    """However far it came, nothing of it is seen; run again, its events and tags are there at once."""
+    new = frame(spark, [row(40 + k, tags=[("t", "late")]) for k in range(3)] + [row(1)])
+    real = getattr(EventTable, step)
+
+    def die(self, *a):
+        if step != "_commit":
+            real(self, *a)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(EventTable, step, die)
+    with pytest.raises(RuntimeError):
+        table.append(new)
+    monkeypatch.undo()
+    late = EventFilter(tags={"t": ("late",)})
+    assert table.query_all(late) == [] and table.raw.count() == 5 and table.query(late, use_tags=False).count() == 0
+    table.append(new)
+    assert ids(table.query_all(late)) == [42, 41, 40] == ids(table.query(late, use_tags=False).collect()) and table.raw.count() == 8
+    assert any(x.startswith("removed events/batch=") for x in table.recover()) and table.recover() == []
+    assert table.raw.count() == 8 and table.validate()["healthy"]
+
+
+def test_a_stream_batch_that_dies_is_added_whole(spark, tmp_path, monkeypatch):
+    src, real, calls = tmp_path / "in", EventTable._write_tags, []
+    frame(spark, [row(k, tags=[("t", "x")]) for k in range(6)]).write.parquet(str(src))
+    t = EventTable(spark, f"file://{tmp_path}/s")
+    run = lambda: ingest.ingest(ingest.read_stream(spark, str(src), wire=False), t, f"{tmp_path}/ck").awaitTermination()
+
+    def die(self, *a):
+        calls.append(a)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(EventTable, "_write_tags", die)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(EventTable, "_write_tags", real)
+    run()
+    assert calls and t.count(EventFilter(tags={"t": ("x",)})) == 6 == t.raw.count()
+
+
+def test_compaction_writes_candidates_alone(spark, table):
+    table.append(frame(spark, [row(100 + k, at=1_700_000_000 + 3 * MONTH + k, tags=[("t", "far")]) for k in range(4)]))
+    table.delete_many(frame(spark, [row(0), row(1), row(2), row(103)]).select("id"))
+    later = lambda: {x for x in table.raw.inputFiles() if "period=2024" in x}
+    before = later()
+    assert before and table.compact("lazy") == 1 and later() == before
+    assert sorted(ids(table.raw.collect())) == [3, 4, 100, 101, 102, 103] and sorted(ids(table.flags.collect())) == [103]
+    assert ids(table.query_all(EventFilter(limit=9))) == [102, 101, 100, 4, 3] and ids(table.query_all(EventFilter(tags={"t": ("test",)}))) == [4, 3] and table.recover() == []
+    table.append(frame(spark, [row(0), row(103, at=1_700_000_000 + 3 * MONTH + 3)]))  # an event that is gone may come back, one that is only flagged is there
+    assert ids(table.query_all(EventFilter(limit=9))) == [102, 101, 100, 4, 3, 0] and table.validate()["healthy"]
+    table.delete(row(0)[0])
+    table.delete(row(3)[0])
+    assert table.compact("aggressive") == 2 and ids(table.query_all(EventFilter(limit=9))) == [102, 101, 100, 4] and table.flags.isEmpty() and table.recover() == []
+
+
+def test_tags_are_changed_over_to(spark, table, monkeypatch):
+    """A rebuild that dies leaves the old tags in use."""
+    monkeypatch.setattr(EventTable, "_commit", lambda self, state: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        table.rebuild_tags()
+    monkeypatch.undo()
+    assert table.count(EventFilter(tags={"t": ("test",)})) == 5
+    assert table.recover() == ["removed tags-1"]
+    table.rebuild_tags()
+    assert table.count(EventFilter(tags={"t": ("test",)})) == 5 and table.validate()["healthy"]
+
+
+def test_two_writers(spark, table):
+    state = table._state()
+    table._commit(state)
+    with pytest.raises(TableCorrupted):
+        table._commit(state)
+
+
+def test_required_events_and_ranges(spark, table):
+    table.delete(row(2)[0])
+    assert table.require(row(3)[0])["kind"] == 1
+    with pytest.raises(EventDeleted):
+        table.require(row(2)[0])
+    with pytest.raises(EventNotFound):
+        table.require(row(99)[0])
+    table.delete_range(1_700_000_000, 1_700_000_003, author=row(0, author=1)[1], kind=1)
+    assert ids(table.query_all(EventFilter(limit=9))) == [4, 0]
+    table.delete_range(1_700_000_000, 1_700_000_000)
+    assert ids(table.query_all(EventFilter(limit=9))) == [4]
+
+
 def test_periods_are_pruned(spark, table):
     table.append(frame(spark, [row(100 + k, at=1_700_000_000 + k * MONTH) for k in range(3)]))
     f = EventFilter(since=1_700_000_000 + MONTH, until=1_700_000_000 + 2 * MONTH)
@@ -220,3 +308,66 @@ def test_records_round_trip_and_damage(spark):
     assert sorted(map(tuple, records.from_records(got).collect())) == sorted(map(tuple, events.collect()))
     damaged = got.unionByName(spark.createDataFrame([(b"nonsense",), (b"",), (None,)], "record binary"))
     assert records.scan_records(damaged).where("corrupt").count() == 3 and records.from_records(damaged).count() == 5
+
+
+def test_shard_verbs_and_rebalancing_in_place(spark, tmp_path):
+    from eventide.operators.shard import MoveStopped, Ring, ShardedTable, gather, scatter_gather
+
+    rows = [(k, k % 40, 1000 + k, 1, [], "x", False) for k in range(400)]
+    events = spark.createDataFrame(rows, "id long, pubkey long, created_at long, kind int, tags array<array<string>>, content string, deleted boolean")
+    t = ShardedTable(spark, f"{tmp_path}/a", Ring(["a", "b", "c"], 60))
+    t.append(events.where("id < 300"))
+    t.append(events)
+    t.append(events)
+    assert t.events.count() == 400 and t.shards() == ["a", "b", "c"]
+    assert t.get(17)["created_at"] == 1017 and t.get(999) is None
+    assert t.delete(spark.createDataFrame([(17,), (18,), (999,)], "id long")) == 2 and t.get(17) is None and t.delete_by_author(3) == 10
+    left = {r[0] for r in rows if r[0] not in (17, 18) and r[1] != 3}
+    f = EventFilter(kinds=(1,), limit=25)
+    assert [r["id"] for r in gather(t.events, f).collect()] == [r["id"] for r in scatter_gather([t.events.where(F.col("shard") == s) for s in t.shards()], f).collect()] == sorted(left)[: -26 : -1]
+    wider, seen = t.ring.with_shard("d"), []
+    with pytest.raises(MoveStopped):
+        t.rebalance(wider, progress=lambda *x: seen.append(x), stop=lambda: len(seen) == 1)
+    assert seen == [(1, 3)] and t.shards() == ["a", "b", "c"] and sorted(r["id"] for r in t.events.collect()) == sorted(left)
+    files = {x for x in t.stored.inputFiles() if "shard=d" not in x}
+    moved = t.add_shard("d")
+    assert moved == sum(t.ring.shard_of(str(k % 40)) != Ring(["a", "b", "c"], 60).shard_of(str(k % 40)) for k in left) and files <= set(t.stored.inputFiles())
+    again = ShardedTable(spark, t.path, Ring(["a"]))  # the stored ring is used
+    assert again.shards() == ["a", "b", "c", "d"] and sorted(r["id"] for r in again.events.collect()) == sorted(left)
+    assert [r["id"] for r in again.query(EventFilter(authors=(5,), kinds=(1,), limit=None)).collect()] == sorted((k for k in left if k % 40 == 5), reverse=True)
+    again.clean()
+    assert again.stored.count() == len(left) and all(again.ring.shard_of(str(r["pubkey"])) == r["shard"] for r in again.stored.collect())
+    again.remove_shard("a")
+    assert again.shards() == ["b", "c", "d"] and sorted(r["id"] for r in again.events.collect()) == sorted(left)
+
+
+def test_a_rebalancing_that_misses_events_is_not_used(spark, tmp_path, monkeypatch):
+    from eventide.errors import EventideError
+    from eventide.operators.shard import Ring, ShardedTable
+
+    events = spark.createDataFrame([(k, k, 1000 + k, 1, [], "x", False) for k in range(60)], "id long, pubkey long, created_at long, kind int, tags array<array<string>>, content string, deleted boolean")
+    t = ShardedTable(spark, f"{tmp_path}/a", Ring(["a", "b"], 60))
+    t.append(events)
+    real = Ring.lookup
+    monkeypatch.setattr(Ring, "lookup", lambda self, df, *a: real(self, df.where("id % 2 = 0") if "content" in df.columns else df, *a))
+    with pytest.raises(EventideError):
+        t.add_shard("c")
+    monkeypatch.undo()
+    assert t.shards() == ["a", "b"] and t.events.count() == 60
+    t.add_shard("c")
+    assert sorted(r["id"] for r in t.events.collect()) == list(range(60)) and t.shards() == ["a", "b", "c"]
+
+
+def test_log_upkeep(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = [(1, k // 3, k.to_bytes(32, "big")) for k in range(500)]
+    changelog.append(spark, path, spark.createDataFrame(rows, "op int, timestamp long, data binary").repartition(7))
+    log = changelog.read(spark, path)
+    assert [(r["lsn"], int.from_bytes(r["data"], "big")) for r in log.collect()] == [(k + 1, k) for k in range(500)]
+    assert changelog.checkpoint_due(log, now=0, entries=500) and not changelog.checkpoint_due(log, now=20) and changelog.checkpoint_due(log, now=31)
+    assert changelog.checkpoint(spark, path, 200) == 501 and not changelog.checkpoint_due(changelog.read(spark, path), now=10**6)
+    changelog.append(spark, path, spark.createDataFrame([(2, 300, b"x")], "op int, timestamp long, data binary"))
+    log = changelog.read(spark, path)
+    assert tuple(changelog.validate(log).first()) == (502, 0, 0, 0, 0)
+    assert tuple(changelog.validate(log.where("lsn <> 7").unionByName(log.where("lsn = 9").withColumn("op", F.lit(99)).withColumn("checksum", F.lit(1).cast("long")))).first()) == (502, 1, 1, 1, 1)
+    assert changelog.retain(spark, path, 501) > 0 and [r["lsn"] for r in changelog.read(spark, path).collect()] == [501, 502]
