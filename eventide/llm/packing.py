@@ -142,7 +142,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, bins: int = 128, most:
     from its rank among the parts of its bin, which is counted in parallel over 256 hash slices.
 
     Null, empty or blank text, or a length below 1, has nothing to pack: such rows are left out. Null doc_id is kept.
-    Repeated rows are packed each. Equal lengths rank by hash and id. Empty table: empty result. Other columns are ignored.
+    Repeated rows are packed each. Equal lengths rank by hash, id, part and length. Empty table: empty result. Other columns are ignored.
     """
     if bins < 1 or most < 1 or capacity < bins or capacity % bins:
         raise ValueError("capacity must be a multiple of bins, and most at least 1")
@@ -151,10 +151,12 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, bins: int = 128, most:
         words = F.regexp_count(F.col(text), F.lit(r"\S+"))
         length = F.when(words > 0, words + 1)
     # texts are read once: ids and lengths are all that is needed of them
-    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), length.cast("long").alias("n"))).where(F.col("n") >= 1)
-    parts = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("part"))
-    parts = parts.select("doc_id", "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("long").alias("length"))
-    parts = parts.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SLICES)).cast("int"))
+    # rows without an id, which may be many, are spread over the slices by where they stand
+    spread = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())
+    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), length.cast("long").alias("n"), spread.alias("spread"))).where(F.col("n") >= 1)
+    parts = sized.select("doc_id", "n", "spread", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("part"))
+    parts = parts.select("doc_id", "part", "spread", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("long").alias("length"))
+    parts = parts.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "part", "spread"), F.lit(SLICES)).cast("int"))
     slices = [(r["bin"], r["slice"], r["n"]) for r in parts.groupBy("bin", "slice").agg(F.count("*").alias("n")).collect()]
     histogram: Counter = Counter()
     before = np.zeros((bins + 1, SLICES), dtype=np.int64)
@@ -185,5 +187,5 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, bins: int = 128, most:
             own = [batch.column(c) for c in ("doc_id", "part", "start", "length")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(pack), pa.array(slot)], names=["doc_id", "part", "start", "length", "pack_id", "slot"])
 
-    inside = F.row_number().over(Window.partitionBy("bin", "slice").orderBy("doc_id", "part")).cast("long") - 1
+    inside = F.row_number().over(Window.partitionBy("bin", "slice").orderBy("doc_id", "part", "length")).cast("long") - 1
     return parts.withColumn("inside", inside).select("doc_id", "part", "start", "length", "bin", "slice", "inside").mapInArrow(place, COLUMNS)

@@ -145,6 +145,17 @@ def test_packing_brute_force(spark, seed):
     assert fewest_packs(sizes, 16) <= len(packs) <= fewest_packs(sizes, 16) + 1
 
 
+def test_packing_of_shared_and_missing_ids(spark):
+    """Rows of one id with other lengths of one bin, and rows without an id, are placed once each, alike in every run."""
+    rows = [(7, 100 + k % 5) for k in range(60)] + [(None, 50 + k % 3) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, s long").withColumn("text", F.lit("x")).repartition(4)
+    one, two = (packing.best_fit_pack(df, 256, 4, 3, length=F.col("s")).collect() for _ in range(2))
+    valid(one, 256)
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in one) == sorted((d or 0, s) for d, s in rows)
+    key = lambda rs: sorted(map(tuple, (r for r in rs if r["doc_id"] is not None)))
+    assert key(one) == key(two)
+
+
 def test_plan_uses_every_length_once():
     rng = random.Random(3)
     for _ in range(20):
