@@ -31,6 +31,10 @@ RANGE_POSTINGS = 2_000_000
 BROADCAST_ROWS = 500_000
 #: Sets that one cell of a large cluster takes, on average.
 CELL_SETS = 4096
+#: Pairs of sets that one cell of a dense cluster takes, on average.
+CELL_PAIRS = 500_000
+#: Pairs that a task works on at once.
+PAIRS = 1_000_000
 #: Characters of texts for each range of hashes that are counted.
 RANGE_CHARS = 20_000_000
 #: Characters whose words are hashed at once.
@@ -127,6 +131,16 @@ def _rows(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def _frame(x: np.ndarray) -> bytes:
+    """The rows of an int64 table, compressed byte by byte."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8 * x.shape[1]).T).tobytes(), 1)
+
+
+def _unframe(b: bytes, columns: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(b), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(8 * columns, -1).T).view(np.int64)
+
+
 class Frequencies:
     """The frequent n-grams' counts, looked up by the top 32 bits of the hash."""
 
@@ -222,11 +236,12 @@ def _frequencies(texts: DataFrame, n: int, ranges: int) -> tuple[Frequencies, in
     return Frequencies(keys[order], df[order]), total
 
 
-def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups that share a token and whose sizes allow Jaccard ``t``; ``tok`` ascends, sizes ascend within a token.
+def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups that share a token and whose sizes allow Jaccard ``t``; ``tok`` ascends, sizes, then groups, ascend within a token.
 
     The partner of an entry lies further on in the run of its token and isn't larger than its size / t, so
-    each entry has a range of partners; ranges are written out ``most`` pairs at a time.
+    each entry has a range of partners. Ranges are written out some ``PAIRS`` at a time, those of one block of left groups after the
+    other and all of a left group at once, so that no pair comes in two portions. A left group has no more pairs than there are entries.
     """
     ends = np.append(np.flatnonzero(np.diff(tok)) + 1, len(tok))
     starts = np.concatenate([[0], ends[:-1]])
@@ -238,12 +253,16 @@ def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float
     limit = np.minimum(np.floor(sizes / t + 1e-9).astype(np.int64), span - 1)
     stop = np.minimum(np.searchsorted(key, run * span + limit, side="right"), run_end)
     many = np.maximum(stop - np.arange(len(tok)) - 1, 0)
-    at, total = 0, np.concatenate([[0], np.cumsum(many)])
-    while at < len(tok):
-        to = max(int(np.searchsorted(total, total[at] + most, side="right")) - 1, at + 1)
-        m = many[at:to]
+    order = np.lexsort((group, block[group]))
+    last = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+    total = np.concatenate([[0], np.cumsum(many[order])])
+    at = done = 0
+    while at < len(order):
+        done = max(int(np.searchsorted(total[last], total[at] + PAIRS, side="right")), done + 1)
+        to = int(last[done - 1])
+        m = many[order[at:to]]
         if (k := int(m.sum())):
-            left = np.repeat(np.arange(at, to), m)
+            left = np.repeat(order[at:to], m)
             right = left + 1 + np.arange(k) - np.repeat(total[at:to] - total[at], m)
             yield group[left], group[right]
         at = to
@@ -253,7 +272,8 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
     """(a, b): pairs of prefix groups, a = b for one of several sets, whose common prefix elements allow Jaccard ``t``.
 
     Postings hold groups, not documents: a task posts a group's prefix once for all its sets. Elements are cut to 32 bits or more;
-    how many of a prefix fall together so is added to the bound, so that none is lost.
+    how many of a prefix fall together so is added to the bound, so that none is lost. Pairs are written and added up in portions, so that
+    the memory of a task is that of its range of postings, or of the different pairs of its block, however often these meet.
     """
     postings = max(1, int(elements * (1 - t)) + 1)
     ranges = max(1, math.ceil(postings / RANGE_POSTINGS))
@@ -280,11 +300,11 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                 if len(x):
                     used, local = np.unique(i, return_inverse=True)
                     small = local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)
-                    for c, v in zip(rows, (k, _pack(x), small.tobytes(), np.ascontiguousarray(table[used, :3]).tobytes())):
+                    for c, v in zip(rows, (k, _pack(x), small.tobytes(), _frame(table[used, :3]))):
                         rows[c].append(v)
             part = (table[:, 0].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
             for k in np.unique(part):
-                for c, v in zip(rows, (ranges + int(k), None, None, np.ascontiguousarray(table[part == k]).tobytes())):
+                for c, v in zip(rows, (ranges + int(k), None, None, _frame(table[part == k]))):
                     rows[c].append(v)
             return _rows(schema, **rows)
 
@@ -297,7 +317,8 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                         g, s = _set_hash(p, len(x)), _set_hash(x, 0)
                         at = names.setdefault((g, len(x)), len(names))
                         if at == len(who):
-                            short, lost = _cut_tokens(p, drop)
+                            # a prefix has the least hashes of those that are equally frequent: mixed, they are spread over the ranges
+                            short, lost = _cut_tokens(mix(p), drop)
                             who.append((g, len(x), lost, s, s))
                             have.append(short)
                             held += len(short)
@@ -312,92 +333,107 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
 
     met = pa.schema([("k", pa.int32()), ("names", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    def packed(a: np.ndarray, b: np.ndarray, counts: np.ndarray, groups: np.ndarray) -> pa.Table:
+    def block_of(groups: np.ndarray) -> np.ndarray:
+        return (np.ascontiguousarray(groups[:, 0]).view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+
+    def packed(a: np.ndarray, b: np.ndarray, counts: np.ndarray, groups: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
         """Pairs of rows of ``groups`` (hash, size, lost) and the counts of their common elements, by the block of the first."""
-        block = (np.ascontiguousarray(groups[:, 0]).view(np.uint64) % np.uint64(blocks)).astype(np.int64)[a]
-        order = np.lexsort((b, a, block))
-        a, b, counts, block = a[order], b[order], counts[order].astype(np.uint32), block[order]
+        order = np.lexsort((b, a, block[a]))
+        a, b, counts = a[order], b[order], counts[order].astype(np.uint32)
+        block = block[a]
         rows: dict[str, list] = {f.name: [] for f in met}
         for k, i, j, c in zip(*(np.split(x, np.flatnonzero(np.diff(block)) + 1) for x in (block, a, b, counts))):
             if len(k):
                 used, local = np.unique(np.concatenate([i, j]), return_inverse=True)
                 small = local.astype(np.uint32)
-                for f, v in zip(rows, (int(k[0]), groups[used].tobytes(), _shrink(small[: len(i)]), _shrink(small[len(i) :]), _shrink(c))):
+                for f, v in zip(rows, (int(k[0]), _frame(groups[used]), _shrink(_steps(small[: len(i)])), _shrink(_steps(small[len(i) :])), _shrink(c))):
                     rows[f].append(v)
-        return pa.table(rows, schema=met)
+        return _rows(met, **rows)
 
-    def meet(group: pa.Table) -> pa.Table:
-        if group.column("r")[0].as_py() >= ranges:
-            who = np.concatenate([np.frombuffer(w.as_py(), dtype=np.int64).reshape(-1, 5) for w in group.column("names")])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toks, idx, names, whole, base = [], [], [], [], 0
+        for batch in batches:
+            for r, x, i, w in zip(*(batch.column(c) for c in ("r", "tok", "idx", "names"))):
+                if r.as_py() >= ranges:
+                    whole.append(_unframe(w.as_py(), 5))
+                    continue
+                toks.append(_unpack(x.as_py()))
+                names.append(_unframe(w.as_py(), 3))
+                raw = i.as_py()
+                idx.append(np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * len(toks[-1]) else np.uint32).astype(np.uint32) + np.uint32(base))
+                base += len(names[-1])
+        if whole:
+            who = np.concatenate(whole)
             order = np.argsort(who[:, 0], kind="stable")
             who = who[order]
             first = np.flatnonzero(np.concatenate([[True], who[1:, 0] != who[:-1, 0]]))
             # a group has several sets if the least isn't the greatest; groups of one hash count as one
             many = first[np.minimum.reduceat(who[:, 3], first) != np.maximum.reduceat(who[:, 4], first)]
-            own = np.arange(len(many))
-            return packed(own, own, who[many, 1], np.ascontiguousarray(who[many, :3]))
-        toks, idx, names, base = [], [], [], 0
-        for a, i, w in zip(group.column("tok"), group.column("idx"), group.column("names")):
-            x, who = _unpack(a.as_py()), np.frombuffer(w.as_py(), dtype=np.int64).reshape(-1, 3)
-            raw = i.as_py()
-            toks.append(x)
-            idx.append(np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * len(x) else np.uint32).astype(np.int64) + base)
-            names.append(who)
-            base += len(who)
-        who = np.concatenate(names)
-        first, inverse = _by_two(who[:, 0], who[:, 1])
-        groups = who[first]
-        size_of = groups[:, 1]
-        g = inverse[np.concatenate(idx)]
-        tok = np.concatenate(toks)
+            own, groups = np.arange(len(many)), np.ascontiguousarray(who[many, :3])
+            yield packed(own, own, who[many, 1], groups, block_of(groups))
+        if not toks:
+            return
+        tok, at = np.concatenate(toks), np.concatenate(idx)
+        toks.clear()
+        idx.clear()
         o = np.argsort(tok, kind="stable")
-        tok, g = tok[o], g[o]
+        tok, at = tok[o], at[o]
         same = np.diff(tok) == 0
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        tok, g = tok[shared], g[shared]
+        tok, at = tok[shared], at[shared]
+        del o, same, shared
+        who = np.concatenate(names)
+        names.clear()
+        used, at = np.unique(at, return_inverse=True)
+        who = who[used]
+        first, inverse = _by_two(who[:, 0], who[:, 1])
+        groups, g = who[first], inverse[at]
+        size_of = groups[:, 1]
+        del who, at, inverse
         o = np.lexsort((g, size_of[g], tok))
         tok, g = tok[o], g[o]
         new = np.concatenate([[True], (np.diff(tok) != 0) | (np.diff(g) != 0)]) if len(tok) else np.empty(0, bool)
         tok, g = tok[new], g[new]
-        pairs, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        waiting, held = [], 0
-
-        def fold() -> None:
-            nonlocal pairs, counts, waiting, held
-            k, inv = np.unique(np.concatenate([pairs, *waiting]), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([counts, np.ones(held, dtype=np.int64)]), minlength=len(k)).astype(np.int64)
-            pairs, counts, waiting, held = k, c, [], 0
-
-        for left, right in _token_pairs(tok, g, size_of[g], t) if len(tok) else ():
-            waiting.append(np.minimum(left, right) * len(groups) + np.maximum(left, right))
-            held += len(left)
-            if held > 2_000_000:
-                fold()
-        if held:
-            fold()
-        return packed(pairs // max(len(groups), 1), pairs % max(len(groups), 1), counts, groups)
+        block = block_of(groups)
+        for left, right in _token_pairs(tok, g, size_of[g], t, block) if len(tok) else ():
+            pairs, counts = np.unique(left * len(groups) + right, return_counts=True)
+            yield packed(pairs // len(groups), pairs % len(groups), counts, groups, block)
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def tally(group: pa.Table) -> pa.Table:
-        names, a, b, c, base = [], [], [], [], 0
-        for n_, a_, b_, c_ in zip(*(group.column(x).to_pylist() for x in ("names", "a", "b", "c"))):
-            names.append(np.frombuffer(n_, dtype=np.int64).reshape(-1, 3))
-            a.append(_grow(a_) + base)
-            b.append(_grow(b_) + base)
-            c.append(_grow(c_))
-            base += len(names[-1])
-        who = np.concatenate(names)
-        first, number = _by_two(who[:, 0], who[:, 1])
-        who = who[first]
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = np.empty((0, 3), dtype=np.int64)
+        i, j, common = (np.empty(0, dtype=np.int64) for _ in range(3))
+        names, a, b, c = [], [], [], []
+        base = held = 0
+
+        def fold() -> None:
+            nonlocal who, i, j, common, base, held
+            every = np.concatenate([who, *names])
+            first, number = _by_two(every[:, 0], every[:, 1])
+            pair, inverse = np.unique(number[np.concatenate([i, *a])] * len(first) + number[np.concatenate([j, *b])], return_inverse=True)
+            common = np.bincount(inverse.ravel(), weights=np.concatenate([common, *c]), minlength=len(pair)).astype(np.int64)
+            i, j, who = pair // max(len(first), 1), pair % max(len(first), 1), every[first]
+            base, held = len(who), 0
+            for x in (names, a, b, c):
+                x.clear()
+
+        for batch in batches:
+            for n_, a_, b_, c_ in zip(*(batch.column(x) for x in ("names", "a", "b", "c"))):
+                names.append(_unframe(n_.as_py(), 3))
+                a.append(_sums(_grow(a_.as_py())) + base)
+                b.append(_sums(_grow(b_.as_py())) + base)
+                c.append(_grow(c_.as_py()))
+                base += len(names[-1])
+                held += len(c[-1])
+                if held > max(PAIRS, len(i)):
+                    fold()
+        fold()
         size, lost = who[:, 1], who[:, 2]
-        pair, inverse = np.unique(number[np.concatenate(a)] * len(who) + number[np.concatenate(b)], return_inverse=True)
-        common = np.bincount(inverse.ravel(), weights=np.concatenate(c), minlength=len(pair))
-        i, j = pair // len(who), pair % len(who)
         # what isn't common within both prefixes is common after the prefix that ends first
         rest = np.ceil(t * np.maximum(size[i], size[j]) - 1e-9) - 1 + np.minimum(lost[i], lost[j])
         on = (i == j) | (who[i, 0] == who[j, 0]) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
-        return pa.table({"a": who[i[on], 0], "b": who[j[on], 0]}, schema=out)
+        yield _rows(out, a=who[i[on], 0], b=who[j[on], 0])
 
     found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").repartitionById(ranges + blocks, F.col("r")).groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
     # groups of one hash and other sizes give a pair twice
@@ -409,6 +445,15 @@ def _shrink(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of an array of uint32, modulo 2 ** 32, from which ``_sums`` makes it again."""
+    return np.diff(x, prepend=np.uint32(0))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.uint32), dtype=np.uint32).astype(np.int64)
+
+
 def _grow(b: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(b), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
@@ -472,6 +517,27 @@ def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: float, mos
                 yield p, q[on], j[on]
 
 
+def _cell_pairs(start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the members of slices ``one`` and ``two``, each pair once if these are one slice, some ``PAIRS`` at a time; slice k has the members from ``start[k]`` to ``end[k]``."""
+    many = (end - start)[one]
+    total = np.concatenate([[0], np.cumsum(many)])
+    at = 0
+    while at < len(one):
+        to = max(int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1, at + 1)
+        row = np.repeat(np.arange(at, to), many[at:to])
+        left = start[one[row]] + np.arange(len(row)) - (total[row] - total[at])
+        begin = np.where(one[row] == two[row], left + 1, start[two[row]])
+        partners = end[two[row]] - begin
+        upto = np.concatenate([[0], np.cumsum(partners)])
+        i = 0
+        while i < len(row):
+            k = max(int(np.searchsorted(upto, upto[i] + PAIRS, side="right")) - 1, i + 1)
+            m = partners[i:k]
+            yield np.repeat(left[i:k], m), np.repeat(begin[i:k] - upto[i:k] + upto[i], m) + np.arange(int(m.sum()))
+            i = k
+        at = to
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, which is written already, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -488,7 +554,8 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     (a1, a2, b1, b2, jaccard), one row per similar pair of different sets. Without ``pairs``, they come summed up, by the blocks in which
     sets were compared: (rep, s1, s2, links, r_rep, r1, r2), the number of ids in similar sets, and a set with which this one hangs together.
 
-    Sets that hang together meet in one block, unless these are many: a cluster of more than ``CELL_SETS`` sets is cut into cells of a grid,
+    Sets that hang together meet in one block, unless these are many: a cluster of more than ``CELL_SETS`` sets, or so many pairs that cells of
+    ``CELL_PAIRS`` are smaller, is cut into cells of a grid,
     each with the sets of two buckets, so that no task holds more of a cluster, however large it or a prefix group is.
     """
     if not 0 < t <= 1 or n < 1:
@@ -542,7 +609,9 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     both = met.join(info.select(F.col("g").alias("a"), F.col("root").alias("ra"), F.col("m").alias("ma"), F.col("w").alias("wa")), "a")
     both = cut(both.join(info.select(F.col("g").alias("b"), F.col("root").alias("rb"), F.col("m").alias("mb"), F.col("w").alias("wb")), "b").withColumn("root", F.least("ra", "rb")))
     weight = both.select("root", F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("wa").alias("w")), F.struct(F.col("b").alias("g"), F.col("wb").alias("w")))).alias("x")).select("root", "x.g", "x.w").distinct()
-    large = cut(weight.groupBy("root").agg(F.ceil(F.sum("w") / CELL_SETS).cast("int").alias("buckets")).where("buckets > 1"))
+    by_pairs = both.groupBy("root").agg(F.ceil(F.sqrt(2 * F.sum(F.col("wa").cast("double") * F.col("wb")) / CELL_PAIRS)).alias("p"))
+    by_sets = weight.groupBy("root").agg(F.ceil(F.sum("w") / CELL_SETS).alias("s"))
+    large = cut(by_sets.join(by_pairs, "root").select("root", F.greatest("s", "p").cast("int").alias("buckets")).where("buckets > 1"))
     both = both.join(_small(large), "root", "left")
     slices = both.select("a", "b", "root", "mb", F.coalesce("buckets", F.lit(1)).alias("buckets"), F.explode(F.expr("sequence(0, ma - 1)")).alias("sa"))
     slices = slices.select("a", "b", "root", "buckets", "sa", F.explode(F.expr("sequence(0, mb - 1)")).alias("sb")).where("a <> b OR sa <= sb")
@@ -568,40 +637,40 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         number: dict[tuple[int, int], int] = {}
-        of: dict[tuple[int, int], list[int]] = {}
         data: list[np.ndarray | None] = []
-        reps, ids = [], []
+        reps, ids, home = [], [], []
         for g, k, s1, s2, rep, m, x in zip(*(right.column(c).to_pylist() for c in ("g", "slice", "s1", "s2", "rep", "n", "x"))):
             i = number.setdefault((s1, s2), len(number))
             if i == len(data):
-                of.setdefault((g, k), []).append(i)
+                home.append((g, k))
                 for c in (data, reps, ids):
                     c.append(None)
             if x is None:
                 reps[i], ids[i] = rep, m
             elif data[i] is None:
                 data[i] = _unpack(x)
-        a, b = [], []
-        for ga, ka, gb, kb in zip(*(left.column(c).to_pylist() for c in ("a", "sa", "b", "sb"))):
-            mine, other = of.get((ga, ka), []), of.get((gb, kb), [])
-            if (ga, ka) == (gb, kb):
-                for i, p in enumerate(mine):
-                    a += [p] * (len(mine) - i - 1)
-                    b += mine[i + 1 :]
-            else:
-                for p in mine:
-                    a += [p] * len(other)
-                    b += other
-        hits = list(_similar(data, np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), t))
-        a = np.repeat(np.array([p for p, _, _ in hits], dtype=np.int64), [len(q) for _, q, _ in hits])
-        b = np.concatenate([q for _, q, _ in hits] or [np.empty(0, dtype=np.int64)])
+        sets, rows = len(data), left.num_rows
+        g, k = np.array(home, dtype=np.int64).reshape(-1, 2).T
+        ga, ka, gb, kb = (left.column(c).to_numpy().astype(np.int64) for c in ("a", "sa", "b", "sb"))
+        slices, of = _by_two(np.concatenate([g, ga, gb]), np.concatenate([k, ka, kb]))
+        member = np.argsort(of[:sets], kind="stable")
+        start, end = (np.searchsorted(of[:sets][member], np.arange(len(slices)), side=side) for side in ("left", "right"))
         key = np.array(list(number), dtype=np.int64).reshape(-1, 2)
-        if pairs:
-            j = np.concatenate([x for _, _, x in hits] or [np.empty(0)])
-            return pa.table([*map(pa.array, (*key[a].T.copy(), *key[b].T.copy(), j))], schema=result)
         ids, reps = np.array(ids, dtype=np.int64), np.array(reps, dtype=np.int64)
-        links = np.bincount(a, weights=ids[b], minlength=len(ids)) + np.bincount(b, weights=ids[a], minlength=len(ids))
-        label = _labels(len(ids), a, b)
+        links, label, found = np.zeros(sets), np.arange(sets), []
+        for p, q in _cell_pairs(start, end, of[sets : sets + rows], of[sets + rows :]):
+            hits = list(_similar(data, member[p], member[q], t))
+            if not hits:
+                continue
+            a = np.repeat(np.array([p for p, _, _ in hits], dtype=np.int64), [len(q) for _, q, _ in hits])
+            b = np.concatenate([q for _, q, _ in hits])
+            if pairs:
+                found.append(pa.table([*map(pa.array, (*key[a].T.copy(), *key[b].T.copy(), np.concatenate([x for _, _, x in hits])))], schema=result))
+            else:
+                links += np.bincount(a, weights=ids[b], minlength=sets) + np.bincount(b, weights=ids[a], minlength=sets)
+                label = _labels(sets, np.concatenate([a, np.arange(sets)]), np.concatenate([b, label]))
+        if pairs:
+            return pa.concat_tables([result.empty_table(), *found])
         on = np.flatnonzero(links)
         top = label[on]
         return pa.table([*map(pa.array, (reps[on], *key[on].T.copy(), links[on].astype(np.int64), reps[top], *key[top].T.copy()))], schema=result)

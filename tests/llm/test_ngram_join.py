@@ -160,3 +160,46 @@ def test_bounded_helpers():
     x = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64))
     assert (N._unpack(N._pack(x)) == x).all() and (N._grow(N._shrink(np.arange(9, dtype=np.uint32))) == np.arange(9)).all()
     assert N.prefix_length(10, 0.5) == 6 and N.prefix_length(1, 1.0) == 1
+
+
+def test_pairs_come_in_portions(monkeypatch):
+    """Pairs of a dense cluster are never held at once, and each comes in one portion, with all elements that it shares."""
+    import tracemalloc
+
+    import numpy as np
+
+    n, elements = 1500, 4
+    tok, group = np.repeat(np.arange(elements, dtype=np.uint64), n), np.tile(np.arange(n), elements)
+    sizes, block = np.full(n * elements, 9), np.arange(n) % 7
+    monkeypatch.setattr(N, "PAIRS", 50_000)
+    tracemalloc.start()
+    met, blocks = [], []
+    for left, right in N._token_pairs(tok, group, sizes, 0.5, block):
+        assert len(left) <= 50_000
+        key, counts = np.unique(left * n + right, return_counts=True)
+        assert (counts == elements).all()
+        met.append(len(key))
+        blocks.extend(np.unique(block[left]).tolist())
+    assert sum(met) == n * (n - 1) // 2 and blocks == sorted(blocks)
+    cells = 0
+    for left, right in N._cell_pairs(np.array([0, 1000]), np.array([1000, n]), np.array([0, 0, 1]), np.array([0, 1, 1])):
+        assert len(left) <= 50_000 and (left < right).all()
+        cells += len(left)
+    assert cells == n * (n - 1) // 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    x = np.array([3, 3, 9, 0, 2**32 - 1], dtype=np.uint32)
+    assert (N._sums(N._steps(x)) == x).all()
+    y = np.array([[1, -2, 3], [2**62, 0, -(2**63)]])
+    assert (N._unframe(N._frame(y), 3) == y).all() and N._unframe(N._frame(y[:0]), 3).shape == (0, 3)
+
+
+def test_a_dense_cluster_in_cells(spark, monkeypatch):
+    """A cluster of fewer sets than a cell takes, but of many pairs, is cut by its pairs."""
+    monkeypatch.setattr(N, "CELL_PAIRS", 300)
+    rows = [(k, " ".join([*(f"c{j}" for j in range(20)), f"own{k}"])) for k in range(150)] + [(500, "another text of its own")]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {tuple(r) for r in N.jaccard_classes(df).collect()}
+    assert got == {(k, 0, 149) for k in range(150)} | {(500, 500, 0)}
+    assert sorted(r["doc_id"] for r in N.keep_one(df).collect()) == [0, 500]
