@@ -70,3 +70,13 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, plain_docs, no_d
             assert out.count() <= now.count() + 40
             now = out
     assert WORD.search("x")
+
+
+def test_a_dense_cluster_in_the_third_stage(spark, monkeypatch):
+    """A cluster is cut by its pairs, and still one of its documents stays."""
+    from eventide.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL_PAIRS", 100)
+    rows = [(k, " ".join([*(f"c{j}" for j in range(20)), f"own{k}"])) for k in range(60)] + [(500, "another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, dict(P.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect())) == [rows[0], rows[-1]]
