@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ SHORTEST, LONGEST = 3, 24
 LEARNED = 50_000
 #: Parts of which each key word has one, so that the JVM needn't look closer at texts without any.
 PARTS = ("pass", "pwd", "secret", "token", "key", "credential")
+#: Words on each side of a word with such a part that aren't learned, as a secret may stand there.
+NEAR = 32
 LEET = str.maketrans("4@83601!|57$+", "aabegoiilstst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:])}
@@ -178,14 +181,33 @@ def _may_hold(text: F.Column) -> F.Column:
     return out
 
 
+def far_words(text: str) -> list[str]:
+    """The words of a text that may be learned and stand more than ``NEAR`` words from any word with a part of a key word."""
+    words = re.findall(r"\w+", text.lower())
+    near = bytearray(len(words))
+    for i, w in enumerate(words):
+        if any(x in w for x in PARTS):
+            at = max(0, i - NEAR)
+            near[at : i + NEAR + 1] = b"\1" * (min(len(words), i + NEAR + 1) - at)
+    return [w for w, skip in zip(words, near) if not skip and SHORTEST <= len(w) <= LONGEST and w.isalpha()]
+
+
 def learned_ranks(docs: DataFrame, most: int = LEARNED, text: str = "text") -> dict[str, int]:
     """The list's words and, behind them, the ``most`` commonest words of the corpus by rank.
 
-    Words are whole runs of letters, of 3 to 24 of them, seen three times or more. They are counted over all texts that have no part of a key word,
-    so that a secret, however many copies it has, isn't learned from where it is given away.
+    Words are whole runs of letters, of 3 to 24 of them, seen three times or more. They are counted over all texts, but for the ``NEAR`` words on each
+    side of a word with a part of a key word, so that a secret, however many copies it has, isn't learned from where it is given away.
     """
-    words = docs.where(~_may_hold(F.col(text))).select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("w"))
-    words = words.where(F.col("w").rlike(rf"^\p{{L}}{{{SHORTEST},{LONGEST}}}$")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3")
+    plain = docs.where(~_may_hold(F.col(text))).select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("w"))
+    plain = plain.where(F.col("w").rlike(rf"^\p{{L}}{{{SHORTEST},{LONGEST}}}$")).select("w", F.lit(1).cast("long").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter(w for t in batch.column(0) for w in far_words(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["w", "n"])
+
+    rest = docs.select(F.col(text).alias("t")).where(_may_hold(F.col("t"))).mapInArrow(count, "w string, n long")
+    words = plain.unionByName(rest).groupBy("w").agg(F.sum("n").alias("n")).where("n >= 3")
     # a limit at the root would send the driver ``most`` words of every partition; below an exchange one task merges them
     found = words.orderBy(F.desc("n"), "w").limit(most).repartition(1).collect() if most else []
     out = dict(RANKS)
@@ -208,7 +230,7 @@ def scan_secrets(docs: DataFrame, least_bits: float = 48.0, text: str = "text",
     isn't returned, but where it stands (characters from 0). Closing punctuation isn't part of an unquoted value.
 
     Words cost by their rank: first those of a list of common passwords, then the ``learned`` commonest words of the
-    corpus itself, counted over its texts without key words (``learned_ranks``); they are broadcast.
+    corpus itself, counted over all its texts but for words near key words (``learned_ranks``); they are broadcast.
 
     The JVM picks the texts that hold a context; those alone go to Python. Null or empty text: no rows. Null
     ids are kept. Repeated rows and values are reported each. A value of any length is scored in full, in time

@@ -103,6 +103,15 @@ def test_copies_of_a_secret_are_not_learned(spark):
     assert "qwvzkjxhplmnbdrt" not in S.learned_ranks(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_texts_with_key_words_are_counted(spark):
+    """All words of such a text but those near the key word, where a secret may stand."""
+    far = "filler " * (S.NEAR + 5) + "zebrafish"
+    rows = [(k, f"{far} {'x ' * S.NEAR} a monkey, qwvzkjxhplmnbdrt {far}") for k in range(3)] + [(9, None), (10, "")]
+    ranks = S.learned_ranks(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "zebrafish" in ranks and "filler" in ranks and ranks["filler"] < ranks["zebrafish"] and "qwvzkjxhplmnbdrt" not in ranks
+    assert S.far_words(" ".join(["the token"] * 50_000)) == [] and S.far_words("keys " + "a " * S.NEAR + "word x9 straße") == ["word", "straße"]
+
+
 def test_contexts():
     found = lambda t: [(k, t[at : at + len(v)] == v, v) for k, at, v in S.credential_values(t)]
     assert found('x password=b7db7aa. token = "xx yy" API_KEY: abc, secret => \'q\'') == [("password", True, "b7db7aa"), ("token", True, "xx yy"), ("api_key", True, "abc"), ("secret", True, "q")]
