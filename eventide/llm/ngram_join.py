@@ -32,9 +32,13 @@ BROADCAST_ROWS = 500_000
 #: Sets that one cell of a large cluster takes, on average.
 CELL_SETS = 4096
 #: Pairs of sets that one cell of a dense cluster takes, on average.
-CELL_PAIRS = 500_000
+CELL_PAIRS = 250_000
 #: Pairs that a task works on at once.
-PAIRS = 1_000_000
+PAIRS = 500_000
+#: Postings of shared elements that a task looks for pairs in at once, besides those of the last element.
+MEET_POSTINGS = 500_000
+#: Ranges of postings from which the pairs' counts come in more blocks than ranges, as pairs grow faster than the input.
+BLOCK_RANGES = 50
 #: Characters of texts for each range of hashes that are counted.
 RANGE_CHARS = 20_000_000
 #: Characters whose words are hashed at once.
@@ -136,6 +140,11 @@ def _frame(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8 * x.shape[1]).T).tobytes(), 1)
 
 
+def _framed(b: bytes, columns: int) -> int:
+    """How many rows ``_frame`` was given."""
+    return zstandard.frame_content_size(b) // (8 * columns)
+
+
 def _unframe(b: bytes, columns: int) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(b), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(8 * columns, -1).T).view(np.int64)
@@ -268,16 +277,34 @@ def _token_pairs(tok: np.ndarray, group: np.ndarray, sizes: np.ndarray, t: float
         at = to
 
 
+def _token_slices(tok: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of slices of ascending tokens, of some ``most`` entries; no token is in two."""
+    start = 0
+    while start < len(tok):
+        end = start + most
+        end = int(np.searchsorted(tok, tok[end - 1], side="right")) if end < len(tok) else len(tok)
+        yield start, end
+        start = end
+
+
+def _picked(names: list[tuple[int, bytes]], used: np.ndarray) -> np.ndarray:
+    """The rows numbered ``used``, which ascend, of framed tables of three columns, each with the number of its first row."""
+    edge = np.searchsorted(used, [base for base, _ in names] + [np.iinfo(np.uint32).max])
+    return np.concatenate([_unframe(b, 3)[used[i:j] - base] for (base, b), i, j in zip(names, edge, edge[1:]) if i < j])
+
+
 def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> DataFrame:
     """(a, b): pairs of prefix groups, a = b for one of several sets, whose common prefix elements allow Jaccard ``t``.
 
     Postings hold groups, not documents: a task posts a group's prefix once for all its sets. Elements are cut to 32 bits or more;
     how many of a prefix fall together so is added to the bound, so that none is lost. Pairs are written and added up in portions, so that
-    the memory of a task is that of its range of postings, or of the different pairs of its block, however often these meet.
+    the memory of a task is that of its range of postings, or of the different pairs of its block, however often these meet. Only a slice of
+    a range is worked on at once, and blocks are more than in proportion to the input, as pairs are.
     """
     postings = max(1, int(elements * (1 - t)) + 1)
     ranges = max(1, math.ceil(postings / RANGE_POSTINGS))
-    blocks = max(1, min(ranges, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(ranges, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    blocks, at_once = parts * math.ceil(ranges / BLOCK_RANGES), MEET_POSTINGS
     drop = np.uint64(64 - min(64, max(TOKEN_BITS, postings.bit_length() + TOKEN_BITS // 4)))
     # r: a range of elements; from ``ranges`` on, a part of the groups with their least and greatest set
     schema = pa.schema([("r", pa.int32()), ("tok", pa.binary()), ("idx", pa.binary()), ("names", pa.binary())])
@@ -302,7 +329,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                     small = local.astype(np.uint16) if len(used) < 65536 else local.astype(np.uint32)
                     for c, v in zip(rows, (k, _pack(x), small.tobytes(), _frame(table[used, :3]))):
                         rows[c].append(v)
-            part = (table[:, 0].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            part = (table[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
             for k in np.unique(part):
                 for c, v in zip(rows, (ranges + int(k), None, None, _frame(table[part == k]))):
                     rows[c].append(v)
@@ -358,12 +385,13 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
                     whole.append(_unframe(w.as_py(), 5))
                     continue
                 toks.append(_unpack(x.as_py()))
-                names.append(_unframe(w.as_py(), 3))
+                names.append((base, w.as_py()))
                 raw = i.as_py()
                 idx.append(np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * len(toks[-1]) else np.uint32).astype(np.uint32) + np.uint32(base))
-                base += len(names[-1])
+                base += _framed(names[-1][1], 3)
         if whole:
             who = np.concatenate(whole)
+            whole.clear()
             order = np.argsort(who[:, 0], kind="stable")
             who = who[order]
             first = np.flatnonzero(np.concatenate([[True], who[1:, 0] != who[:-1, 0]]))
@@ -382,22 +410,23 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         tok, at = tok[shared], at[shared]
         del o, same, shared
-        who = np.concatenate(names)
-        names.clear()
-        used, at = np.unique(at, return_inverse=True)
-        who = who[used]
-        first, inverse = _by_two(who[:, 0], who[:, 1])
-        groups, g = who[first], inverse[at]
-        size_of = groups[:, 1]
-        del who, at, inverse
-        o = np.lexsort((g, size_of[g], tok))
-        tok, g = tok[o], g[o]
-        new = np.concatenate([[True], (np.diff(tok) != 0) | (np.diff(g) != 0)]) if len(tok) else np.empty(0, bool)
-        tok, g = tok[new], g[new]
-        block = block_of(groups)
-        for left, right in _token_pairs(tok, g, size_of[g], t, block) if len(tok) else ():
-            pairs, counts = np.unique(left * len(groups) + right, return_counts=True)
-            yield packed(pairs // len(groups), pairs % len(groups), counts, groups, block)
+        for start, end in _token_slices(tok, at_once):
+            # the names of a slice's groups alone are held as numbers
+            used, place = np.unique(at[start:end], return_inverse=True)
+            who = _picked(names, used)
+            first, inverse = _by_two(who[:, 0], who[:, 1])
+            groups, g = who[first], inverse[place]
+            del who, used, place, inverse
+            size_of, x = groups[:, 1], tok[start:end]
+            o = np.lexsort((g, size_of[g], x))
+            x, g = x[o], g[o]
+            new = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(g) != 0)])
+            x, g = x[new], g[new]
+            block = block_of(groups)
+            for left, right in _token_pairs(x, g, size_of[g], t, block):
+                pairs, counts = np.unique(left * len(groups) + right, return_counts=True)
+                del left, right
+                yield packed(pairs // len(groups), pairs % len(groups), counts, groups, block)
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -435,7 +464,7 @@ def _candidates(texts: DataFrame, n: int, t: float, freq, elements: int) -> Data
         on = (i == j) | (who[i, 0] == who[j, 0]) | (common + rest >= np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9))
         yield _rows(out, a=who[i[on], 0], b=who[j[on], 0])
 
-    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").repartitionById(ranges + blocks, F.col("r")).groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
+    found = texts.mapInArrow(post, "r int, tok binary, idx binary, names binary").repartitionById(ranges + parts, F.col("r")).groupBy("r").applyInArrow(meet, "k int, names binary, a binary, b binary, c binary")
     # groups of one hash and other sizes give a pair twice
     return found.groupBy("k").applyInArrow(tally, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -464,12 +493,12 @@ def _bloom(keys: DataFrame, n: int) -> np.ndarray:
     bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(bits, dtype=bool)
+        on = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for at in _bloom_bits(batch.column("g").to_numpy(zero_copy_only=False), bits):
-                on[at] = True
+                np.bitwise_or.at(on, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(on).tobytes(), 1)], pa.binary())], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(on.tobytes(), 1)], pa.binary())], names=["b"])
 
     total = np.zeros(bits // 8, dtype=np.uint8)
     for row in keys.coalesce(16).mapInArrow(fill, "b binary").toLocalIterator():
@@ -538,6 +567,23 @@ def _cell_pairs(start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.nda
         at = to
 
 
+def _places(g: np.ndarray, k: np.ndarray, groups: pa.ChunkedArray, slices: pa.ChunkedArray) -> np.ndarray:
+    """Which of the distinct rows (g, k), in ascending order, each pair of the two columns is; the number of these for one that isn't there."""
+    found = []
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
+    span = int(k.max(initial=0)) + 2
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g)))) * span + k
+    for x, y in zip(groups.chunks, slices.chunks):
+        x, y = x.to_numpy(), y.to_numpy().astype(np.int64)
+        i = np.searchsorted(g[first], x)
+        there = (g[first][np.minimum(i, len(first) - 1)] == x) & (y < span) if len(g) else np.zeros(len(x), dtype=bool)
+        want = i * span + y
+        at = np.searchsorted(key, want)
+        there &= key[np.minimum(at, len(key) - 1)] == want if len(g) else False
+        found.append(np.where(there, at, len(g)).astype(np.int32))
+    return np.concatenate([np.empty(0, dtype=np.int32), *found])
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, which is written already, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -574,7 +620,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     schema = pa.schema([("g", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("d", pa.int64()), ("x", pa.binary())])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, on = freq.value, np.unpackbits(bloom.value)
+        order, on = freq.value, bloom.value
         given: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("d").to_pylist()
@@ -584,8 +630,8 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
                 name = {k: (_set_hash(sets[k], 0), _set_hash(sets[k], SALT)) for k in full}
                 g = {k: _set_hash(order.prefix(sets[k], t), len(sets[k])) for k in full}
                 hit = np.ones(len(full), dtype=bool)
-                for at in _bloom_bits(np.array([g[k] for k in full], dtype=np.int64), len(on)):
-                    hit &= on[at] > 0
+                for at in _bloom_bits(np.array([g[k] for k in full], dtype=np.int64), 8 * len(on)):
+                    hit &= on[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8)) > 0
                 send = {k for k, h in zip(full, hit.tolist()) if h}
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for k in range(len(sets)):
@@ -616,7 +662,8 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     slices = both.select("a", "b", "root", "mb", F.coalesce("buckets", F.lit(1)).alias("buckets"), F.explode(F.expr("sequence(0, ma - 1)")).alias("sa"))
     slices = slices.select("a", "b", "root", "buckets", "sa", F.explode(F.expr("sequence(0, mb - 1)")).alias("sb")).where("a <> b OR sa <= sb")
     one, two = (F.pmod(F.xxhash64(g, s), F.col("buckets")) for g, s in (("a", "sa"), ("b", "sb")))
-    blocks = max(partitions, elements // RANGE_POSTINGS)
+    compared = both.agg(F.sum(F.col("wa").cast("double") * F.col("wb"))).first()[0] or 0
+    blocks = max(partitions, elements // RANGE_POSTINGS, int(compared / CELL_PAIRS))
     keyed = cut(slices.select("a", "sa", "b", "sb", F.pmod(F.xxhash64("root", F.least(one, two), F.greatest(one, two)), F.lit(blocks)).cast("int").alias("k")))
     where = cut(keyed.select(F.col("k").alias("block"), F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("sa").alias("slice")), F.struct(F.col("b").alias("g"), F.col("sb").alias("slice")))).alias("x")).select("block", "x.*").distinct())
     several = cut(info.where("m > 1").select("g", "m"))
@@ -649,16 +696,17 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
                 reps[i], ids[i] = rep, m
             elif data[i] is None:
                 data[i] = _unpack(x)
-        sets, rows = len(data), left.num_rows
+        sets = len(data)
         g, k = np.array(home, dtype=np.int64).reshape(-1, 2).T
-        ga, ka, gb, kb = (left.column(c).to_numpy().astype(np.int64) for c in ("a", "sa", "b", "sb"))
-        slices, of = _by_two(np.concatenate([g, ga, gb]), np.concatenate([k, ka, kb]))
-        member = np.argsort(of[:sets], kind="stable")
-        start, end = (np.searchsorted(of[:sets][member], np.arange(len(slices)), side=side) for side in ("left", "right"))
+        slices, of = _by_two(g, k)
+        member = np.argsort(of, kind="stable")
+        # the last slice, of no set, is for those whose sets have come with another group
+        start, end = (np.append(np.searchsorted(of[member], np.arange(len(slices)), side=side), sets) for side in ("left", "right"))
+        one, two = (_places(g[slices], k[slices], left.column(c), left.column(d)) for c, d in (("a", "sa"), ("b", "sb")))
         key = np.array(list(number), dtype=np.int64).reshape(-1, 2)
         ids, reps = np.array(ids, dtype=np.int64), np.array(reps, dtype=np.int64)
         links, label, found = np.zeros(sets), np.arange(sets), []
-        for p, q in _cell_pairs(start, end, of[sets : sets + rows], of[sets + rows :]):
+        for p, q in _cell_pairs(start, end, one, two):
             hits = list(_similar(data, member[p], member[q], t))
             if not hits:
                 continue

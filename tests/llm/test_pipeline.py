@@ -80,3 +80,37 @@ def test_a_dense_cluster_in_the_third_stage(spark, monkeypatch):
     rows = [(k, " ".join([*(f"c{j}" for j in range(20)), f"own{k}"])) for k in range(60)] + [(500, "another text of its own")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, dict(P.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect())) == [rows[0], rows[-1]]
+
+
+def test_the_third_stage_in_many_slices_and_blocks(spark, monkeypatch):
+    """Ranges of postings in slices, more blocks of counts than ranges, and cells of few pairs leave the same documents as brute force."""
+    from eventide.llm import ngram_join
+
+    for k, v in (("RANGE_POSTINGS", 100), ("MEET_POSTINGS", 7), ("BLOCK_RANGES", 2), ("CELL_PAIRS", 20)):
+        monkeypatch.setattr(ngram_join, k, v)
+    rows = []
+    for c in range(6):
+        rows += [(100 * c + k, " ".join([*(f"c{c}w{j}" for j in range(14)), *(f"own{k % 9}x{j}" for j in range(k % 4))])) for k in range(25)]
+    rows += [(1000 + k, f"single text number {k} without a partner {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, dict(P.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect())) == sorted(brute_keep_one(rows))
+
+
+def test_slices_of_postings_and_places_of_groups():
+    """No slice of a range of postings holds more than it may besides its last token; pairs find the slice of their group."""
+    import numpy as np
+    import pyarrow as pa
+
+    from eventide.llm import ngram_join
+
+    tok = np.sort(np.random.default_rng(2).integers(0, 3000, 20_000).astype(np.uint64))
+    slices = list(ngram_join._token_slices(tok, 1000))
+    assert [a for a, _ in slices] == [0, *(b for _, b in slices[:-1])] and slices[-1][1] == len(tok)
+    assert all(tok[b - 1] != tok[b] for _, b in slices[:-1]) and max(b - a for a, b in slices) < 1100
+    names = [(0, ngram_join._frame(np.arange(30).reshape(10, 3))), (10, ngram_join._frame(np.arange(30, 45).reshape(5, 3)))]
+    assert [ngram_join._framed(b, 3) for _, b in names] == [10, 5]
+    assert ngram_join._picked(names, np.array([1, 9, 10, 14], dtype=np.uint32))[:, 0].tolist() == [3, 27, 30, 42]
+    g, k = np.array([-5, -5, 3, 8]), np.array([0, 2, 1, 0])
+    left, right = pa.chunked_array([[8, -5, -5, -5], [3, 4, 9, -9]]), pa.chunked_array([[0, 2, 1, 3], [1, 0, 0, 0]], pa.int32())
+    assert ngram_join._places(g, k, left, right).tolist() == [3, 1, 4, 4, 2, 4, 4, 4]
+    assert ngram_join._places(g[:0], k[:0], left, right).tolist() == [0] * 8
