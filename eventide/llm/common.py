@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: One word: a run of letters, digits or underscores.
 WORD = re.compile(r"\w+")
+#: Quarters of a second for which ``release`` waits at most.
+MOST_WAITS = 40
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have shuffle files of steps removed whose results are written already.
 
-    Spark's cleaner does so once the driver's garbage is collected, which may take longer than the job.
+    Spark's cleaner does so once the driver's garbage is collected, which may take longer than the job. The JVM learns only
+    within a second or so what Python has collected, in order: once an object that is collected last is gone, the ones before are garbage too.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    last = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    gc.collect()
+    for _ in range(MOST_WAITS):
+        jvm.System.gc()
+        if last.refersTo(None):
+            break
+        time.sleep(0.25)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -598,7 +598,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     Members are (d, s1, s2): each id once for each of its sets, which go by 128-bit hashes, null for rows without
     words. Sets are (s1, s2, rep, n): the smallest of their ids and how many they have. Links are
     (a1, a2, b1, b2, jaccard), one row per similar pair of different sets. Without ``pairs``, they come summed up, by the blocks in which
-    sets were compared: (rep, s1, s2, links, r_rep, r1, r2), the number of ids in similar sets, and a set with which this one hangs together.
+    sets were compared, and written: (rep, s1, s2, links, r_rep, r1, r2), the number of ids in similar sets, and a set with which this one hangs together.
 
     Sets that hang together meet in one block, unless these are many: a cluster of more than ``CELL_SETS`` sets, or so many pairs that cells of
     ``CELL_PAIRS`` are smaller, is cut into cells of a grid,
@@ -668,6 +668,7 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
     where = cut(keyed.select(F.col("k").alias("block"), F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("sa").alias("slice")), F.struct(F.col("b").alias("g"), F.col("sb").alias("slice")))).alias("x")).select("block", "x.*").distinct())
     several = cut(info.where("m > 1").select("g", "m"))
     few = _small(where)
+    release(spark)
 
     def placed(rows: DataFrame) -> DataFrame:
         cells = rows.join(_small(several), "g", "left").withColumn("slice", F.pmod(F.xxhash64(*SET), F.coalesce("m", F.lit(1))).cast("int"))
@@ -723,7 +724,8 @@ def similar_sets(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text"
         top = label[on]
         return pa.table([*map(pa.array, (reps[on], *key[on].T.copy(), links[on].astype(np.int64), reps[top], *key[top].T.copy()))], schema=result)
 
-    return own, sets, keyed.groupBy("k").cogroup(texts.unionByName(facts).groupBy("block")).applyInArrow(verify, ddl)
+    links = keyed.groupBy("k").cogroup(texts.unionByName(facts).groupBy("block")).applyInArrow(verify, ddl)
+    return own, sets, links if pairs else cut(links)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -758,7 +760,8 @@ def _set_classes(own: DataFrame, sets: DataFrame, summary: DataFrame, by_id: boo
     With ``by_id``, the sets of one id hang together too.
     """
     node = F.struct("rep", *SET)
-    summary = cut(summary)
+    # of the comparison of sets, its result alone stays
+    release(own.sparkSession)
     edges = summary.select(node.alias("u"), F.struct(F.col("r_rep").alias("rep"), F.col("r1").alias("s1"), F.col("r2").alias("s2")).alias("v")).where("u <> v")
     if by_id:
         twice = cut(own.where("s1 IS NOT NULL").groupBy("d").agg(F.count("*").alias("sets")).where("sets > 1").select("d"))

@@ -1,10 +1,13 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventide.llm import ngram_join as N
+from eventide.llm.common import cut, release
 
 DOCS = "doc_id long, text string"
 
@@ -203,3 +206,48 @@ def test_a_dense_cluster_in_cells(spark, monkeypatch):
     got = {tuple(r) for r in N.jaccard_classes(df).collect()}
     assert got == {(k, 0, 149) for k in range(150)} | {(500, 500, 0)}
     assert sorted(r["doc_id"] for r in N.keep_one(df).collect()) == [0, 500]
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (re.fullmatch(r"shuffle_(\d+)_\d+_\d+\.data", files.apply(k).getName()) for k in range(files.size()))
+    return {int(m[1]) for m in names if m}
+
+
+def left_of(spark, shuffles):
+    """Which of the shuffles have files still when the cleaner has had time to remove them."""
+    until = time.time() + 5
+    while (left := shuffles & shuffle_files(spark)) and time.time() < until:
+        time.sleep(0.1)
+    return left
+
+
+def test_release_waits_for_the_jvm(spark):
+    """What Python has just dropped is garbage for the JVM, and files of its shuffles go."""
+    release(spark)
+    before = shuffle_files(spark)
+    for _ in range(3):
+        written = cut(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+        mine = shuffle_files(spark) - before
+        assert mine
+        release(spark)
+        assert not left_of(spark, mine) and written.count() == 7
+
+
+@pytest.mark.parametrize("summed", [True, False])
+def test_no_shuffle_outlives_its_step(spark, monkeypatch, summed):
+    """Files of the counts and candidates are gone when sets are read, those of the comparison when classes are made."""
+    steps, real = [], N.release
+    release(spark)
+    before = shuffle_files(spark)
+
+    def watched(session):
+        mine = shuffle_files(spark) - before
+        real(session)
+        steps.append((len(mine), left_of(spark, mine)))
+
+    monkeypatch.setattr(N, "release", watched)
+    df = spark.createDataFrame(corpus(1), DOCS).repartition(5)
+    got = N.jaccard_classes(df) if summed else N.ngram_jaccard_join(df)
+    assert len(steps) == (4 if summed else 3) and all(had and not left for had, left in steps)
+    assert {tuple(r) for r in got.collect()} == (brute_classes if summed else brute)(corpus(1), 3, 0.5)
