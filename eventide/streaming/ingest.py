@@ -49,7 +49,10 @@ def counts_by_window(stream: DataFrame, length: str = "10 minutes", slide: str |
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Each author's events in sessions that end after a gap; also for tables."""
+    """Each author's events in sessions that end after a gap; also for tables. An event that comes just when the gap is over begins a session."""
     at = with_time(stream)
     at = at.withWatermark("at", lateness) if stream.isStreaming else at
-    return at.groupBy(F.session_window("at", gap).alias("w"), "pubkey").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start"), F.unix_timestamp("w.end").alias("end"), "pubkey", "n")
+    # Spark joins a session and an event at its very end, so that its windows are a microsecond shorter than the gap
+    w = F.session_window("at", f"{gap} -1 microseconds")
+    end = F.timestamp_micros(F.unix_micros("w.end") + 1)
+    return at.groupBy(w.alias("w"), "pubkey").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start"), F.unix_timestamp(end).alias("end"), "pubkey", "n")

@@ -245,6 +245,14 @@ def test_stream_windows(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM o").first()[0] == 30
 
 
+def test_sessions_end_when_the_gap_is_over(spark):
+    """An event exactly a gap behind the last one is of the next session, as in SQL; a second less and it is of the same."""
+    times = {1: [0, 7200, 14399, 14399], 2: [7200, 14401, 21601], 3: [5, 7204, 14403]}
+    events = spark.createDataFrame([(p, t) for p, ts in times.items() for t in ts], "pubkey long, created_at long")
+    found = sorted((r["pubkey"], r["start"], r["end"], r["n"]) for r in ingest.sessions(events, "2 hours").collect())
+    assert found == [(1, 0, 7200, 1), (1, 7200, 21599, 3), (2, 7200, 14400, 1), (2, 14401, 21601, 1), (2, 21601, 28801, 1), (3, 5, 21603, 3)]
+
+
 def test_metrics():
     m = stats.Metrics()
     m.add("cache_hits", 3)
