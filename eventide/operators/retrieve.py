@@ -133,8 +133,9 @@ def explode_tags(events: DataFrame, names: Iterable[str] | None = INDEXED_TAGS)
 
 
 def drop_empty_tags(events: DataFrame) -> DataFrame:
-    """Events without their tags of no element."""
-    return events.withColumn("tags", F.filter("tags", lambda t: F.size(t) > 0))
+    """Events without their tags of no element (or null); the lambda, which is interpreted, runs for events that have such tags alone."""
+    none = ~F.array_contains("tags", F.array().cast("array<string>"))  # null where a tag is null
+    return events.withColumn("tags", F.when(none, F.col("tags")).otherwise(F.filter("tags", lambda t: F.size(t) > 0)))
 
 
 def with_period(events: DataFrame, granularity: str = "monthly") -> DataFrame:

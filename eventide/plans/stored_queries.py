@@ -54,11 +54,16 @@ def _number(c: str) -> Column:
     return F.conv(F.right(F.hex(c), F.lit(16)), 16, 10).cast("long").alias(c)
 
 
-def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = activity_events(spark, sf_dir)
+def _wire(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Events with ids and authors of 32 bytes; the condition is on ids as numbers, before they become bytes."""
+    ev = activity_events(spark, sf_dir).where(where)
     return ev.withColumns({"id": _wide("id"), "pubkey": _wide("pubkey"), "sig": F.lit(b"")}).select(*[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA])
 
 
+def _unflagged(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return _wire(spark, sf_dir, where).withColumns({"deleted": F.lit(False), "replaced": F.lit(False)})
+
+
 def _back(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[_number(c) if c in ("id", "pubkey") else F.col(c) for c in columns])
 
@@ -66,11 +71,10 @@ def _back(df: DataFrame, *columns: str) -> DataFrame:
 @once
 def _table(spark: SparkSession, sf_dir: str) -> EventTable:
     """All events, in two appends that overlap; then those whose id is divisible by 10 are deleted."""
-    t, ev = EventTable(spark, _folder(spark, "table")), _wire(spark, sf_dir)
-    n = _number("id")
-    t.append(ev.where(n % 3 != 0))
-    t.append(ev.where((n % 3 == 0) | (n % 2 == 0)))
-    t.delete_many(ev.where(n % 10 == 0).select("id"))
+    t, ev = EventTable(spark, _folder(spark, "table")), functools.partial(_wire, spark, sf_dir)
+    t.append(ev("id % 3 <> 0"))
+    t.append(ev("id % 3 = 0 OR id % 2 = 0"))
+    t.delete_many(ev("id % 10 = 0").select("id"))
     return t
 
 
@@ -131,13 +135,13 @@ def q_store_tags(spark, sf_dir):
 @once
 def _compacted(spark: SparkSession, sf_dir: str) -> EventTable:
     """Half of a week is deleted, and the table compacted: that week alone is written anew; then some of what is gone comes back."""
-    t, ev = EventTable(spark, _folder(spark, "compacted"), Config(index=IndexConfig(granularity="weekly"))), _wire(spark, sf_dir).withColumns({"deleted": F.lit(False), "replaced": F.lit(False)})
-    t.append(ev)
-    n, period = _number("id"), scalar.period(F.col("created_at"), "weekly")
-    t.delete_many(ev.where((n % 2 == 0) & (period == "2024-W02")).select("id"))
-    t.delete_many(ev.where((n % 20 == 1) & (period != "2024-W02")).unionByName(ev.where(n == 0)).select("id"))
+    t = EventTable(spark, _folder(spark, "compacted"), Config(index=IndexConfig(granularity="weekly")))
+    ev, period = functools.partial(_unflagged, spark, sf_dir), scalar.period(F.col("created_at"), "weekly")
+    t.append(ev())
+    t.delete_many(ev("id % 2 = 0").where(period == "2024-W02").select("id"))
+    t.delete_many(ev("id % 20 = 1").where(period != "2024-W02").unionByName(ev("id = 0")).select("id"))
     t.compact("lazy")
-    t.append(ev.where(n % 40 == 0))
+    t.append(ev("id % 40 = 0"))
     return t
 
 
@@ -157,9 +161,9 @@ def q_store_compacted_tags(spark, sf_dir):
 @register("q_store_replace", "SELECT id, kind FROM ev WHERE NOT (kind IN (0, 3) OR kind BETWEEN 10000 AND 19999 OR kind BETWEEN 30000 AND 39999) UNION ALL SELECT id, kind FROM (SELECT *, row_number() OVER (PARTITION BY pubkey, kind, CASE WHEN kind BETWEEN 30000 AND 39999 THEN coalesce(list_filter(tags, lambda t: t[1] = 'd')[1][2], '') ELSE '' END ORDER BY created_at DESC, id) AS k FROM ev WHERE kind IN (0, 3) OR kind BETWEEN 10000 AND 19999 OR kind BETWEEN 30000 AND 39999) WHERE k = 1")
 def q_store_replace(spark, sf_dir):
     """Live events after saving them in two batches, the later one with older versions of what is there."""
-    t, ev = EventTable(spark, _folder(spark, "replaced")), _wire(spark, sf_dir).withColumns({"deleted": F.lit(False), "replaced": F.lit(False)})
-    t.replace(ev.where(_number("id") % 2 == 0))
-    t.replace(ev.where(_number("id") % 2 == 1))
+    t = EventTable(spark, _folder(spark, "replaced"))
+    t.replace(_unflagged(spark, sf_dir, "id % 2 = 0"))
+    t.replace(_unflagged(spark, sf_dir, "id % 2 = 1"))
     return _back(lifecycle.live(t.events), "id", "kind")
 
 

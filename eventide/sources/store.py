@@ -186,19 +186,27 @@ class EventTable:
     def append(self, events: DataFrame) -> None:
         """Add events, each new id once; empty tags are left out. Events and tags are there from one moment on.
 
-        The new ids are looked for in the id column of what is stored, so what is shuffled follows the new events, not the table.
+        The new ids are looked for in the id column of what is stored, so what is shuffled follows the new events, not the table. For that they are
+        read twice, and so written down first, as they come; an empty table has nothing to look in. Rows are shuffled by id before repeated
+        ones go, once for that and for the ids that are there.
         """
         self._may_write()
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        incoming = retrieve.drop_empty_tags(events.select(*EVENT_SCHEMA.names)).dropDuplicates(["id"])
-        incoming.write.parquet(staged)
-        incoming = self.spark.read.schema(EVENT_SCHEMA).parquet(staged)
+        incoming = retrieve.drop_empty_tags(events.select(*EVENT_SCHEMA.names))
         state = self._state()
-        if state["batches"]:
-            incoming = lifecycle.new_events(incoming, self.raw.select("id").join(incoming.select("id"), "id", "left_semi"))
-        self._add(incoming, state)
+        if not state["batches"]:
+            self._add(incoming.repartition("id").dropDuplicates(["id"]), state)
+            return
+        staged = self._staged(incoming)
+        incoming = self.spark.read.schema(EVENT_SCHEMA).parquet(staged)
+        self._add(lifecycle.new_events(incoming.repartition("id"), self.raw.select("id").join(incoming.select("id"), "id", "left_semi")), state)
         self._fs.delete(self._jvm_path(staged), True)
 
+    def _staged(self, rows: DataFrame) -> str:
+        """The folder that rows are written to for the time of an operation."""
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        return staged
+
     def _add(self, events: DataFrame, state: dict[str, Any]) -> None:
         """Write events and their tags as a batch, then name it in the manifest."""
         batch = f"{state['number'] + 1:09d}-{uuid.uuid4().hex[:8]}"
@@ -233,12 +241,14 @@ class EventTable:
     def delete_many(self, ids: DataFrame) -> int:
         """Delete events by the column id; unknown ids are passed over, but one must be known."""
         self._may_write()
-        own = self.visible.join(ids.select("id").distinct(), "id", "left_semi").select("id").cache()
+        staged = self._staged(self.visible.join(ids.select("id").distinct(), "id", "left_semi").select("id"))
+        own = self.spark.read.schema("id binary").parquet(staged)
         n = own.count()
+        if n:
+            self._flag(own, True, False)
+        self._fs.delete(self._jvm_path(staged), True)
         if not n:
             raise EventNotFound("none of the ids is there")
-        self._flag(own, True, False)
-        own.unpersist()
         return n
 
     def delete_range(self, since: int, until: int, author: Any = None, kind: int | None = None) -> None:

@@ -72,6 +72,31 @@ def test_compaction_and_recovery(spark, table):
     assert table.compact("aggressive") == 1 and table.raw.isEmpty() and table.query_all(EventFilter(limit=5)) == []
 
 
+def test_an_append_moves_what_is_new_once(spark, tmp_path, monkeypatch):
+    """The first one writes events and tags alone; later ones write down what comes as well, without a shuffle."""
+    from pyspark.sql import DataFrameWriter
+
+    paths, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (paths.append(path), real(self, path, *a, **k))[1])
+    t = EventTable(spark, f"{tmp_path}/once")
+    t.append(frame(spark, [row(k % 7) for k in range(20)]))
+    assert [p.split("/")[-2].rpartition("-")[0] or p.split("/")[-2] for p in paths] == ["events", "tags"]
+    t.append(frame(spark, [row(k % 9) for k in range(20)]))
+    assert t.raw.count() == 9 and not [n for n in t._names("") if n.startswith("staged")]
+    assert t.delete_many(frame(spark, [row(k) for k in (1, 2, 2, 50)]).select("id")) == 2 and not [n for n in t._names("") if n.startswith("staged")]
+    with pytest.raises(EventNotFound):
+        t.delete_many(frame(spark, [row(1)]).select("id"))
+    assert t.visible.count() == 7 and not [n for n in t._names("") if n.startswith("staged")]
+
+
+def test_empty_tags_are_dropped(spark):
+    from eventide.operators.retrieve import drop_empty_tags
+
+    rows = [(0, [["a"], [], ["b", None]]), (1, [["a"], None]), (2, [[], None]), (3, []), (4, None), (5, [[None], ["", ""]])]
+    got = {r["id"]: r["tags"] for r in drop_empty_tags(spark.createDataFrame(rows, "id int, tags array<array<string>>")).collect()}
+    assert got == {0: [["a"], ["b", None]], 1: [["a"]], 2: [], 3: [], 4: None, 5: [[None], ["", ""]]}
+
+
 @pytest.mark.parametrize("step", ["_write_events", "_write_tags", "_commit"])
 def test_a_batch_that_dies_is_added_whole_when_run_again(spark, table, monkeypatch, step):
     """However far it came, nothing of it is seen; run again, its events and tags are there at once."""
