@@ -43,28 +43,42 @@ class Ring:
         return self.points[i % len(self.points)][1]
 
     def column(self, key: Column) -> Column:
-        """The shard of a key column.
+        """The shard of a key column; ``lookup`` hashes a key once where the shard is asked in a condition, too."""
+        return self._owner(scalar.ring_hash(key))
+
+    def _owner(self, h: Column) -> Column:
+        """The shard of a hash.
 
         The ring is cut into cells by the hash's leading bits, about four for each point, so that a key is
-        compared with the points of its own cell only.
+        compared with the points of its own cell only: one by one, as lambdas over arrays would be interpreted.
         """
         points, n = [p for p, _ in self.points], len(self.points)
         bits = min(16, max(1, (4 * n - 1).bit_length()))
         starts = [bisect.bisect_left(points, c << (32 - bits)) for c in range((1 << bits) + 1)]
         # one string literal each, which Catalyst folds into an array
         numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-        h = scalar.ring_hash(key)
-        cell = F.shiftright(h, 32 - bits).cast("int")
-        first, last = (F.element_at(numbers(starts), cell + k).cast("int") for k in (1, 2))
-        below = F.size(F.filter(F.slice(numbers(points), first + 1, last - first), lambda p: p < h))
-        owners = numbers([self.shards.index(s) for _, s in self.points])
-        names = F.array(*[F.lit(s) for s in self.shards])
-        owner = F.element_at(owners, F.pmod(first + below, F.lit(n)) + 1)
-        return F.element_at(names, (owner + 1).cast("int"))
+        cell = F.shiftright(h, 32 - bits).cast("int") + 1
+        at = F.element_at(numbers(starts[:-1]), cell)
+        for k in range(max(b - a for a, b in zip(starts, starts[1:]))):
+            # where a cell has no such point, one that is above all hashes
+            own = [points[a + k] if a + k < b else 1 << 32 for a, b in zip(starts, starts[1:])]
+            at = at + (F.element_at(numbers(own), cell) < h).cast("bigint")
+        owners = [self.shards.index(s) for _, s in self.points]
+        owner = F.element_at(numbers([*owners, owners[0]]), (at + 1).cast("int"))
+        return F.element_at(F.array(*[F.lit(s) for s in self.shards]), (owner + 1).cast("int"))
 
     def lookup(self, df: DataFrame, key: Column, name: str = "shard") -> DataFrame:
-        """``df`` with the shard of each key."""
-        return df.withColumn(name, self.column(key))
+        """``df`` with the shard of each key.
+
+        A condition on it would repeat the hash as often as the ring's cells are asked; it isn't pushed below the generator.
+        """
+        out = df.withColumn("_ring_hash", F.explode(F.array(scalar.ring_hash(key))))
+        return out.withColumn(name, self._owner(F.col("_ring_hash"))).drop("_ring_hash")
+
+    def where(self, df: DataFrame, key: Column, condition: str) -> DataFrame:
+        """Rows that fit a condition on ``_owner``, the shard of the key."""
+        hashed = df.withColumn("_ring_hash", F.explode(F.array(scalar.ring_hash(key))))
+        return hashed.withColumn("_owner", self._owner(F.col("_ring_hash"))).where(condition).drop("_ring_hash", "_owner")
 
     def with_shard(self, shard: str) -> Ring:
         return Ring((*self.shards, shard), self.virtual_nodes)
@@ -205,13 +219,15 @@ class ShardedTable:
         """All rows that lie there."""
         return self.spark.read.parquet(self.path)
 
+    def _own(self) -> DataFrame:
+        """Rows on the shard that is theirs; all are unless a rebalancing has begun."""
+        return self.ring.where(self.stored, self._key(), "shard = _owner") if self._mixed else self.stored
+
     @property
     def events(self) -> DataFrame:
         """Events on the shard that is theirs, without deleted ones."""
         self._refresh()
-        out = self.stored
-        if self._mixed:
-            out = out.where(F.col("shard") == self.ring.column(self._key()))
+        out = self._own()
         if self._names("_deleted"):
             out = out.join(self.spark.read.parquet(f"{self.path}/_deleted"), "id", "left_anti").select(*out.columns)
         return out
@@ -221,13 +237,24 @@ class ShardedTable:
         return sorted(self.ring.shards)
 
     def append(self, events: DataFrame) -> None:
-        """Add events, each id once, to their shards; ids that are there stay as they are, so that a job that died may run again."""
-        out = assign(events, self.ring, self.key).dropDuplicates(["id"])
+        """Add events, each id once, to their shards; ids that are there stay as they are, so that a job that died may run again.
+
+        Where something is there, the events are read twice, and so written down first. Shards are found for rows that are new alone.
+        """
+        self._refresh()
+        staged = None
         if any(n.startswith("shard=") for n in self._names("")):
-            own = [c for c in self.stored.columns if c in out.columns]
-            out = out.select(*own).join(self.stored.select("id", "shard").join(out.select("id", "shard"), ["id", "shard"], "left_semi"), ["id", "shard"], "left_anti").select(*own)
+            staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+            events.select(*[c for c in self.stored.columns if c in events.columns]).write.parquet(staged)
+            events = self.spark.read.parquet(staged)
+            known = self._own().select("id").join(events.select("id"), "id", "left_semi")
+            events = events.repartition("id").dropDuplicates(["id"]).join(known, "id", "left_anti").select(*events.columns)
+        else:
+            events = events.repartition("id").dropDuplicates(["id"])
         # as many tasks and files as the data asks for, a shard in several where it is large
-        out.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        assign(events, self.ring, self.key).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        if staged is not None:
+            self._fs.delete(self._jvm_path(staged), True)
 
     def get(self, event: Any):
         """The event of an id, wherever it lies; None if there is none."""
@@ -278,7 +305,7 @@ class ShardedTable:
         With ``path``, all events are written to that folder instead. With ``dry_run`` only the number is found.
         """
         events, key = self.events, self._key()
-        moving = events.where(new.column(key) != F.col("shard"))
+        moving = new.where(events, key, "shard <> _owner")
         n = moving.count()
         if dry_run:
             return n
@@ -288,6 +315,8 @@ class ShardedTable:
             self.path = path.rstrip("/")
             self._use(new, False)
             return n
+        # only where a rebalancing has begun before, rows may lie on shards that aren't theirs
+        begun = self._mixed
         # from now on, readers leave out what isn't theirs by the old ring
         self._use(self.ring, True)
         shards = sorted({*self.ring.shards} | {s.removeprefix("shard=") for s in self._names("") if s.startswith("shard=")})
@@ -295,9 +324,10 @@ class ShardedTable:
             if stop is not None and stop():
                 raise MoveStopped(f"{k} of {len(shards)} shards done")
             own = new.lookup(moving.where(F.col("shard") == shard).drop("shard"), key)
-            there = self.stored.select("id", "shard").where(F.col("shard") != shard)
-            own = own.join(there, ["id", "shard"], "left_anti").select(*self.stored.columns)
-            own.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+            if begun:
+                there = self.stored.select("id", "shard").where(F.col("shard") != shard)
+                own = own.join(there, ["id", "shard"], "left_anti")
+            own.select(*self.stored.columns).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
             if progress is not None:
                 progress(k + 1, len(shards))
         wanted = new.lookup(moving.select("id", "pubkey"), key).select("id", "shard")
@@ -320,5 +350,6 @@ class ShardedTable:
                     self._fs.rename(self._jvm_path(f"{draft}/{name}"), self._jvm_path(f"{self.path}/shard={shard}/{name}"))
             for name in old:
                 self._fs.delete(self._jvm_path(f"{self.path}/shard={shard}/{name}"), True)
-        self._fs.delete(self._jvm_path(f"{self.path}/_clean"), True)
+        for name in ["_clean", *[n for n in self._names("") if n.startswith("_staged-")]]:  # the latter of a job that died
+            self._fs.delete(self._jvm_path(f"{self.path}/{name}"), True)
         self._use(self.ring, False)

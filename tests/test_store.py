@@ -313,6 +313,42 @@ def test_sharded_table(spark, tmp_path):
     assert all(wider.shard_of(str(r["pubkey"])) == r["shard"] for r in t.events.collect())
 
 
+def test_ring_column_is_compiled(spark):
+    from eventide.operators.shard import Ring
+
+    for ring in (Ring(["a"], 1), Ring(["a", "b", "c"], 1), Ring(["a", "b"], 3000), Ring([f"s{k}" for k in range(7)])):
+        df = spark.range(3000).select("id", ring.column(F.col("id").cast("string")).alias("shard"))
+        assert all(ring.shard_of(str(r["id"])) == r["shard"] for r in df.collect())
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+        own = ring.lookup(spark.range(300), F.col("id").cast("string")).where("shard <> 'b'")
+        assert own._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1  # a condition doesn't repeat it
+        assert [(r["id"], r["shard"]) for r in own.collect()] == [(k, ring.shard_of(str(k))) for k in range(300) if ring.shard_of(str(k)) != "b"]
+
+
+def test_sharded_append_and_rebalance_compare_ids_where_they_must(spark, tmp_path, monkeypatch):
+    from eventide.operators.shard import MoveStopped, Ring, ShardedTable
+
+    ring = Ring(["a", "b", "c"], 60)
+    events = spark.createDataFrame([(k, k % 40, 1000 + k, "x") for k in range(400)], "id long, pubkey long, created_at long, content string")
+    t = ShardedTable(spark, f"{tmp_path}/a", ring)
+    t.append(events.where("id < 300"))
+    other = next(p for p in range(40) if ring.shard_of(str(p)) != ring.shard_of("0"))
+    t.append(events.unionByName(spark.createDataFrame([(0, other, 5, "y")], events.schema)))  # an id that is there comes again with another author
+    assert t.events.count() == 400 and t.events.where("id = 0 AND pubkey = 0").count() == 1 and not [n for n in t._names("") if n.startswith("_staged")]
+    joins, real = [], type(events).join
+    monkeypatch.setattr(type(events), "join", lambda self, other, on=None, how=None: (joins.append(how), real(self, other, on, how))[1])
+    t.add_shard("d")
+    assert joins == ["left_anti"]  # what is missing in the end; nothing can have been moved before
+    seen = []
+    with pytest.raises(MoveStopped):
+        t.rebalance(t.ring.with_shard("e"), progress=lambda *x: seen.append(x), stop=lambda: len(seen) == 2)
+    t.append(events)
+    t.add_shard("e")
+    assert t.shards() == ["a", "b", "c", "d", "e"] and sorted(r["id"] for r in t.events.collect()) == list(range(400))
+    assert all(t.ring.shard_of(str(r["pubkey"])) == r["shard"] for r in t.events.collect())
+    assert t.stored.groupBy("id", "shard").count().where("count > 1").isEmpty()
+
+
 def test_records_round_trip_and_damage(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
