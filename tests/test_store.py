@@ -349,6 +349,19 @@ def test_sharded_append_and_rebalance_compare_ids_where_they_must(spark, tmp_pat
     assert t.stored.groupBy("id", "shard").count().where("count > 1").isEmpty()
 
 
+def test_records_are_packed_in_small_pieces():
+    """What is held as Python objects follows neither the engine's batches nor the size of rows."""
+    import pyarrow as pa
+
+    from eventide.sources import records
+
+    for n, width in ((0, 1), (1, 1), (10_000, 1), (10_000, 4_000), (3, 9_000_000)):
+        batch = pa.RecordBatch.from_arrays([pa.array([bytes(width)] * n, pa.binary()), pa.array(range(n), pa.int64())], names=["record", "k"])
+        pieces = list(records._pieces(batch))
+        assert [k for p in pieces for k in p.column(1).to_pylist()] == list(range(n))
+        assert all(p.num_rows == 1 or p.num_rows <= records.MOST_ROWS and p.num_rows * width <= records.MOST_BYTES_AT_ONCE for p in pieces)
+
+
 def test_records_round_trip_and_damage(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
